@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .bpe import op4_bpe
 from .near_duplicates import op3_near_duplicates
+from .token_counts import op8_token_counts
 
 QUERIES = {
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_bpe": op4_bpe,
+    "op8_token_counts": op8_token_counts,
 }
 
 #: SQL for DuckDB where SQL can express the query.

@@ -120,43 +120,87 @@ def pivot_candidates(rows: DataFrame, pivots: DataFrame, s: Settings) -> DataFra
     return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
+def short_sets(texts: DataFrame, s: Settings) -> DataFrame:
+    """(rep, set): each text's distinct shingles as ascending 32-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in T.slices(batch, "text"):
+                sets, at = T.shingle_sets(part.column(1), s.words)
+                short = [np.unique((sets[i:j] >> np.uint64(32)).astype(np.uint32)).tobytes() for i, j in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(short, type=pa.binary())], ["rep", "set"])
+
+    return texts.mapInArrow(run, "rep long, set binary")
+
+
 def block_candidates(rows: DataFrame, s: Settings) -> DataFrame:
-    """Distinct (a, b) of different labels in a bucket, block against block.
+    """Distinct (a, b) of different labels in a bucket that pass on 32-bit shingle sets, block against block.
 
-    rows(bucket, rep, label, n, pivot, size, signature). A bucket of m members is dealt
-    into ceil(m / block) blocks by the member's hash, and a task sees two blocks at most.
+    rows(bucket, rep, label, n, pivot, size, signature, set). A bucket of m members is
+    dealt into ceil(m / block) blocks by the member's hash, and a task sees two blocks at
+    most. A pair is handled in the first bucket that it shares, the likeliest pairs come
+    first, and once a pair is beyond doubt its two labels count as one in this task.
     """
     count = F.ceil(F.col("size") / s.block).cast("int")
     own = F.pmod(F.xxhash64("rep"), count).cast("int")
     dealt = rows.withColumn("blocks", count).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "label", "n", "pivot", "signature")
+    dealt = dealt.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "label", "n", "pivot", "signature", "set")
     dealt = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
 
-    def compare(group: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        width = s.bands * s.rows
-        sig = _signatures(group.column(8), width)
+    def likely(group: pa.RecordBatch, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rep, label, n, pivot, own, low, high = (_numbers(group, x) for x in ("rep", "label", "n", "pivot", "own", "low", "high"))
-        found_a, found_b = [], []
-        step = max(1, (1 << 20) // max(1, len(rep)))
+        here = int(np.flatnonzero(T.band_hashes(sig[:1], s.rows)[0] == _numbers(group, "bucket")[0])[0])
+        found = [np.zeros((3, 0), dtype=np.int64)]
+        step = max(1, (1 << 20) // len(rep))
         for i in range(0, len(rep), step):
             left = np.arange(i, min(i + step, len(rep)))
             ok = (label[left, None] != label[None, :]) & (rep[left, None] < rep[None, :]) & (rep[left, None] != pivot[None, :]) & (rep[None, :] != pivot[None, :])
             if low[0] != high[0]:  # pairs inside a block belong to the task of that block alone
                 ok &= own[left, None] != own[None, :]
             x, y = np.nonzero(ok)
-            for k in range(0, len(x), 1 << 17):
-                p, q = left[x[k : k + (1 << 17)]], y[k : k + (1 << 17)]
+            for k in range(0, len(x), 1 << 16):
+                p, q = left[x[k : k + (1 << 16)]], y[k : k + (1 << 16)]
                 at = s.survives(sig[p], sig[q], n[p], n[q])
-                found_a.append(rep[p[at]])
-                found_b.append(rep[q[at]])
-        none = np.zeros(0, dtype=np.int64)
-        return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (none, none)
+                same = sig[p[at]] == sig[q[at]]
+                first = same.reshape(len(at), s.bands, s.rows).all(axis=2).argmax(axis=1) == here
+                found.append(np.stack([p[at], q[at], -same.sum(axis=1)])[:, first])
+        pairs = np.concatenate(found, axis=1)
+        return pairs[:2, np.argsort(pairs[2], kind="stable")]
+
+    def compare(group: pa.RecordBatch) -> list[tuple[int, int]]:
+        p, q = likely(group, _signatures(group.column(8), s.bands * s.rows))
+        if not len(p):
+            return []
+        rep, label, sets = _numbers(group, "rep"), _numbers(group, "label").tolist(), {}
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := parent.get(x, x)) != x:
+                parent[x] = parent.get(y, y)
+                x = y
+            return x
+
+        found = []
+        for i, j in zip(p.tolist(), q.tolist()):
+            x, y = root(label[i]), root(label[j])
+            if x == y:
+                continue
+            for k in (i, j):
+                if k not in sets:
+                    sets[k] = np.frombuffer(group.column(9)[k].as_buffer(), dtype=np.uint32)
+            u, v = sets[i], sets[j]
+            both, total = len(np.intersect1d(u, v, assume_unique=True)), len(u) + len(v)
+            # A 32-bit hash may meet another by chance: near the threshold the full sets decide alone.
+            if s.denominator * (both + 4) >= s.numerator * (total - both - 4):
+                found.append((int(rep[i]), int(rep[j])))
+                if s.denominator * (both - 4) >= s.numerator * (total - both + 4):
+                    parent[x] = y
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ("bucket", "low", "high")):
-            a, b = compare(group)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            if found := compare(group):
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in zip(*found)], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -230,8 +274,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scores = rows.groupBy("rep").agg(F.sum("size").alias("score")).join(classes, "rep")
     rows = saved(rows.join(scores, "rep").select("bucket", "rep", "size", "score", "n", "signature"))
     best = rows.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("rep")).alias("minus"), "n", "signature")).alias("p"))
+    # Texts of classes that share a bucket: all that is compared from here on.
+    texts = saved(docs.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     pivots = saved(best.select("bucket", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.signature").alias("pivot_signature")))
-    links = saved(verified(pivot_candidates(rows, pivots, s), docs, s))
+    links = saved(verified(pivot_candidates(rows, pivots, s), texts, s))
 
     twice = members.select("doc_id", "rep").distinct()
     first = twice.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b < last")
@@ -241,7 +287,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rows.join(labels, rows.rep == labels.node, "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"), "n", "signature", "size")
     open_ = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low < high AND m > 2").select("bucket")
     left = named.join(saved(open_.join(pivots.select("bucket", "pivot"), "bucket")), "bucket")
-    more = saved(verified(block_candidates(left, s), docs, s))
+    sets = short_sets(texts.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), s)
+    more = saved(verified(block_candidates(left.join(sets, "rep"), s), texts, s))
     if more.limit(1).count():
         moved = more.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b", "left")
         upper = components(moved.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))

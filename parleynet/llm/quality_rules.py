@@ -27,7 +27,7 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 class Limits:
     """Parameters of the rules: base rules, and the limits on repeats of `repeat_words` words or more."""
 
-    def __init__(self, min_words: int = 50, max_repeat_percent: int = 50, repeat_words: int = 12, max_covered_percent: int = 30, max_longest: int = 200):
+    def __init__(self, min_words: int = 50, max_repeat_percent: int = 50, repeat_words: int = 12, max_covered_percent: int = 30, max_longest: int = 100):
         self.min_words, self.max_repeat_percent = min_words, max_repeat_percent
         self.repeat_words, self.max_covered_percent, self.max_longest = repeat_words, max_covered_percent, max_longest
 

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .language_id import op10_language_id
 from .near_duplicates import op3_near_duplicates
+from .quality_rules import op9_quality_rules
 from .token_counts import op8_token_counts
 
 QUERIES = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_bpe": op4_bpe,
     "op8_token_counts": op8_token_counts,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_language_id": op10_language_id,
 }
 
 #: SQL for DuckDB where SQL can express the query.

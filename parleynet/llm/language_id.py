@@ -63,7 +63,7 @@ class Dictionaries:
         return self.languages[best], min(1.0, max(0.0, 1 - sizes[best] / sizes[after])) if sizes[after] else 0.0
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 64, doc_bytes: int = 2000, level: int = 3, seed: int = 11) -> Dictionaries:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 64, doc_bytes: int = 2000, level: int = 9, seed: int = 11) -> Dictionaries:
     """Dictionaries from labelled rows (text and language not null).
 
     A language is fitted on `sample_docs` distinct texts at most, the first by a seeded

@@ -132,6 +132,23 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, percent: int = 8
     return chosen(docs, ends, seed)
 
 
+def mixed(docs: DataFrame, weights: dict[str, int] | None = None, percent: int = 80, max_epochs: int = 1, seed: int = 5) -> DataFrame:
+    """The rows of documents that the mixture takes, all columns as they are, once for each epoch that takes them.
+
+    A document stays whole where its leaf's prefix ends in it. No text is moved: a row's
+    leaf and place in the seeded order decide, against one small row of bounds a leaf.
+    """
+    kept = [F.col(f"whole_row.{c}").alias(c) for c in docs.columns]
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("whole_row"), docs["doc_id"].cast("long").alias("doc_id"), "text", "lang", "source")
+    rows = with_domain(rows).drop("text")
+    for c in LEVELS:
+        rows = rows.withColumn(c, F.coalesce(F.col(c).cast("string"), F.lit("(none)")))
+    counted = saved(rows.drop("whole_row"))
+    leaves = counted.groupBy(*LEVELS).agg(F.sum(F.when(F.col("n_tokens") > 0, 1).otherwise(0)).alias("docs"), F.sum("n_tokens").alias("tokens")).where("tokens > 0")
+    ends = saved(cutoffs(counted, saved(budgets(saved(leaves), weights or {}, percent, max_epochs)), seed))
+    return chosen(rows, ends, seed).select(*kept)
+
+
 #: Weights of the registered query and the pipeline.
 WEIGHTS = {"core": 3, "tail": 1, "*/en": 4, "*/fr": 2, "*/de": 2, "*/es": 1}
 

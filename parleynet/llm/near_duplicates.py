@@ -301,5 +301,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:
+    """The rows of docs, all columns as they are, without those that near_duplicates() doesn't keep.
+
+    Of rows that repeat a kept doc_id one stays, any of them; rows with a null doc_id all stay.
+    """
+    gone = near_duplicates(docs, id_col, text_col, settings).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    rest = docs.join(gone, docs[id_col].cast("long") == gone.gone_id, "left_anti")
+    repeated = rest.groupBy(F.col(id_col).alias("repeated_id")).agg(F.count("*").alias("rows_of_id")).where("rows_of_id > 1 AND repeated_id IS NOT NULL").select("repeated_id")
+    if not repeated.limit(1).count():
+        return rest
+    single = rest.join(repeated, rest[id_col] == repeated.repeated_id, "left_anti")
+    several = rest.join(repeated, rest[id_col] == repeated.repeated_id, "left_semi")
+    return single.unionByName(several.dropDuplicates([id_col]))
+
+
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), settings=Settings(numerator=85))

@@ -5,7 +5,7 @@ pre-token: one row (piece, first row of the block, [(row, frequency), ...]). The
 meet by pre-token, so that a distinct pre-token's pieces are counted once; the count is
 multiplied into its documents' frequencies and the products are summed by document.
 A very common pre-token has one row for each block of documents, not one for each
-occurrence or document.
+occurrence or document, and sums go back packed by block as well.
 """
 
 from __future__ import annotations
@@ -21,8 +21,21 @@ from . import _text as T
 from .bpe import load
 
 BLOCK_PIECES = 4_000_000
+BLOCK_DOCS = 1 << 20
 HELD_SUMS = 2_000_000
 ROW_BITS = 36
+#: A document's number in its block and a frequency share 32 bits; a larger frequency is several entries.
+COUNT_BITS = 12
+MOST = (1 << COUNT_BITS) - 1
+
+
+def pack(row: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entries, entries of each pair) of (row, count) pairs."""
+    n = -(-count // MOST)
+    last = np.cumsum(n) - 1
+    part = np.full(int(n.sum()), MOST, dtype=np.int64)
+    part[last] = count - (n - 1) * MOST
+    return ((np.repeat(row, n) << COUNT_BITS) | part).astype(np.uint32), n
 
 
 def _packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -52,13 +65,13 @@ class _Block:
         yield _row([None], [self.base], pa.array([_ipc(header)], type=pa.binary()))
         code, row, count = np.concatenate(self.pieces, axis=1) if self.pieces else np.zeros((3, 0), np.int64)
         order = np.argsort(code, kind="stable")
-        pairs = np.stack([row[order], count[order]], axis=1).astype(np.uint32)
-        each = np.bincount(code, minlength=len(self.codes))
+        entries, n = pack(row[order], count[order])
+        each = np.bincount(code[order], weights=n, minlength=len(self.codes)).astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(each)])
         names = list(self.codes)
         for low in range(0, len(names), 20_000):
             high = min(low + 20_000, len(names))
-            yield _row(names[low:high], [self.base] * (high - low), _packed(pairs[ends[low] : ends[high]].ravel(), each[low:high] * 2))
+            yield _row(names[low:high], [self.base] * (high - low), _packed(entries[ends[low] : ends[high]], each[low:high]))
 
 
 def _row(names: list, bases: list[int], payload: pa.Array) -> pa.RecordBatch:
@@ -82,7 +95,7 @@ def piece_frequencies(docs: DataFrame, path: str | None) -> DataFrame:
         for batch in batches:
             for part in T.slices(batch, "text"):
                 block.add(part, split)
-                if block.n >= BLOCK_PIECES:
+                if block.n >= BLOCK_PIECES or len(block.sizes) >= BLOCK_DOCS // 2:
                     yield from block.batches()
                     block = _Block(block.base + len(block.sizes))
         if block.sizes:
@@ -92,51 +105,44 @@ def piece_frequencies(docs: DataFrame, path: str | None) -> DataFrame:
 
 
 def counted(frequencies: DataFrame, path: str | None) -> DataFrame:
-    """(row, doc_id, n_bytes, n_tokens): parts of each document's count, from rows sorted by piece."""
+    """(base, header, payload): each block's documents, and parts of its sums as (row, sum) pairs; the input is sorted by piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         last, pieces = None, 0
-        rows, sums, held = [], [], 0
+        rows, sums, held, bases = [], [], 0, set()
         for batch in batches:
             names, base = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             payload = batch.column(2)
             each = np.zeros(len(names), dtype=np.int64)
-            heads = []
             for i, name in enumerate(names):
-                if name is None:
-                    heads.append(i)
-                    continue
-                if name != last:
+                if name is not None and name != last:
                     last = name
                     pieces = 1 if name in bpe.special else len(bpe.merge(name.encode()))
-                each[i] = pieces
-            for i in heads:
-                table = pa.ipc.open_stream(payload[i].as_buffer()).read_all()
-                at = np.arange(table.num_rows) + base[i]
-                yield _part(at, table.column("doc_id").combine_chunks(), table.column("n_bytes").combine_chunks(), np.zeros(len(at), np.int64))
-            if heads:
-                keep = pa.array(each > 0)
-                payload, base, each = payload.filter(keep), base[each > 0], each[each > 0]
+                each[i] = pieces if name is not None else 0
+            if len(heads := np.flatnonzero(each == 0)):
+                yield _sums(base[heads], payload.take(pa.array(heads)), None)
+                keep = np.flatnonzero(each)
+                payload, base, each = payload.take(pa.array(keep)), base[keep], each[keep]
             if len(each):
                 _, offsets, data = payload.buffers()
                 at = np.frombuffer(offsets, dtype=np.int32)[payload.offset : payload.offset + len(payload) + 1]
-                pair = np.frombuffer(data, dtype=np.uint32, count=(at[-1] - at[0]) // 4, offset=int(at[0])).reshape(-1, 2)
-                n = np.diff(at) // 8
-                rows.append(np.repeat(base, n) + pair[:, 0])
-                sums.append(np.repeat(each, n) * pair[:, 1])
-                held += len(pair)
+                entry = np.frombuffer(data, dtype=np.uint32, count=(at[-1] - at[0]) // 4, offset=int(at[0]))
+                n = np.diff(at) // 4
+                rows.append(np.repeat(base, n) + (entry >> COUNT_BITS))
+                sums.append(np.repeat(each, n) * (entry & MOST))
+                held += len(entry)
+                bases.update(np.unique(base).tolist())
             if held > HELD_SUMS:
                 row, total = _summed(rows, sums)
                 rows, sums, held = [row], [total], len(row)
                 if held > HELD_SUMS // 2:
-                    yield _part(row, None, None, total)
-                    rows, sums, held = [], [], 0
+                    yield _by_block(row, total, bases)
+                    rows, sums, held, bases = [], [], 0, set()
         if held:
-            row, total = _summed(rows, sums)
-            yield _part(row, None, None, total)
+            yield _by_block(*_summed(rows, sums), bases)
 
-    return frequencies.mapInArrow(run, "row long, doc_id long, n_bytes long, n_tokens long")
+    return frequencies.mapInArrow(run, "base long, header binary, payload binary")
 
 
 def _summed(rows: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -147,9 +153,41 @@ def _summed(rows: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray,
     return row[first], np.add.reduceat(total, first)
 
 
-def _part(row: np.ndarray, doc_id: pa.Array | None, n_bytes: pa.Array | None, n_tokens: np.ndarray) -> pa.RecordBatch:
-    none = pa.nulls(len(row), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(row), none if doc_id is None else doc_id, none if n_bytes is None else n_bytes, pa.array(n_tokens.astype(np.int64))], ["row", "doc_id", "n_bytes", "n_tokens"])
+def _by_block(row: np.ndarray, total: np.ndarray, bases: set[int]) -> pa.RecordBatch:
+    base = np.array(sorted(bases), dtype=np.int64)
+    cut = np.append(np.searchsorted(row, base), len(row))
+    n = np.diff(cut)
+    pairs = np.stack([row - np.repeat(base, n), total], axis=1).astype(np.uint32)
+    return _sums(base, None, _packed(pairs.ravel(), n * 2))
+
+
+def _sums(base: np.ndarray, header: pa.Array | None, payload: pa.Array | None) -> pa.RecordBatch:
+    none = pa.nulls(len(base), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(base), none if header is None else header, none if payload is None else payload], ["base", "header", "payload"])
+
+
+def by_document(parts: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens) of each document, from parts sorted by block with its header first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, total = None, None
+        for batch in batches:
+            for header, payload in zip(batch.column(1), batch.column(2)):
+                if header.is_valid:
+                    if docs is not None:
+                        yield done(docs, total)
+                    docs = pa.ipc.open_stream(header.as_buffer()).read_all()
+                    total = np.zeros(docs.num_rows, dtype=np.int64)
+                else:
+                    pair = np.frombuffer(payload.as_buffer(), dtype=np.uint32).reshape(-1, 2)
+                    total[pair[:, 0]] += pair[:, 1]
+        if docs is not None:
+            yield done(docs, total)
+
+    def done(docs: pa.Table, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([docs.column("doc_id").combine_chunks(), docs.column("n_bytes").combine_chunks(), pa.array(total)], ["doc_id", "n_bytes", "n_tokens"])
+
+    return parts.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -163,8 +201,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     met = piece_frequencies(docs, path).withColumn("key", F.coalesce("piece", F.col("base").cast("string")))
     shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = met.repartition(shuffles, "key").sortWithinPartitions("key", "base").select("piece", "base", "payload")
-    parts = counted(met, path)
-    return parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens")).drop("row")
+    parts = counted(met, path).repartition(shuffles, "base").sortWithinPartitions("base", F.col("header").isNull())
+    return by_document(parts)
 
 
 def op8_token_counts(spark, sf_dir: str) -> DataFrame:

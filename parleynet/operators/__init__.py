@@ -1 +1 @@
-"""."""
+"""Relational and graph operators over edges, articles and labels."""

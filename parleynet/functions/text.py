@@ -63,7 +63,7 @@ def parse_candidates(raw: Column) -> Column:
 
     def of_object(s: Column) -> Column:
         fields = F.from_json(s, "map<string,string>")
-        lists = F.filter(F.json_object_keys(s), lambda k: s.rlike(F.concat(F.lit(r'"\Q'), k, F.lit(r'\E"\s*:\s*\['))) & F.from_json(F.element_at(fields, k), "array<string>").isNotNull())
+        lists = F.filter(F.json_object_keys(s), lambda k: F.rlike(s, F.concat(F.lit(r'"\Q'), k, F.lit(r'\E"\s*:\s*\['))) & F.from_json(F.element_at(fields, k), "array<string>").isNotNull())
         bare = F.when(F.map_contains_key(fields, "source") & F.map_contains_key(fields, "target"), F.array(s))
         return F.coalesce(F.from_json(F.element_at(fields, F.get(lists, 0)), "array<string>"), bare, none)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import config
 from ..functions.text import canon_text, strip
@@ -71,7 +71,7 @@ def mock_provider(prompts: list[str]) -> list[str]:
 
 def call_provider(chunks: DataFrame, provider: Callable[[list[str]], list[str]], batch: int = 64) -> DataFrame:
     """chunks(…, prompt) with `raw_response` and `error`: a failed batch is tried prompt by prompt, and a failure is kept as a row."""
-    schema = chunks.schema.add("raw_response", "string").add("error", "string")
+    schema = T.StructType([*chunks.schema.fields, T.StructField("raw_response", T.StringType()), T.StructField("error", T.StringType())])
 
     def ask(prompts: list[str]) -> list[tuple[str | None, str | None]]:
         try:

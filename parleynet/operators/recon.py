@@ -26,13 +26,13 @@ CUES = {
     "SANCTION": "sanction, blacklist, impose, penalise, penalize",
     "ASSAULT": "strike, bomb, attack, hit, launch, kill, target",
 }
-NAME = r"\p{Lu}[\p{L}'’.-]*(?: \p{Lu}[\p{L}'’.-]*)*"
+NAME = r"\p{Lu}[\p{L}'’-]*(?: \p{Lu}[\p{L}'’-]*)*"
 
 
 def names(text: Column) -> Column:
     """Runs of capitalised words, more than one character long."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NAME), F.lit(0))
-    return F.filter(F.transform(found, lambda x: F.trim(F.regexp_replace(x, r"[.'’-]+$", ""))), lambda x: F.length(x) > 1)
+    return F.filter(F.transform(found, lambda x: F.trim(F.regexp_replace(x, r"['’-]+$", ""))), lambda x: F.length(x) > 1)
 
 
 def discover(docs: DataFrame, text: str = "text", keep: int | None = 200, tagger=names) -> DataFrame:

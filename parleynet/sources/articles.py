@@ -77,9 +77,10 @@ def by_time(timestamp: Column, raw: bool = False) -> Column:
 
 
 def merged(stores: Iterable[DataFrame], key: str = "url", seq: str = "seq", raw_order: bool = False) -> DataFrame:
-    """Stores put together, the last listing of each key, in order of time."""
-    rows = last_wins(union_all(stores), key, seq)
-    return rows.orderBy(by_time(F.col("timestamp"), raw_order), seq)
+    """Stores put together, the last listing of each key, in order of time; equal times by the key's first listing."""
+    rows = union_all(stores)
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*(c for c in rows.columns if c != key)), seq).alias("r"), F.min(seq).alias("first_seq"))
+    return best.select(key, "r.*", "first_seq").orderBy(by_time(F.col("timestamp"), raw_order), "first_seq").drop("first_seq")
 
 
 def write_articles_csv(rows: DataFrame, path: str, columns: list[str] = schemas.ARTICLE_COLUMNS, one_file: bool = False) -> None:

@@ -72,11 +72,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)).alias("h"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # Distinct places in the order, so that repeated rows don't thin the sample; one number for each language.
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         return Dictionaries({}, level)
     # Four times the sample on average, so that fewer than the sample is all but impossible; the rest is never moved.
-    limits = {lang: min(1.0, 4 * sample_docs / n) for lang, n in counts.items()}
+    limits = {lang: min(1.0, 4 * sample_docs / max(1, n)) for lang, n in counts.items()}
     limit = F.create_map(*(x for lang, share in limits.items() for x in (F.lit(lang), F.lit(int(share * (1 << 32))))))
     rows = rows.where(F.pmod(F.col("h"), F.lit(1 << 32)) <= limit[F.col("lang")])
 

@@ -3,10 +3,10 @@
 A page is a sequence of tokens: tags told apart by their path, and the texts between
 tags. Over the pages of a host, tokens with the same occurrence vector (how often they
 occur on each page) form a class; a class is kept if it is large and frequent enough.
-The vector of the page itself, once on every page, gives the skeleton, and kept classes
-whose paths lie inside the skeleton's nest in it: together they are the host's template.
-Texts of the skeleton class are the same on every page and belong to the template; what
-lies between template tokens are slots, and the slots of the article are its text.
+Classes that occur on nearly all of the host's pages give the skeleton, and other kept
+classes nest in it by their paths: together they are the host's template. Texts of the
+skeleton are the same on all those pages and belong to the template; what lies between
+template tokens are slots, and the slots of the article are its text.
 
 An occurrence vector is never gathered: a token's pages are folded into 64 bits by
 exclusive or of a hash of page and count, which adds up in any order and on any machine,
@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import _text as T
+from ._run import saved
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
@@ -46,6 +47,8 @@ ASIDE_NAMES = frozenset(
     "popup promo promoted related replies search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
 )
 ARTICLE_TAGS = frozenset(["article", "main"])
+#: Templates up to this size go to every task, so that no page moves; larger ones meet their pages by host and part.
+SENT_BYTES, HOST_PARTS = 8 << 20, 64
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
@@ -183,11 +186,12 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, min_pages: int = 10, min_class: int = 2, link_percent: int = 60, held: int = 200_000) -> DataFrame:
+def templates(pages: DataFrame, min_pages: int = 10, min_class: int = 2, skeleton_percent: int = 80, link_percent: int = 60, held: int = 200_000) -> DataFrame:
     """(host, template): each host's template texts and slots of links, from pages(host, html).
 
-    A class counts from min_pages pages and min_class tokens on; hosts of fewer pages get
-    no template, as anything their pages share may be the article itself.
+    A class counts from min_pages pages and min_class tokens on, and is of the skeleton
+    from skeleton_percent of the host's pages on; hosts of fewer pages get no template, as
+    anything their pages share may be the article itself.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,9 +220,11 @@ def templates(pages: DataFrame, min_pages: int = 10, min_class: int = 2, link_pe
 
     rows = pages.select("host", "html").mapInArrow(run, "host string, token string, n long, vector long, chars long, linked long")
     tokens = rows.groupBy("host", "token").agg(F.sum("n").alias("n"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")).where(F.col("n") >= min_pages)
-    classes = tokens.groupBy("host", "n", "vector").agg(F.count("*").alias("size"), F.max(F.col("token") == "#page").alias("skeleton"), F.collect_list(F.struct("token", "chars", "linked")).alias("tokens")).where(F.col("size") >= min_class)
+    tokens = saved(tokens)
+    classes = tokens.groupBy("host", "n", "vector").agg(F.count("*").alias("size"), F.collect_list(F.struct("token", "chars", "linked")).alias("tokens")).where(F.col("size") >= min_class)
+    hosts = tokens.where("token = '#page'").select("host", F.col("n").alias("pages"))
     x = F.col("x")
-    kept = classes.select("host", "skeleton", F.explode("tokens").alias("x"))
+    kept = classes.join(hosts, "host").select("host", (F.col("n") * 100 >= F.col("pages") * skeleton_percent).alias("skeleton"), F.explode("tokens").alias("x"))
     text = F.when(F.col("skeleton") & x.token.startswith("t"), x.token)
     slot = F.when(x.token.startswith("g") & (x.chars > 0) & (x.linked * 100 >= x.chars * link_percent), F.concat(F.lit("l"), F.substring(x.token, 2, 1 << 30)))
     return kept.select("host", F.coalesce(text, slot).alias("t")).where("t IS NOT NULL").groupBy("host").agg(F.sort_array(F.collect_list("t")).alias("template"))
@@ -228,7 +234,14 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """(page_id, url, text, n_chars) for each row; a null html is empty and gives the empty text, a null url is the host ''. Other columns are not looked at."""
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     pages = pages.withColumn("host", host_of(F.col("url")))
-    met = pages.join(templates(pages, min_pages), "host", "left").select("page_id", "url", "html", "template")
+    known = saved(templates(pages, min_pages))
+    size = known.agg(F.sum(F.length("host") + F.length(F.concat_ws(" ", "template")))).first()[0] or 0
+    if size <= SENT_BYTES:
+        met = pages.join(F.broadcast(known), "host", "left")
+    else:  # a host of very many pages is dealt into parts, each with the host's template
+        parts = pages.withColumn("part", F.pmod(F.xxhash64("url", "html"), F.lit(HOST_PARTS)))
+        met = parts.join(known.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HOST_PARTS - 1).cast("long")))), ["host", "part"], "left")
+    met = met.select("page_id", "url", "html", "template")
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

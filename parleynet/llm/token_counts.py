@@ -198,9 +198,9 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Other columns are not looked at; an empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    met = piece_frequencies(docs, path).withColumn("key", F.coalesce("piece", F.col("base").cast("string")))
     shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = met.repartition(shuffles, "key").sortWithinPartitions("key", "base").select("piece", "base", "payload")
+    # Headers have no piece and are spread by their block.
+    met = piece_frequencies(docs, path).repartition(shuffles, F.coalesce("piece", F.col("base").cast("string"))).sortWithinPartitions("piece", "base")
     parts = counted(met, path).repartition(shuffles, "base").sortWithinPartitions("base", F.col("header").isNull())
     return by_document(parts)
 

@@ -154,3 +154,19 @@ def op1_chat_format(spark, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     back = read_back(format_trees(from_turns(rows.unionByName(extra), "conv_id", "turn")))
     return back.select(F.col("tree").try_cast("long").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+def _escaped_length(text: str) -> str:
+    """SQL of the length that a text has once escaped: a character more for each backslash and each control string."""
+    strings = ["\\", *CONTROLS]
+    return f"length({text}) + " + " + ".join(f"(length({text}) - length(replace({text}, '{c}', ''))) // {len(c)}" for c in strings)
+
+
+ORACLE = f"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS t FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]', 'user', 'x' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant', 'x')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len(OPEN) + len(SEPARATOR) + len(CLOSE) + 1} + {_escaped_length("role")} + {_escaped_length("text")}) AS BIGINT) AS formatted_chars
+FROM rows GROUP BY conv_id
+"""

@@ -157,4 +157,25 @@ def clean(docs: DataFrame, text_col: str = "text", limits: Limits | None = None)
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return quality(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("longest_repeat")
+
+
+def _covered(k: int) -> str:
+    """SQL of (doc_id, n): words in windows of k words that a text holds more than once."""
+    return f"""(SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {k})) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h) AS c FROM
+      (SELECT doc_id, i, md5(array_to_string(w[i:i + {k - 1}], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {k - 2}, 1))) AS i FROM d))) WHERE c > 1) GROUP BY doc_id)"""
+
+
+def oracle(limits: Limits | None = None) -> str:
+    s = limits or Limits()
+    word = r"[^ \t\n\x0B\f\r]+"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d), dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '{word}') GROUP BY doc_id),
+c3 AS {_covered(3)}, cr AS {_covered(s.repeat_words)}, long AS {_covered(s.max_longest + 1)},
+m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  coalesce(dup.n, 0) AS n_dup_lines, coalesce(c3.n, 0) AS n_repeat_words, coalesce(cr.n, 0) AS n_covered_words, coalesce(long.n, 0) AS too_long
+  FROM d LEFT JOIN dup ON d.doc_id = dup.doc_id LEFT JOIN c3 ON d.doc_id = c3.doc_id LEFT JOIN cr ON d.doc_id = cr.doc_id LEFT JOIN long ON d.doc_id = long.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered_words, n_words < {s.min_words} OR 100 * n_repeat_words > {s.max_repeat_percent} * n_words AS base_failed,
+  NOT (n_words < {s.min_words} OR 100 * n_repeat_words > {s.max_repeat_percent} * n_words OR 100 * n_covered_words > {s.max_covered_percent} * n_words OR too_long > 0) AS kept FROM m
+"""

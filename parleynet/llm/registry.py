@@ -2,28 +2,31 @@
 
 from __future__ import annotations
 
-from . import license_scan, mixture
+from . import chat_format, license_scan, mixture, near_duplicates, quality_rules
 from .bpe import op4_bpe
-from .chat_format import op1_chat_format
 from .fingerprints import op6_fingerprints
 from .html_extract import op5_html_extract
 from .language_id import op10_language_id
-from .near_duplicates import op3_near_duplicates
-from .quality_rules import op9_quality_rules
 from .token_counts import op8_token_counts
 
 QUERIES = {
-    "op1_chat_format": op1_chat_format,
+    "op1_chat_format": chat_format.op1_chat_format,
     "op2_mixture": mixture.op2_mixture,
-    "op3_near_duplicates": op3_near_duplicates,
+    "op3_near_duplicates": near_duplicates.op3_near_duplicates,
     "op4_bpe": op4_bpe,
     "op5_html_extract": op5_html_extract,
     "op6_fingerprints": op6_fingerprints,
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_token_counts": op8_token_counts,
-    "op9_quality_rules": op9_quality_rules,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_language_id": op10_language_id,
 }
 
 #: SQL for DuckDB where SQL can express the query.
-ORACLES: dict[str, str] = {"op2_mixture": mixture.ORACLE, "op7_license_scan": license_scan.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_chat_format": chat_format.ORACLE,
+    "op2_mixture": mixture.ORACLE,
+    "op3_near_duplicates": near_duplicates.ORACLE,
+    "op7_license_scan": license_scan.ORACLE,
+    "op9_quality_rules": quality_rules.oracle(),
+}

@@ -62,8 +62,8 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     s = settings or Settings()
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
     signed = saved(sign(docs, s).where("n_shingles > 0"))
-    classes = signed.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "signature")
-    rows = saved(band_rows(classes, s).distinct().join(classes, "rep"))
+    classes = signed.select(F.xxhash64("doc_id", "key1").alias("cls"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "signature").dropDuplicates(["cls"])
+    rows = saved(band_rows(classes, s).join(classes, "cls"))
     pivots = rows.groupBy("bucket").agg(F.min(F.struct(F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"), F.col("signature").alias("pivot_signature"))).alias("p"), F.count("*").alias("m")).where("m > 1").select("bucket", "p.*")
     return verified(pivot_candidates(rows, pivots, s), docs, s)
 

@@ -95,15 +95,15 @@ def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 def band_rows(classes: DataFrame, s: Settings) -> DataFrame:
-    """(bucket, rep): a row for each band of each class."""
+    """(bucket, cls): a row for each band of each class(cls, signature)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 hashes = T.band_hashes(_signatures(batch.column(1), s.bands * s.rows), s.rows)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.ravel()), pa.array(np.repeat(_numbers(batch, "rep"), s.bands))], ["bucket", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.ravel()), pa.array(np.repeat(_numbers(batch, "cls"), s.bands))], ["bucket", "cls"])
 
-    return classes.select("rep", "signature").mapInArrow(run, "bucket long, rep long")
+    return classes.select("cls", "signature").mapInArrow(run, "bucket long, cls long")
 
 
 def pivot_candidates(rows: DataFrame, pivots: DataFrame, s: Settings) -> DataFrame:
@@ -136,25 +136,25 @@ def short_sets(texts: DataFrame, s: Settings) -> DataFrame:
 def block_candidates(rows: DataFrame, s: Settings) -> DataFrame:
     """Distinct (a, b) of different labels in a bucket that pass on 32-bit shingle sets, block against block.
 
-    rows(bucket, rep, label, n, pivot, size, signature, set). A bucket of m members is
+    rows(bucket, cls, rep, label, n, pivot_cls, size, signature, set). A bucket of m members is
     dealt into ceil(m / block) blocks by the member's hash, and a task sees two blocks at
     most. A pair is handled in the first bucket that it shares, the likeliest pairs come
     first, and once a pair is beyond doubt its two labels count as one in this task.
     """
     count = F.ceil(F.col("size") / s.block).cast("int")
-    own = F.pmod(F.xxhash64("rep"), count).cast("int")
+    own = F.pmod(F.xxhash64("cls"), count).cast("int")
     dealt = rows.withColumn("blocks", count).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "label", "n", "pivot", "signature", "set")
+    dealt = dealt.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "cls", "rep", "label", "n", "pivot_cls", "signature", "set")
     dealt = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
 
     def likely(group: pa.RecordBatch, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rep, label, n, pivot, own, low, high = (_numbers(group, x) for x in ("rep", "label", "n", "pivot", "own", "low", "high"))
-        here = int(np.flatnonzero(T.band_hashes(sig[:1], s.rows)[0] == _numbers(group, "bucket")[0])[0])
+        cls, label, n, pivot, own, low, high = (_numbers(group, x) for x in ("cls", "label", "n", "pivot_cls", "own", "low", "high"))
         found = [np.zeros((3, 0), dtype=np.int64)]
-        step = max(1, (1 << 20) // len(rep))
-        for i in range(0, len(rep), step):
-            left = np.arange(i, min(i + step, len(rep)))
-            ok = (label[left, None] != label[None, :]) & (rep[left, None] < rep[None, :]) & (rep[left, None] != pivot[None, :]) & (rep[None, :] != pivot[None, :])
+        here = int((T.band_hashes(sig[:1], s.rows)[0] == _numbers(group, "bucket")[0]).argmax())
+        step = max(1, (1 << 20) // len(cls))
+        for i in range(0, len(cls), step):
+            left = np.arange(i, min(i + step, len(cls)))
+            ok = (label[left, None] != label[None, :]) & (cls[left, None] < cls[None, :]) & (cls[left, None] != pivot[None, :]) & (cls[None, :] != pivot[None, :])
             if low[0] != high[0]:  # pairs inside a block belong to the task of that block alone
                 ok &= own[left, None] != own[None, :]
             x, y = np.nonzero(ok)
@@ -168,7 +168,7 @@ def block_candidates(rows: DataFrame, s: Settings) -> DataFrame:
         return pairs[:2, np.argsort(pairs[2], kind="stable")]
 
     def compare(group: pa.RecordBatch) -> list[tuple[int, int]]:
-        p, q = likely(group, _signatures(group.column(8), s.bands * s.rows))
+        p, q = likely(group, _signatures(group.column(9), s.bands * s.rows))
         if not len(p):
             return []
         rep, label, sets = _numbers(group, "rep"), _numbers(group, "label").tolist(), {}
@@ -187,7 +187,7 @@ def block_candidates(rows: DataFrame, s: Settings) -> DataFrame:
                 continue
             for k in (i, j):
                 if k not in sets:
-                    sets[k] = np.frombuffer(group.column(9)[k].as_buffer(), dtype=np.uint32)
+                    sets[k] = np.frombuffer(group.column(10)[k].as_buffer(), dtype=np.uint32)
             u, v = sets[i], sets[j]
             both, total = len(np.intersect1d(u, v, assume_unique=True)), len(u) + len(v)
             # A 32-bit hash may meet another by chance: near the threshold the full sets decide alone.
@@ -266,17 +266,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = saved(linked.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     members = linked.join(reps, ["key1", "key2", "n_shingles"])
-    classes = members.where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "signature")
+    # A class is named by its first set key; an id whose rows have several texts stands for several classes.
+    classes = members.where("doc_id = rep").select(F.col("key1").alias("cls"), "rep", F.col("n_shingles").alias("n"), "signature").dropDuplicates(["cls"])
 
-    bands = band_rows(classes, s).distinct()
+    bands = band_rows(classes, s)
     shared = bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     rows = saved(bands.join(shared, "bucket"))
-    scores = rows.groupBy("rep").agg(F.sum("size").alias("score")).join(classes, "rep")
-    rows = saved(rows.join(scores, "rep").select("bucket", "rep", "size", "score", "n", "signature"))
-    best = rows.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("rep")).alias("minus"), "n", "signature")).alias("p"))
+    scores = rows.groupBy("cls").agg(F.sum("size").alias("score")).join(classes, "cls")
+    rows = saved(rows.join(scores, "cls").select("bucket", "cls", "rep", "size", "score", "n", "signature"))
+    best = rows.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("rep")).alias("minus"), "cls", "n", "signature")).alias("p"))
     # Texts of classes that share a bucket: all that is compared from here on.
     texts = saved(docs.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    pivots = saved(best.select("bucket", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.signature").alias("pivot_signature")))
+    pivots = saved(best.select("bucket", (-F.col("p.minus")).alias("pivot"), F.col("p.cls").alias("pivot_cls"), F.col("p.n").alias("pivot_n"), F.col("p.signature").alias("pivot_signature")))
     links = saved(verified(pivot_candidates(rows, pivots, s), texts, s))
 
     twice = members.select("doc_id", "rep").distinct()
@@ -284,9 +285,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.unionByName(twice.join(first, "doc_id").select(F.col("rep").alias("a"), "b"))
 
     labels = components(links)
-    named = rows.join(labels, rows.rep == labels.node, "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"), "n", "signature", "size")
+    named = rows.join(labels, rows.rep == labels.node, "left").select("bucket", "cls", "rep", F.coalesce("label", "rep").alias("label"), "n", "signature", "size")
     open_ = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low < high AND m > 2").select("bucket")
-    left = named.join(saved(open_.join(pivots.select("bucket", "pivot"), "bucket")), "bucket")
+    left = named.join(saved(open_.join(pivots.select("bucket", "pivot_cls"), "bucket")), "bucket")
     sets = short_sets(texts.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), s)
     more = saved(verified(block_candidates(left.join(sets, "rep"), s), texts, s))
     if more.limit(1).count():

@@ -78,6 +78,16 @@ def test_repeated_ids_are_one_node(spark):
     assert sorted((x.doc_id, x.component_id) for x in got) == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 4)]
 
 
+def test_ids_with_several_texts_in_large_buckets(spark):
+    r = random.Random(8)
+    passage = words(r, 100)
+    rows = [(i, " ".join(passage + words(r, 20 + i))) for i in range(30)] + [(i, " ".join(words(r, 80))) for i in range(0, 30, 2)]
+    rows += [(50, edited(r, rows[3][1].split(), 1)), (51, edited(r, rows[30][1].split(), 1))]
+    got = {(x.doc_id, x.n_shingles): x.component_id for x in ND.near_duplicates(spark.createDataFrame(rows, SCHEMA), settings=ND.Settings(numerator=85, block=8)).collect()}
+    expected = brute_components(rows, 85)
+    assert {i: c for (i, _), c in got.items()} == expected and len({n for _, n in got}) > 20
+
+
 def test_empty_table_and_clashing_columns(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert ND.near_duplicates(empty).count() == 0 and ND.distinct_documents(empty).count() == 0

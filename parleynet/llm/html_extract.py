@@ -43,8 +43,8 @@ LIMITS = frozenset("article aside body div footer header html main nav ol sectio
 ASIDE_TAGS = frozenset("nav footer aside form button dialog menu head".split())
 #: Words by which classes, ids and roles name what isn't the article.
 ASIDE_NAMES = frozenset(
-    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments contentinfo cookie cookies consent copyright disclaimer disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices pagination "
-    "popup promo promoted related replies search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
+    "ad ads advert adverts advertisement alert announcement banner breadcrumb breadcrumbs comment comments contentinfo cookie cookies consent copyright disclaimer discussion disqus feedback footer gdpr login masthead menu modal nav navbar "
+    "navigation newsletter notice notices pagination popup promo promoted related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
 ARTICLE_TAGS = frozenset(["article", "main"])
 #: Templates up to this size go to every task, so that no page moves; larger ones meet their pages by host and part.
@@ -65,7 +65,7 @@ class Node:
         known = tag not in ("html", "body", "main") and not names.isdisjoint(ASIDE_NAMES)
         self.article = inside or (tag in ARTICLE_TAGS and not known)
         # A header of the page is no text; in an article's own header its headings are.
-        self.header = tag == "header" or (parent is not None and parent.header and tag not in HEADINGS)
+        self.header = tag == "header" or ("header" in names and tag not in HEADINGS) or (parent is not None and parent.header and tag not in HEADINGS)
         if tag in HEADINGS and inside and parent.header:
             self.header = False
         self.aside = (parent is not None and parent.aside) or tag in ASIDE_TAGS or tag in RAW or known or "hidden!" in names

@@ -10,6 +10,7 @@ CASES = [
     ("<html><head><title>T</title><style>p{}</style></head><body><header>H</header><main><p>In</p><aside>side</aside><form>f</form><div class='post-comments'>c</div><div class=\"cookie-notice\">n</div><ins class=ad>buy</ins><p>Out</p></main></body>", "In\n\nOut"),
     ("<article><p>a<p>b<ul><li>c<li>d</ul>e</article>", "a\n\nb\n\nc\n\nd\n\ne"), ("<article><script>if (a < b) { document.write('<p>x</p>') }</script><p>ok</p><!-- <p>no</p> --></article>", "ok"),
     ("<article><p>1 &lt; 2 &#8212; &eacute; &unknown; &am</p></article>", "1 < 2 — é &unknown; &am"), ("<article><p>a < b and c > d</p></article>", "a < b and c > d"), ("<article><header><h1>Head</h1><span>By me</span></header><p>t</p></article>", "Head\n\nt"),
+    ("<article><div class='article-header'><h1>Head</h1><p>By me</p></div><p>t</p></article>", "Head\n\nt"), ("<div class=page-header>Site</div><p>t</p>", "t"), ("<article><h1 class=entry-header>Head</h1></article>", "Head"),
     ("<ARTICLE><P>Upper</P></ARTICLE>", "Upper"), ('<article><p title="a > b">attr</p></article>', "attr"), ("<article><p>x</p><article class='comment'><p>reader</p></article></article>", "x"), ("<script>never closed <p>x</p>", ""), ("<article><p hidden>h</p><p>s</p></article>", "s"),
     ("<article><table><tr><td>a</td><td>b</td></tr><tr><td>c</td></tr></table></article>", "a b\n\nc"), ("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>", "deep"),
 ]

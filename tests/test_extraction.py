@@ -27,7 +27,7 @@ def make_provider():
 
 
 def test_articles_to_records(spark):
-    rows = [(0, "Dawn", "2026-04-07T01:02", f"{LONG}\n\nshort\n\n{LONG} It fails."), (1, "Dawn", "2026-05-01", "Nothing of interest here at all, not at all."), (2, "G", "2026-05-01", LONG), (3, "G", None, None)]
+    rows = [(0, "Daily", "2026-04-07T01:02", f"{LONG}\n\nshort\n\n{LONG} It fails."), (1, "Daily", "2026-05-01", "Nothing of interest here at all, not at all."), (2, "G", "2026-05-01", LONG), (3, "G", None, None)]
     articles = spark.createDataFrame(rows, "article_row long, outlet string, date string, body string")
     chunks = X.chunked(articles, AXIS, WORDS).cache()
     assert sorted(r.doc_id for r in chunks.collect()) == ["0_0", "0_1", "2_0"]

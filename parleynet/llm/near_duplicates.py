@@ -10,9 +10,9 @@ the full shingle sets of the whole texts, and verified links are closed to compo
 No bucket is ever expanded into all its pairs. Every bucket first compares its members
 with one pivot, the member that shares the most buckets with others (the original of a
 group of near copies shares more with each copy than the copies with one another).
-Links that this finds are closed to components, and only buckets that still hold
-members of different components are compared further, block against block inside a
-task, with pairs of one component left out since a link between them changes nothing.
+Links that this finds are closed to components, and only in buckets that still hold
+members of different components are those outside the pivot's compared further, block
+against block inside a task; a link inside a component would change nothing.
 """
 
 from __future__ import annotations
@@ -136,30 +136,40 @@ def short_sets(texts: DataFrame, s: Settings) -> DataFrame:
 def block_candidates(rows: DataFrame, s: Settings) -> DataFrame:
     """Distinct (a, b) of different labels in a bucket that pass on 32-bit shingle sets, block against block.
 
-    rows(bucket, cls, rep, label, n, pivot_cls, size, signature, set). A bucket of m members is
-    dealt into ceil(m / block) blocks by the member's hash, and a task sees two blocks at
-    most. A pair is handled in the first bucket that it shares, the likeliest pairs come
-    first, and once a pair is beyond doubt its two labels count as one in this task.
+    rows(bucket, cls, rep, label, n, pivot_cls, pivot_label, members, outside, signature, set).
+    Members of the pivot's component need no comparison with one another, so only the
+    `outside` others are compared with all: blocks of the others against blocks of all,
+    each dealt by the member's hash. While the others fill one block, a member travels
+    once for itself and others travel along with every block of members. A pair is
+    handled in the first bucket that it shares, the likeliest pairs come first, and once
+    a pair is beyond doubt its two labels count as one in this task.
     """
-    count = F.ceil(F.col("size") / s.block).cast("int")
-    own = F.pmod(F.xxhash64("cls"), count).cast("int")
-    dealt = rows.withColumn("blocks", count).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "cls", "rep", "label", "n", "pivot_cls", "signature", "set")
-    dealt = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    wide, tall = (F.ceil(F.col(c) / s.block).cast("int") for c in ("members", "outside"))
+    rows = rows.withColumn("other", F.col("label") != F.col("pivot_label")).withColumn("wide", wide).withColumn("tall", tall)
+    rows = rows.withColumn("across", F.pmod(F.xxhash64("cls"), F.col("wide")).cast("int")).withColumn("down", F.pmod(F.xxhash64("cls"), F.col("tall")).cast("int"))
+
+    def seat(down, across, left, right):
+        return F.struct(down.alias("down"), across.alias("across"), left.alias("left"), right.alias("right"))
+
+    right = F.transform(F.sequence(F.lit(0), F.col("tall") - 1), lambda d: seat(d, F.col("across"), F.col("other") & (d == F.col("down")), F.lit(True)))
+    left = F.filter(F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda a: seat(F.col("down"), a, F.lit(True), F.lit(False))), lambda x: F.col("other") & (x.across != F.col("across")))
+    dealt = rows.withColumn("seat", F.explode(F.concat(right, left)))
+    dealt = dealt.select("bucket", "seat.down", "seat.across", "seat.left", "seat.right", "cls", "rep", "label", "n", "pivot_cls", "other", "signature", "set")
+    dealt = dealt.repartition("bucket", "down", "across").sortWithinPartitions("bucket", "down", "across")
 
     def likely(group: pa.RecordBatch, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cls, label, n, pivot, own, low, high = (_numbers(group, x) for x in ("cls", "label", "n", "pivot_cls", "own", "low", "high"))
-        found = [np.zeros((3, 0), dtype=np.int64)]
+        cls, label, n, pivot, other, left, right = (_numbers(group, x) for x in ("cls", "label", "n", "pivot_cls", "other", "left", "right"))
         here = int((T.band_hashes(sig[:1], s.rows)[0] == _numbers(group, "bucket")[0]).argmax())
-        step = max(1, (1 << 20) // len(cls))
-        for i in range(0, len(cls), step):
-            left = np.arange(i, min(i + step, len(cls)))
-            ok = (label[left, None] != label[None, :]) & (cls[left, None] < cls[None, :]) & (cls[left, None] != pivot[None, :]) & (cls[None, :] != pivot[None, :])
-            if low[0] != high[0]:  # pairs inside a block belong to the task of that block alone
-                ok &= own[left, None] != own[None, :]
+        found = [np.zeros((3, 0), dtype=np.int64)]
+        left, right = (np.flatnonzero(x & (cls != pivot)) for x in (left, right))
+        step = max(1, (1 << 20) // max(1, len(right)))
+        for i in range(0, len(left), step):
+            a, b = left[i : i + step, None], right[None, :]
+            # Of two others, the pair is the one's with the smaller number.
+            ok = (label[a] != label[b]) & (~other[b] | (cls[a] < cls[b]))
             x, y = np.nonzero(ok)
             for k in range(0, len(x), 1 << 16):
-                p, q = left[x[k : k + (1 << 16)]], y[k : k + (1 << 16)]
+                p, q = a[x[k : k + (1 << 16)], 0], right[y[k : k + (1 << 16)]]
                 at = s.survives(sig[p], sig[q], n[p], n[q])
                 same = sig[p[at]] == sig[q[at]]
                 first = same.reshape(len(at), s.bands, s.rows).all(axis=2).argmax(axis=1) == here
@@ -168,7 +178,7 @@ def block_candidates(rows: DataFrame, s: Settings) -> DataFrame:
         return pairs[:2, np.argsort(pairs[2], kind="stable")]
 
     def compare(group: pa.RecordBatch) -> list[tuple[int, int]]:
-        p, q = likely(group, _signatures(group.column(9), s.bands * s.rows))
+        p, q = likely(group, _signatures(group.column(11), s.bands * s.rows))
         if not len(p):
             return []
         rep, label, sets = _numbers(group, "rep"), _numbers(group, "label").tolist(), {}
@@ -187,7 +197,7 @@ def block_candidates(rows: DataFrame, s: Settings) -> DataFrame:
                 continue
             for k in (i, j):
                 if k not in sets:
-                    sets[k] = np.frombuffer(group.column(10)[k].as_buffer(), dtype=np.uint32)
+                    sets[k] = np.frombuffer(group.column(12)[k].as_buffer(), dtype=np.uint32)
             u, v = sets[i], sets[j]
             both, total = len(np.intersect1d(u, v, assume_unique=True)), len(u) + len(v)
             # A 32-bit hash may meet another by chance: near the threshold the full sets decide alone.
@@ -198,7 +208,7 @@ def block_candidates(rows: DataFrame, s: Settings) -> DataFrame:
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ("bucket", "low", "high")):
+        for group in _groups(batches, ("bucket", "down", "across")):
             if found := compare(group):
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in zip(*found)], ["a", "b"])
 
@@ -287,7 +297,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links)
     named = rows.join(labels, rows.rep == labels.node, "left").select("bucket", "cls", "rep", F.coalesce("label", "rep").alias("label"), "n", "signature", "size")
     open_ = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low < high AND m > 2").select("bucket")
-    left = named.join(saved(open_.join(pivots.select("bucket", "pivot_cls"), "bucket")), "bucket")
+    heads = pivots.join(labels.withColumnsRenamed({"node": "pivot"}), "pivot", "left").select("bucket", "pivot_cls", F.coalesce("label", "pivot").alias("pivot_label"))
+    left = named.join(saved(open_.join(heads, "bucket")), "bucket")
+    counts = left.groupBy("bucket").agg(F.count("*").alias("members"), F.count_if(F.col("label") != F.col("pivot_label")).alias("outside"))
+    left = left.join(counts, "bucket")
     sets = short_sets(texts.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), s)
     more = saved(verified(block_candidates(left.join(sets, "rep"), s), texts, s))
     if more.limit(1).count():

@@ -46,8 +46,9 @@ class Vocabulary:
     def form_rows(self, spark: SparkSession) -> DataFrame:
         """(form, actor) without excluded forms."""
         gone = {_plain(f) for f in self.excluded}
-        rows = spark.createDataFrame([(f, a) for f, a in self.forms() if f and f not in gone], "form string, actor string")
-        return F.broadcast(rows) if len(self.aliases) <= BROADCAST_FORMS else rows
+        pairs = [(f, a) for f, a in self.forms() if f and f not in gone]
+        rows = spark.createDataFrame(pairs, "form string, actor string")
+        return F.broadcast(rows) if len(pairs) <= BROADCAST_FORMS else rows
 
     def excluded_rows(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(_plain(f), why) for f, why in sorted(self.excluded.items())], "form string, why string")

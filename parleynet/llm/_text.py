@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
-BLOCK_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 U64 = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -55,6 +55,7 @@ def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
         end = min(max(end, row + 1), batch.num_rows)
         yield batch.slice(row, end - row)
         row = end
+    pa.default_memory_pool().release_unused()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

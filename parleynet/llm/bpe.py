@@ -29,7 +29,7 @@ PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 #: Numbers that Unicode 16 and later added and that the library's tables don't have yet.
 LATER_NUMBERS = r"\U00011DE0-\U00011DE9\U0001246F\U00012475-\U0001247F\U00012550-\U00012686\U00016FF4-\U00016FF6"
 PRE_TOKEN_ASTRAL = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?[\p{{N}}--[{LATER_NUMBERS}]]+| ?[[^\s\p{{L}}\p{{N}}]||[{LATER_NUMBERS}]]+|\s+(?!\S)|\s+")
-CACHED_PIECES = 300_000
+CACHED_PIECES = 200_000
 
 
 def pre_tokens(text: str) -> list[str]:

@@ -131,8 +131,9 @@ def accepted(docs: DataFrame, model: Dictionaries, text_col: str = "text", min_m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.predict(t) for t in batch.column(place).to_pylist()]
-            yield batch.filter(pa.array([lang != UNDETERMINED and score >= min_margin for lang, score in found], type=pa.bool_()))
+            for part in T.slices(batch, text_col):
+                found = [model.predict(t) for t in part.column(place).to_pylist()]
+                yield part.filter(pa.array([lang != UNDETERMINED and score >= min_margin for lang, score in found], type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

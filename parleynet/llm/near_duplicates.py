@@ -300,7 +300,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = pivots.join(labels.withColumnsRenamed({"node": "pivot"}), "pivot", "left").select("bucket", "pivot_cls", F.coalesce("label", "pivot").alias("pivot_label"))
     left = named.join(saved(open_.join(heads, "bucket")), "bucket")
     counts = left.groupBy("bucket").agg(F.count("*").alias("members"), F.count_if(F.col("label") != F.col("pivot_label")).alias("outside"))
-    left = left.join(counts, "bucket")
+    left = left.join(saved(counts), "bucket")
     sets = short_sets(texts.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), s)
     more = saved(verified(block_candidates(left.join(sets, "rep"), s), texts, s))
     if more.limit(1).count():

@@ -53,9 +53,17 @@ def resolve_mentions(spark, d):
 
 @query("SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9 ]', '', 'g')) AS normal FROM documents")
 def normal_forms(spark, d):
+    """Of the first 200 characters, as the SQL has it; normal_forms_whole takes the whole text."""
     return docs(spark, d).select("doc_id", FT.norm(F.substring("text", 1, 200)).alias("normal"))
 
 
+@query("SELECT doc_id, length(normal) AS n_chars, md5(normal) AS normal_md5 FROM (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g')) AS normal FROM documents)")
+def normal_forms_whole(spark, d):
+    """Of the whole text; as length and digest, the form itself being as wide as the text."""
+    n = docs(spark, d).select("doc_id", FT.norm(F.col("text")).alias("normal"))
+    return n.select("doc_id", F.length("normal").alias("n_chars"), F.md5(F.col("normal").cast("binary")).alias("normal_md5"))
+
+
 @query("WITH t AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS w FROM documents), s AS (SELECT doc_id, w, list_filter(list_transform(regexp_split_to_array(w, '\\n+'), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: length(p) >= 40) AS ps FROM t), c AS (SELECT doc_id, CASE WHEN length(w) = 0 THEN [] WHEN len(ps) > 0 THEN ps ELSE [w] END AS cs FROM s) SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_no, md5(cs[i]) AS chunk_md5 FROM (SELECT doc_id, cs, unnest(range(1, len(cs) + 1)) AS i FROM c)")
 def chunks(spark, d):
     c = docs(spark, d).select("doc_id", F.posexplode(FT.chunk_paragraphs(F.col("text"), boundary=r"\n+")).alias("chunk_no", "chunk"))

@@ -47,10 +47,18 @@ def mentions(spark, d):
 
 @query("WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \\t\\n\\r]+') AS ws FROM documents), f AS (SELECT doc_id, unnest(ws[1:3]) AS mention FROM w), n AS (SELECT mention, count(*) AS n, trim(regexp_replace(lower(mention), '[^a-z0-9 ]', '', 'g')) AS form FROM f GROUP BY mention) SELECT mention, n, CASE form WHEN 'a' THEN NULL WHEN 'the' THEN 'The' WHEN 'der' THEN 'The' WHEN 'la' THEN 'The' WHEN 'of' THEN 'Of' WHEN 'von' THEN 'Of' WHEN 'and' THEN 'And' WHEN 'und' THEN 'And' WHEN 'et' THEN 'And' WHEN 'to' THEN 'To' WHEN 'zu' THEN 'To' WHEN 'in' THEN 'In' END AS actor FROM n")
 def resolve_mentions(spark, d):
+    """Of the first three words, as the SQL has it; resolve_all_mentions takes every word."""
     words = docs(spark, d).select(F.explode(F.slice(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r]+"), F.lit(0)), 1, 3)).alias("mention"))
     return VO.resolve(words.groupBy("mention").agg(F.count("*").alias("n")), "mention", X.WORDS)
 
 
+@query("WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \\t\\n\\r]+') AS ws FROM documents), f AS (SELECT doc_id, unnest(ws) AS mention FROM w), n AS (SELECT mention, count(*) AS n, trim(regexp_replace(lower(mention), '[^a-z0-9 ]', '', 'g')) AS form FROM f GROUP BY mention) SELECT mention, n, CASE form WHEN 'a' THEN NULL WHEN 'the' THEN 'The' WHEN 'der' THEN 'The' WHEN 'la' THEN 'The' WHEN 'of' THEN 'Of' WHEN 'von' THEN 'Of' WHEN 'and' THEN 'And' WHEN 'und' THEN 'And' WHEN 'et' THEN 'And' WHEN 'to' THEN 'To' WHEN 'zu' THEN 'To' WHEN 'in' THEN 'In' END AS actor FROM n")
+def resolve_all_mentions(spark, d):
+    """Of all words; each distinct mention is counted first and resolved once."""
+    words = docs(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r]+"), F.lit(0))).alias("mention"))
+    return VO.resolve(words.groupBy("mention").agg(F.count("*").alias("n")), "mention", X.WORDS)
+
+
 @query("SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9 ]', '', 'g')) AS normal FROM documents")
 def normal_forms(spark, d):
     """Of the first 200 characters, as the SQL has it; normal_forms_whole takes the whole text."""

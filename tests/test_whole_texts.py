@@ -22,3 +22,9 @@ def test_mentions_beyond_the_third_word(spark, tmp_path):
     got = {r.mention: (r.n, r.actor) for r in Q.QUERIES["resolve_all_mentions"](spark, d).collect()}
     assert got["the"] == (2, "The") and got["The"] == (1, "The") and got["von"] == (1, "Of") and got["a"] == (1, None)
     assert sum(n for n, _ in got.values()) == 10
+
+
+def test_groups_hold_rare_names(spark, tmp_path):
+    rows = [(i, f"x Na{chr(97 + i // 26)}{chr(97 + i % 26)} y Na{chr(97 + i // 26)}{chr(97 + i % 26)}") for i in range(300)] + [(400, "x The House")]
+    got = {r.surface: (r.canon, r["count"]) for r in Q.QUERIES["name_groups"](spark, documents(spark, tmp_path, rows)).collect()}
+    assert len(got) == 301 and got["The House"] == ("The", 1) and got["Naaa"][1] == 2

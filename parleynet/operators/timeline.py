@@ -70,14 +70,6 @@ def frame_edges(framed: DataFrame, keys: tuple[str, ...] = ("outlet", "week")) -
     return framed.withColumn("w", total).where("w <> 0").select(*keys, *ARC, "coop", "conf", "neu", "w", polarity_label(F.col("coop"), F.col("conf")).alias("pol"))
 
 
-def frame_nodes(sizes: DataFrame, flat: DataFrame, graded: DataFrame, brokering: DataFrame, keys: tuple[str, ...] = ("outlet", "week")) -> DataFrame:
-    """(keys, actor, size, broker, broker_g, broker_real) rounded to four digits, without nodes that are zero in all of the first three."""
-    named = lambda df, name: df.select(*keys, "actor", F.bround("score", 4).alias(name))
-    on = [*keys, "actor"]
-    rows = sizes.join(named(flat, "broker"), on, "full").join(named(graded, "broker_g"), on, "full").join(named(brokering, "broker_real"), on, "left")
-    return rows.na.fill(0).where("size <> 0 OR broker <> 0 OR broker_g <> 0")
-
-
 def leaderboard(scores: DataFrame, keys: tuple[str, ...] = ("outlet", "week"), keep: int = 8) -> DataFrame:
     """(keys, actor, score, rank): positive scores rounded to four digits, higher first, equal ones by name from z to a; the first `keep`."""
     rows = scores.where("score > 0").select(*keys, "actor", F.bround("score", 4).alias("score"))
@@ -243,10 +235,34 @@ def radial_layout(actors: DataFrame, anchors: dict[str, tuple[float, float]], pr
     return rows.select("actor", F.when(F.col("head"), at[0]).otherwise(clamp(x, 0.05, 0.95)).alias("x"), F.when(F.col("head"), at[1]).otherwise(clamp(y, 0.10, 0.88)).alias("y"))
 
 
-def export_frames(nodes: DataFrame, edges: DataFrame, board_rows: DataFrame) -> DataFrame:
-    """(outlet, week, frame): each frame as one compact JSON text, for a display that indexes frames by key."""
-    key = ["outlet", "week"]
-    n = nodes.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("actor", "size", "broker", "broker_g", "broker_real"))).alias("nodes"))
+def ranked_nodes(sizes: DataFrame, scores: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, actor, size, broker, broker_g, broker_real, rank) from scores(keys, actor, flat, graded, brokering).
+
+    Scores are rounded to four digits; the rank is that on the whole leaderboard, null
+    without a positive score. Nodes that are zero in all of the first three are left out.
+    """
+    rows = sizes.join(scores, [*keys, "actor"], "full").na.fill(0, ["size", "flat", "graded", "brokering"])
+    rows = rows.select(*keys, "actor", "size", (F.col("flat") > 0).alias("_on"), *(F.bround(c, 4).alias(name) for c, name in (("flat", "broker"), ("graded", "broker_g"), ("brokering", "broker_real"))))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_on"), F.desc("broker"), F.desc("actor")))
+    return rows.withColumn("rank", F.when(F.col("_on"), rank)).drop("_on").where("size <> 0 OR broker <> 0 OR broker_g <> 0 OR rank IS NOT NULL")
+
+
+def extremes(nodes: DataFrame) -> DataFrame:
+    """One row (max_size, max_score) over all frames' nodes, 1 and 0.001 at least."""
+    return nodes.agg(F.greatest(F.max("size"), F.lit(1)).alias("max_size"), F.greatest(F.max("broker"), F.lit(0.001)).alias("max_score"))
+
+
+def export_frames(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...], focus: str, grid: DataFrame, keep: int = 8) -> DataFrame:
+    """(keys, frame): each frame of grid(keys, frame_date) as one compact JSON text, for a display that indexes frames by key.
+
+    nodes are ranked_nodes(): the first `keep` make the leaderboard, and the focus has its
+    rank on the whole one, null where it has no positive score.
+    """
+    key = list(keys)
+    shown = F.when(F.expr("size <> 0 OR broker <> 0 OR broker_g <> 0"), F.struct("actor", "size", "broker", "broker_g", "broker_real"))
+    best = F.when(F.col("rank") <= keep, F.struct("rank", "actor", F.col("broker").alias("score")))
+    n = nodes.groupBy(*key).agg(F.sort_array(F.collect_list(shown)).alias("nodes"), F.sort_array(F.collect_list(best)).alias("leaderboard"), F.max(F.when(F.col("actor") == focus, F.col("rank"))).alias("focus_rank"))
     e = edges.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*ARC, "coop", "conf", "neu", "w", "pol"))).alias("edges"))
-    b = board_rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("rank", "actor", "score"))).alias("leaderboard"))
-    return n.join(e, key, "full").join(b, key, "left").select(*key, F.to_json(F.struct("nodes", "edges", "leaderboard")).alias("frame"))
+    rows = grid.join(n, key, "left").join(e, key, "left")
+    full = [F.coalesce(c, F.array()).alias(c) for c in ("nodes", "edges", "leaderboard")]
+    return rows.select(*key, F.to_json(F.struct(F.col("frame_date").cast("string").alias("date"), *full, "focus_rank"), {"ignoreNullFields": "false"}).alias("frame"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import config
+from ..functions.verbs import with_substance
 from ..operators import measures as M, network as N, timeline as T
 from . import fixtures as X
 
@@ -187,20 +188,44 @@ def node_layout(spark, d):
     return T.radial_layout(X.actors(spark, d), {b: (0.2 + 0.15 * i, 0.5) for i, b in enumerate(blocs)}, {a.blocs[a.focus]: a.focus})
 
 
+FRAME = ("outlet", "mode", "week")
+
+
+def frame_views(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The frames' arcs in window and cumulative mode, with summed substance; and (outlet, mode, week, actor, flat, graded, brokering), their three current flows."""
+    e = events(spark, d)
+    substance = F.sum(F.when((F.col("polarity") == "positive") & (F.col("substance") > 0), F.col("substance")).otherwise(0.0)).alias("substance")
+    weekly = T.weekly_arcs(with_substance(e), (substance,))
+    modes = [T.frames(weekly, T.calendar(e), mode, fields=(*T.FIELDS, "substance")).withColumn("mode", F.lit(mode)) for mode in ("window", "cumulative")]
+    arcs = modes[0].unionByName(modes[1])
+    kinds = F.explode(F.array(*(F.struct(F.lit(name).alias("view"), F.col(field).cast("double").alias("votes")) for name, field in (("flat", "coop"), ("graded", "substance"), ("brokering", "broker")))))
+    keys = (*FRAME, "view")
+    view = N.project(arcs.select(*FRAME, *T.ARC, kinds.alias("k")).select(*FRAME, *T.ARC, "k.*"), "votes", keys)
+    scores = M.flow_brokerage(view, X.axis(spark, d).order, keys)
+    return arcs, scores.groupBy(*FRAME, "actor").agg(*(F.max(F.when(F.col("view") == name, F.col("score"))).alias(name) for name in ("flat", "graded", "brokering")))
+
+
 @query()
 def frame_flow(spark, d):
-    """Current flow of every outlet's quarterly cooperation network: the frames' measure on a coarser calendar."""
-    e = X.edges(spark, d).withColumn("quarter", F.date_trunc("quarter", "event_date").cast("date"))
-    keys = ("outlet", "quarter")
-    return M.flow_brokerage(N.project(N.signed_network(e, keys), "coop", keys), X.axis(spark, d).order, keys)
+    """Current flow of every frame's cooperation network: each outlet and week, over the trailing 28 days and over all weeks so far."""
+    n = framed(spark, d, "window").withColumn("mode", F.lit("window")).unionByName(framed(spark, d, "cumulative").withColumn("mode", F.lit("cumulative")))
+    return M.flow_brokerage(N.project(n, "coop", FRAME), X.axis(spark, d).order, FRAME)
+
+
+def _frame_nodes(arcs: DataFrame, scores: DataFrame) -> DataFrame:
+    return T.ranked_nodes(N.engagement(arcs, FRAME), scores, FRAME)
 
 
 @query()
 def export_frames(spark, d):
-    """Frames as JSON, quarterly."""
-    e = X.edges(spark, d).withColumn("week", F.year("event_date") * 4 + F.quarter("event_date"))
-    keys, a = ("outlet", "week"), X.axis(spark, d)
-    n = N.signed_network(e, keys)
-    flat, brokering = M.flow_brokerage(N.project(n, "coop", keys), a.order, keys), M.flow_brokerage(N.project(n, "broker", keys), a.order, keys)
-    graded = M.flow_brokerage(N.substance_view(e, keys), a.order, keys)
-    return T.export_frames(T.frame_nodes(N.engagement(n, keys), flat, graded, brokering), T.frame_edges(n, keys), T.leaderboard(flat, keys))
+    """Every outlet's frames in both modes as JSON, one a week; a frame without votes is there and empty."""
+    arcs, scores = frame_views(spark, d)
+    e = events(spark, d)
+    grid = e.select("outlet").distinct().join(F.broadcast(T.calendar(e)), how="cross").withColumn("mode", F.explode(F.array(F.lit("window"), F.lit("cumulative"))))
+    return T.export_frames(_frame_nodes(arcs, scores), T.frame_edges(arcs, FRAME), FRAME, X.axis(spark, d).focus, grid)
+
+
+@query()
+def frame_extremes(spark, d):
+    """(max_size, max_score): the largest size (both ends, 1 at least) and broker score (0.001 at least) of any node of any frame."""
+    return T.extremes(_frame_nodes(*frame_views(spark, d)))

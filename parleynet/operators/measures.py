@@ -64,6 +64,16 @@ def pairwise_brokerage(view: DataFrame, order: dict[str, int], brokers: list[str
     return rows.groupBy(*keys).applyInPandas(one, _schema(view, keys, "actor string, share double"))
 
 
+def path_share(order: dict[str, int], broker: str, a: str, b: str) -> Callable[[pd.DataFrame], float]:
+    """A statistic for bootstrap(): how much of the shortest paths between a and b goes through the broker."""
+
+    def share(frame: pd.DataFrame) -> float:
+        s, t, _ = _arrays(frame, order)
+        return kernels.path_share(len(order), s, t, frame["distance"].to_numpy(np.float64), order[broker], order[a], order[b])
+
+    return share
+
+
 def bootstrap(edges: DataFrame, statistic: Callable[[pd.DataFrame], float], n: int = 500, seed: int = 0, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(keys, mean, low, high): the statistic over n resamples of documents with replacement, with its 2.5 and 97.5 percentiles.
 
@@ -71,9 +81,11 @@ def bootstrap(edges: DataFrame, statistic: Callable[[pd.DataFrame], float], n: i
     is drawn from a Poisson law of mean 1 by a hash of document, resample and seed, the
     usual distributed form of drawing with replacement: documents are never gathered, each
     is expanded on its own, and what meets in one place is a resample's arcs. The statistic
-    gets a frame (source, target, strength, distance).
+    gets a frame (source, target, strength, distance); a resample without an arc of
+    positive strength counts with the statistic of the empty frame.
     """
-    per_doc = edges.groupBy(*keys, "doc_id", "source", "target").agg(F.sum(F.abs("weight")).alias("w"))
+    per_doc = edges.groupBy(*keys, "doc_id", "source", "target").agg(F.sum(F.abs("weight")).alias("w")).where("w > 0")
+    empty = float(statistic(pd.DataFrame({"source": pd.Series(dtype=str), "target": pd.Series(dtype=str), "strength": pd.Series(dtype=float), "distance": pd.Series(dtype=float)})))
     u = (F.pmod(F.xxhash64(*keys, "doc_id", "resample", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     cuts, mass, total = [], np.exp(-1.0), 0.0
     for k in range(12):
@@ -89,5 +101,8 @@ def bootstrap(edges: DataFrame, statistic: Callable[[pd.DataFrame], float], n: i
         return pd.DataFrame([(*key, float(statistic(frame[["source", "target", "strength", "distance"]])))], columns=[*keys, "resample", "value"])
 
     values = arcs.where("strength > 0").groupBy(*keys, "resample").applyInPandas(one, _schema(edges, keys, "resample int, value double"))
+    grid = edges.select(*keys).distinct().withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    met = [grid[k].eqNullSafe(values[k]) for k in (*keys, "resample")]
+    values = grid.join(values, met, "left").select(*(grid[k] for k in keys), F.coalesce(values["value"], F.lit(empty)).alias("value"))
     bounds = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))
     return values.groupBy(*keys).agg(F.avg("value").alias("mean"), bounds.alias("p")).select(*keys, "mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import config
@@ -190,16 +189,10 @@ def results_table(spark, d):
 
 @query()
 def bootstrap_interval(spark, d):
-    """The 95 % interval of the summed liaison-like strength of the dyad, over 100 resamples of documents."""
+    """The 95 % interval of the focus actor's share of paths on the dyad, over 500 resamples of documents."""
     a = X.axis(spark, d)
-    one, two = a.dyad
-
-    def strength(frame: pd.DataFrame) -> float:
-        hit = ((frame["source"] == one) & (frame["target"] == two)) | ((frame["source"] == two) & (frame["target"] == one))
-        return float(frame.loc[hit, "strength"].sum())
-
-    e = X.edges(spark, d).where("valence = 'coop'").withColumn("weight", F.lit(1.0))
-    return M.bootstrap(e, strength, n=100)
+    e = X.edges(spark, d).withColumn("weight", F.when(F.col("valence") == "coop", 1.0).otherwise(0.0))
+    return M.bootstrap(e, M.path_share(a.order, a.focus, *a.dyad))
 
 
 @query()

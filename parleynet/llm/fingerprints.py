@@ -4,7 +4,8 @@ A fingerprint is the MinHash signature of a text's distinct five-word shingles:
 universal hash permutations evaluated in numpy, 16 bits of each minimum, written as
 hexadecimal. The likeness of two fingerprints is the share of equal positions, an
 estimate of the shingle sets' Jaccard similarity. `similar_pairs` joins signature bands
-in Spark and verifies the Jaccard similarity of each candidate on the whole texts.
+in Spark and verifies the Jaccard similarity of each candidate on the whole texts; the
+query gives each document the component that these links make.
 """
 
 from __future__ import annotations
@@ -18,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import _text as T
-from ._run import saved
-from .near_duplicates import Settings, _numbers, band_rows, pivot_candidates, sign, verified
+from .near_duplicates import Settings, _numbers, linked, near_duplicates
 
 N, SEED, WORDS = 128, 3, 5
 ROWS_PER_BLOCK = 2048
@@ -54,18 +54,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:
     """(a, b): documents verified to be as similar as the settings ask (Jaccard 0.8 of five-word shingles unless changed).
 
-    Signature bands are joined in Spark: each document of a band's bucket is paired with
-    the bucket's smallest doc_id, so a bucket of m documents gives m - 1 candidates, and
-    each candidate is verified on the whole texts. Components of the pairs are what
-    near_duplicates() returns; this is the plain band join for inspecting links.
+    Signature bands are joined in Spark: each document of a band's bucket is compared with
+    the bucket's pivot, and those that this leaves in different components are compared
+    block against block; each candidate is verified on the whole texts. Of documents with
+    equal shingle sets the smallest doc_id stands for all, and the others are linked to it.
+    Links inside a component that are not needed to hold it together may be missing;
+    components of the pairs are what near_duplicates() returns.
     """
-    s = settings or Settings()
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    signed = saved(sign(docs, s).where("n_shingles > 0"))
-    classes = signed.select(F.xxhash64("doc_id", "key1").alias("cls"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "signature").dropDuplicates(["cls"])
-    rows = saved(band_rows(classes, s).join(classes, "cls"))
-    pivots = rows.groupBy("bucket").agg(F.min(F.struct(F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"), F.col("signature").alias("pivot_signature"))).alias("p"), F.count("*").alias("m")).where("m > 1").select("bucket", "p.*")
-    return verified(pivot_candidates(rows, pivots, s), docs, s)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    signed, reps, links, _ = linked(docs, settings or Settings())
+    copies = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").join(reps, ["key1", "key2", "n_shingles"]).where("doc_id <> rep")
+    return links.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))).distinct()
+
+
+def with_components(rows: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:
+    """rows(doc_id, …) with component_id: the smallest doc_id that verified links lead to, the document's own if none does; null for a null id."""
+    found = near_duplicates(docs, id_col, text_col, settings).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    return rows.join(found, "doc_id", "left")
 
 
 def edited(text: str, following: str) -> str:
@@ -149,4 +154,5 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 
 
 def op6_fingerprints(spark, sf_dir: str) -> DataFrame:
-    return with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return with_components(with_next(docs), docs)

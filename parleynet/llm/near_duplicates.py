@@ -260,18 +260,12 @@ def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs.
+def linked(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(signed, reps, links, labels) of docs(doc_id, text).
 
-    Text is lower-cased in A-Z and cut into words at ASCII white space. A text with
-    fewer words than a shingle is one shingle of all its words; a null text or one
-    without words has none, links with nothing and is its own component. Rows that
-    repeat a doc_id are one node of the graph and each is returned, with its own
-    set size; a row with a null doc_id is returned with a null component and kept.
-    Other columns of docs are not looked at. An empty table gives an empty result.
+    reps names each class of equal sets by its smallest doc_id, links(a, b) holds every
+    verified link between classes, and labels(node, label) their components.
     """
-    s = settings or Settings()
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = saved(sign(docs, s))
     linked = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = saved(linked.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep")))
@@ -292,9 +286,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     twice = members.select("doc_id", "rep").distinct()
     first = twice.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b < last")
-    links = links.unionByName(twice.join(first, "doc_id").select(F.col("rep").alias("a"), "b"))
+    same = twice.join(first, "doc_id").select(F.col("rep").alias("a"), "b")
 
-    labels = components(links)
+    labels = components(links.unionByName(same))
     named = rows.join(labels, rows.rep == labels.node, "left").select("bucket", "cls", "rep", F.coalesce("label", "rep").alias("label"), "n", "signature", "size")
     open_ = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low < high AND m > 2").select("bucket")
     heads = pivots.join(labels.withColumnsRenamed({"node": "pivot"}), "pivot", "left").select("bucket", "pivot_cls", F.coalesce("label", "pivot").alias("pivot_label"))
@@ -309,7 +303,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = labels.unionByName(upper.join(labels.select("node"), "node", "left_anti"))
         top = upper.select(F.col("node").alias("label"), F.col("label").alias("top"))
         labels = saved(labels.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")))
+    return signed, reps, links.unionByName(more), labels
+
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs.
+
+    Text is lower-cased in A-Z and cut into words at ASCII white space. A text with
+    fewer words than a shingle is one shingle of all its words; a null text or one
+    without words has none, links with nothing and is its own component. Rows that
+    repeat a doc_id are one node of the graph and each is returned, with its own
+    set size; a row with a null doc_id is returned with a null component and kept.
+    Other columns of docs are not looked at. An empty table gives an empty result.
+    """
+    s = settings or Settings()
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    signed, reps, _, labels = linked(docs, s)
     out = signed.select("doc_id", "n_shingles", "key1", "key2").join(reps, ["key1", "key2", "n_shingles"], "left")
     out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep", "doc_id").alias("component_id"))
     return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

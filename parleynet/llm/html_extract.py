@@ -160,8 +160,9 @@ def page_tokens(page: str) -> dict[str, list]:
 def extract(page: str, template: frozenset[str]) -> str:
     """Blocks of the article in page order, joined by an empty line.
 
-    template: the host's template texts, and `l` + path of slots that hold links. Where a
-    page marks no article, all that isn't aside and no slot of links is taken.
+    template: the host's template texts, and `l` + path of slots that hold links. A marked
+    article's texts are its own, however many of the host's pages have them. Where a page
+    marks no article, all that isn't aside, no template text and no slot of links is taken.
     """
     parts: list[tuple[str, Node | None]] = [(raw, node if kind == "text" else None) for kind, node, raw in events(page) if kind != "tag"]
     shown = [(raw, node) for raw, node in parts if node is None or not (node.aside or node.header or node.tag in ("html", "#page") and not raw.strip())]
@@ -176,7 +177,7 @@ def extract(page: str, template: frozenset[str]) -> str:
             if block := squeeze("".join(open_)):
                 blocks.append(block)
             open_ = []
-        elif not template or text_token(node.path, squeeze(raw)) not in template:
+        elif node.article or not template or text_token(node.path, squeeze(raw)) not in template:
             open_.append(raw)
     return "\n\n".join(blocks)
 
@@ -186,8 +187,14 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def content_digest(html):
+    """Digest of what a page shows: its text without markup, scripts, styles and comments; links and session ids in attributes don't count."""
+    bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<[^>]*>", " ")
+    return F.md5(F.trim(F.regexp_replace(bare, r"\s+", " ")).cast("binary"))
+
+
 def templates(pages: DataFrame, min_pages: int = 10, min_class: int = 2, skeleton_percent: int = 80, link_percent: int = 60, held: int = 200_000) -> DataFrame:
-    """(host, template): each host's template texts and slots of links, from pages(host, html).
+    """(host, template): each host's template texts and slots of links, from pages(host, html), pages of equal content counted once.
 
     A class counts from min_pages pages and min_class tokens on, and is of the skeleton
     from skeleton_percent of the host's pages on; hosts of fewer pages get no template, as
@@ -218,6 +225,8 @@ def templates(pages: DataFrame, min_pages: int = 10, min_class: int = 2, skeleto
         kinds = [pa.string(), pa.string(), *[pa.int64()] * 4]
         return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], ["host", "token", "n", "vector", "chars", "linked"])
 
+    # Copies of a page are one page: shared texts are evidence of a template only where the rest differs.
+    pages = pages.select("host", "html").groupBy("host", content_digest(F.col("html")).alias("digest")).agg(F.min("html").alias("html"))
     rows = pages.select("host", "html").mapInArrow(run, "host string, token string, n long, vector long, chars long, linked long")
     tokens = rows.groupBy("host", "token").agg(F.sum("n").alias("n"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")).where(F.col("n") >= min_pages)
     tokens = saved(tokens)

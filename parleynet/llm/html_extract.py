@@ -3,8 +3,8 @@
 A page is a sequence of tokens: tags told apart by their path, and the texts between
 tags. Over the pages of a host, tokens with the same occurrence vector (how often they
 occur on each page) form a class; a class is kept if it is large and frequent enough.
-Classes that occur on nearly all of the host's pages give the skeleton, and other kept
-classes nest in it by their paths: together they are the host's template. Texts of the
+Classes that occur on nearly all of the host's pages give the skeleton; other kept classes
+give slots of links only. Classes are not tested for order or nesting. Texts of the
 skeleton are the same on all those pages and belong to the template; what lies between
 template tokens are slots, and the slots of the article are its text.
 

@@ -36,7 +36,7 @@ LOWER[65:91] += 32
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null counts as the empty text."""
     column = pc.fill_null(column, "") if column.null_count else column
-    column = column.cast(pa.large_string())
+    column = column if pa.types.is_large_binary(column.type) else column.cast(pa.large_string())
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
@@ -44,11 +44,12 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[first : at[-1]] if len(at) else data, at - first
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """Row ranges of a batch holding about SLICE_BYTES of text each, one row at least."""
+def slices(batch: pa.RecordBatch, text: str, growth: int = 1) -> Iterator[pa.RecordBatch]:
+    """Row ranges of a batch holding about SLICE_BYTES of text each, one row at least; `growth` is how many times longer a compressed text is."""
     if not batch.num_rows:
         return
-    _, at = flat(batch.column(batch.schema.get_field_index(text)))
+    column = batch.column(batch.schema.get_field_index(text))
+    at = growth * flat(column if growth == 1 else column.cast(pa.large_binary()))[1]
     row = 0
     while row < batch.num_rows:
         end = int(np.searchsorted(at, at[row] + SLICE_BYTES, side="right")) - 1

@@ -13,6 +13,10 @@ group of near copies shares more with each copy than the copies with one another
 Links that this finds are closed to components, and only in buckets that still hold
 members of different components are those outside the pivot's compared further, block
 against block inside a task; a link inside a component would change nothing.
+
+No key has its rows in one task however many they are: a pivot's members are dealt into
+parts, each part gets the pivot once, and seats of blocks hold signatures only. Texts are
+read for pairs that signatures leave, compressed on the way.
 """
 
 from __future__ import annotations
@@ -22,12 +26,15 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from . import _text as T
 from ._run import components, saved
 
 SIGNED = "doc_id long, n_shingles long, key1 long, key2 long, signature binary"
+#: Members of a bucket or pivot that one task takes; (id, part) rows sent to every task instead of shuffling texts to them.
+PART_ROWS, SENT_ROWS = 4096, 500_000
 
 
 def least_matches(compared: int, threshold: float, miss: float) -> int:
@@ -106,43 +113,48 @@ def band_rows(classes: DataFrame, s: Settings) -> DataFrame:
     return classes.select("cls", "signature").mapInArrow(run, "bucket long, cls long")
 
 
-def pivot_candidates(rows: DataFrame, pivots: DataFrame, s: Settings) -> DataFrame:
-    """Distinct (a, b): members whose signature doesn't rule out a link with their bucket's pivot b."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = s.bands * s.rows
-        for batch in batches:
-            if batch.num_rows:
-                at = s.survives(_signatures(batch.column(4), width), _signatures(batch.column(5), width), _numbers(batch, "n_a"), _numbers(batch, "n_b"))
-                yield pa.RecordBatch.from_arrays([pa.array(_numbers(batch, "a")[at]), pa.array(_numbers(batch, "b")[at])], ["a", "b"])
-
-    pairs = rows.join(pivots, "bucket").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("n_a"), F.col("pivot_n").alias("n_b"), "signature", "pivot_signature")
-    return pairs.mapInArrow(run, "a long, b long").distinct()
-
+def pivot_candidates(rows: DataFrame, pivots: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
+    """Distinct (a, b, part): members whose signature doesn't rule out a link with their bucket's pivot b, both as ids, in the part that they are dealt into.
 
-def short_sets(texts: DataFrame, s: Settings) -> DataFrame:
-    """(rep, set): each text's distinct shingles as ascending 32-bit hashes."""
+    rows(bucket, cls), pivots(bucket, pivot, size, parts), classes(cls, rep, n, signature).
+    """
+    salts = F.ceil(F.col("size") / PART_ROWS).cast("int")
+    salted = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    members = rows.withColumn("salt", F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / PART_ROWS)).cast("int")).drop("size")
+    pairs = members.join(salted, ["bucket", "salt"]).where("cls <> pivot")
+    pairs = pairs.select("cls", "pivot", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part")).distinct()
+    heads = pivots.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).distinct().withColumn("cls", F.col("pivot"))
+    seats = pairs.withColumn("head", F.lit(False)).unionByName(heads.withColumn("head", F.lit(True)))
+    seats = seats.join(classes, "cls").select("pivot", "part", "head", "rep", "n", "signature")
+    seats = seats.repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.desc("head"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width, held = s.bands * s.rows, None
         for batch in batches:
-            for part in T.slices(batch, "text"):
-                sets, at = T.shingle_sets(part.column(1), s.words)
-                short = [np.unique((sets[i:j] >> np.uint64(32)).astype(np.uint32)).tobytes() for i, j in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(short, type=pa.binary())], ["rep", "set"])
+            if not batch.num_rows:
+                continue
+            sig, rep, n, part, head = _signatures(batch.column(5), width), *(_numbers(batch, c) for c in ("rep", "n", "part", "head"))
+            of = np.cumsum(head) - 1  # the row's pivot among this batch's; -1: the one before
+            firsts = np.flatnonzero(head)
+            held = held if held is not None else (sig[:1], rep[:1], n[:1])
+            p_sig, p_rep, p_n = (np.concatenate([x, y[firsts]]) for x, y in zip(held, (sig, rep, n)))
+            at = np.flatnonzero(~head)
+            other = of[at] + 1
+            alive = s.survives(sig[at], p_sig[other], n[at], p_n[other])
+            yield pa.RecordBatch.from_arrays([pa.array(rep[at[alive]]), pa.array(p_rep[other[alive]]), pa.array(part[at[alive]])], ["a", "b", "part"])
+            held = p_sig[-1:].copy(), p_rep[-1:].copy(), p_n[-1:].copy()
 
-    return texts.mapInArrow(run, "rep long, set binary")
+    return seats.mapInArrow(run, "a long, b long, part int")
 
 
-def block_candidates(rows: DataFrame, s: Settings) -> DataFrame:
-    """Distinct (a, b) of different labels in a bucket that pass on 32-bit shingle sets, block against block.
+def block_seats(rows: DataFrame, s: Settings) -> DataFrame:
+    """The seats of open buckets' members: (bucket, down, across, left, right, cls, rep, n, pivot_cls, other, signature).
 
-    rows(bucket, cls, rep, label, n, pivot_cls, pivot_label, members, outside, signature, set).
+    rows(bucket, cls, rep, label, n, pivot_cls, pivot_label, members, outside, signature).
     Members of the pivot's component need no comparison with one another, so only the
     `outside` others are compared with all: blocks of the others against blocks of all,
     each dealt by the member's hash. While the others fill one block, a member travels
-    once for itself and others travel along with every block of members. A pair is
-    handled in the first bucket that it shares, the likeliest pairs come first, and once
-    a pair is beyond doubt its two labels count as one in this task.
+    once for itself and others travel along with every block of members.
     """
     wide, tall = (F.ceil(F.col(c) / s.block).cast("int") for c in ("members", "outside"))
     rows = rows.withColumn("other", F.col("label") != F.col("pivot_label")).withColumn("wide", wide).withColumn("tall", tall)
@@ -154,13 +166,35 @@ def block_candidates(rows: DataFrame, s: Settings) -> DataFrame:
     right = F.transform(F.sequence(F.lit(0), F.col("tall") - 1), lambda d: seat(d, F.col("across"), F.col("other") & (d == F.col("down")), F.lit(True)))
     left = F.filter(F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda a: seat(F.col("down"), a, F.lit(True), F.lit(False))), lambda x: F.col("other") & (x.across != F.col("across")))
     dealt = rows.withColumn("seat", F.explode(F.concat(right, left)))
-    dealt = dealt.select("bucket", "seat.down", "seat.across", "seat.left", "seat.right", "cls", "rep", "label", "n", "pivot_cls", "other", "signature", "set")
-    dealt = dealt.repartition("bucket", "down", "across").sortWithinPartitions("bucket", "down", "across")
+    return dealt.select("bucket", "seat.down", "seat.across", "seat.left", "seat.right", "cls", "rep", "n", "pivot_cls", "other", "signature")
+
+
+MARK = ("bucket", "down", "across", "mark", "mark_order")
 
-    def likely(group: pa.RecordBatch, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cls, label, n, pivot, other, left, right = (_numbers(group, x) for x in ("cls", "label", "n", "pivot_cls", "other", "left", "right"))
+
+def block_candidates(seats: DataFrame, labels: DataFrame, marks: DataFrame | None, round_: int, s: Settings) -> DataFrame:
+    """(a, b, part) of different labels in a bucket that pass on signatures, and the blocks' marks (a null).
+
+    A pair is handled in the first bucket that it shares, the likeliest pairs come first.
+    A block gives 16 pairs a member, four times as many each round, and a mark of how far
+    it came if pairs are left: once these pairs are verified and their labels joined, most
+    of the rest are inside one component. marks are those of the round before; blocks
+    without one are done.
+    """
+    seats = seats.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    if marks is not None:
+        seats = seats.join(marks.select(*MARK), ["bucket", "down", "across"])
+    else:
+        seats = seats.withColumn("mark", F.lit(None).cast("long")).withColumn("mark_order", F.lit(None).cast("long"))
+    names = ["bucket", "down", "across", "left", "right", "cls", "rep", "label", "n", "pivot_cls", "other", "signature", "mark", "mark_order"]
+    dealt = seats.select(*names).repartition("bucket", "down", "across").sortWithinPartitions("bucket", "down", "across")
+    factor = 16 * 4**round_
+
+    def compare(group: pa.RecordBatch) -> pa.RecordBatch | None:
+        sig = _signatures(group.column(11), s.bands * s.rows)
+        cls, label, n, pivot, other, left, right, rep = (_numbers(group, x) for x in ("cls", "label", "n", "pivot_cls", "other", "left", "right", "rep"))
         here = int((T.band_hashes(sig[:1], s.rows)[0] == _numbers(group, "bucket")[0]).argmax())
-        found = [np.zeros((3, 0), dtype=np.int64)]
+        found = [np.zeros((4, 0), dtype=np.int64)]
         left, right = (np.flatnonzero(x & (cls != pivot)) for x in (left, right))
         step = max(1, (1 << 20) // max(1, len(right)))
         for i in range(0, len(left), step):
@@ -173,46 +207,29 @@ def block_candidates(rows: DataFrame, s: Settings) -> DataFrame:
                 at = s.survives(sig[p], sig[q], n[p], n[q])
                 same = sig[p[at]] == sig[q[at]]
                 first = same.reshape(len(at), s.bands, s.rows).all(axis=2).argmax(axis=1) == here
-                found.append(np.stack([p[at], q[at], -same.sum(axis=1)])[:, first])
+                place = T.mix(cls[p[at]].astype(np.uint64) ^ T.mix(cls[q[at]].astype(np.uint64))).view(np.int64)
+                found.append(np.stack([p[at], q[at], -same.sum(axis=1), place])[:, first])
         pairs = np.concatenate(found, axis=1)
-        return pairs[:2, np.argsort(pairs[2], kind="stable")]
-
-    def compare(group: pa.RecordBatch) -> list[tuple[int, int]]:
-        p, q = likely(group, _signatures(group.column(11), s.bands * s.rows))
-        if not len(p):
-            return []
-        rep, label, sets = _numbers(group, "rep"), _numbers(group, "label").tolist(), {}
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (y := parent.get(x, x)) != x:
-                parent[x] = parent.get(y, y)
-                x = y
-            return x
-
-        found = []
-        for i, j in zip(p.tolist(), q.tolist()):
-            x, y = root(label[i]), root(label[j])
-            if x == y:
-                continue
-            for k in (i, j):
-                if k not in sets:
-                    sets[k] = np.frombuffer(group.column(12)[k].as_buffer(), dtype=np.uint32)
-            u, v = sets[i], sets[j]
-            both, total = len(np.intersect1d(u, v, assume_unique=True)), len(u) + len(v)
-            # A 32-bit hash may meet another by chance: near the threshold the full sets decide alone.
-            if s.denominator * (both + 4) >= s.numerator * (total - both - 4):
-                found.append((int(rep[i]), int(rep[j])))
-                if s.denominator * (both - 4) >= s.numerator * (total - both + 4):
-                    parent[x] = y
-        return found
+        pairs = pairs[:, np.lexsort((pairs[3], pairs[2]))]
+        if group.column(12)[0].is_valid:
+            mark, place = group.column(12)[0].as_py(), group.column(13)[0].as_py()
+            pairs = pairs[:, (pairs[2] > mark) | ((pairs[2] == mark) & (pairs[3] > place))]
+        if not pairs.shape[1]:
+            return None
+        more = pairs.shape[1] > factor * group.num_rows
+        pairs = pairs[:, : factor * group.num_rows]
+        rows = [(int(rep[i]), int(rep[j]), None, None, None, None, None) for i, j in pairs[:2].T.tolist()]
+        if more:
+            rows.append((None, None, *(_numbers(group, c)[0].item() for c in MARK[:3]), int(pairs[2, -1]), int(pairs[3, -1])))
+        kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()] * 2
+        return pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*rows), kinds)], ["a", "b", *MARK])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ("bucket", "down", "across")):
-            if found := compare(group):
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in zip(*found)], ["a", "b"])
+            if (found := compare(group)) is not None:
+                yield found
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, bucket long, down int, across int, mark long, mark_order long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
@@ -240,24 +257,72 @@ def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
-    """The (a, b) whose whole texts' shingle sets reach the threshold exactly."""
+    """The (a, b) of pairs(a, b, part) whose whole texts' shingle sets reach the threshold exactly.
+
+    The pairs of one b and part meet in one group, with b's text once. Texts travel
+    compressed; those of no pair don't. An id with several texts stands for each of them.
+    """
+    roles = pairs.select(F.col("a").alias("doc_id"), "b", "part", F.lit(False).alias("head")).unionByName(pairs.select(F.col("b").alias("doc_id"), "b", "part", F.lit(True).alias("head")).distinct())
+    roles = saved(roles)
+    # Eight bytes an id, and three numbers more: SENT_ROWS rows are some 20 MB.
+    few = roles.count() <= SENT_ROWS
+    if few:
+        seats = docs.join(F.broadcast(roles), "doc_id").select("b", "part", "head", "doc_id", "text")
+        seats = seats.mapInArrow(_compressed(4), "b long, part int, head boolean, doc_id long, text binary")
+    else:
+        seats = docs.mapInArrow(_compressed(1), "doc_id long, text binary").join(roles, "doc_id").select("b", "part", "head", "doc_id", "text")
+    seats = seats.repartition("b", "part").sortWithinPartitions("b", "part", F.desc("head"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip = zstandard.ZstdDecompressor()
+        key, heads = None, []
         for batch in batches:
-            for half in T.slices(batch, "text_a"):
-                for part in T.slices(half, "text_b"):
-                    x, x_at = T.shingle_sets(part.column(2), s.words)
-                    y, y_at = T.shingle_sets(part.column(3), s.words)
-                    keep = np.zeros(part.num_rows, dtype=bool)
-                    for i in range(part.num_rows):
-                        u, v = x[x_at[i] : x_at[i + 1]], y[y_at[i] : y_at[i + 1]]
-                        both = len(np.intersect1d(u, v, assume_unique=True))
-                        keep[i] = both > 0 and s.denominator * both >= s.numerator * (len(u) + len(v) - both)
-                    yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(keep)), part.column(1).filter(pa.array(keep))], ["a", "b"])
-
-    of_a = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    of_b = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+            for part in T.slices(batch, "text", 3):
+                texts = pa.array([unzip.decompress(x) for x in part.column(4).to_pylist()], type=pa.binary()).cast(pa.string())
+                sets, at = T.shingle_sets(texts, s.words)
+                a, b = [], []
+                rows = zip(*(part.column(i).to_pylist() for i in range(4)))
+                for i, (of, number, head, doc_id) in enumerate(rows):
+                    own = sets[at[i] : at[i + 1]]
+                    if (of, number) != key:
+                        key, heads = (of, number), []
+                    if head:
+                        heads.append(own.copy())
+                    elif any(_linked(own, other, s) for other in heads):
+                        a.append(doc_id)
+                        b.append(of)
+                yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], ["a", "b"])
+
+    return seats.mapInArrow(run, "a long, b long").distinct()
+
+
+def _linked(u: np.ndarray, v: np.ndarray, s: Settings) -> bool:
+    if min(len(u), len(v)) * s.denominator < max(len(u), len(v)) * s.numerator:
+        return False
+    both = len(np.intersect1d(u, v, assume_unique=True))
+    return both > 0 and s.denominator * both >= s.numerator * (len(u) + len(v) - both)
+
+
+def _compressed(place: int):
+    """Batches with the text column at `place`, the last one, compressed row by row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for part in T.slices(batch, "text"):
+                texts = pa.array([zip_.compress((x or "").encode()) for x in part.column(place).to_pylist()], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:place], texts], part.schema.names)
+
+    return run
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels(node, label) with the components that links(a, b) join."""
+    moved = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b", "left")
+    upper = components(moved.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
+    labels = labels.unionByName(upper.join(labels.select("node"), "node", "left_anti"))
+    top = upper.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    return saved(labels.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")))
 
 
 def linked(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -276,34 +341,38 @@ def linked(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFram
     bands = band_rows(classes, s)
     shared = bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     rows = saved(bands.join(shared, "bucket"))
-    scores = rows.groupBy("cls").agg(F.sum("size").alias("score")).join(classes, "cls")
-    rows = saved(rows.join(scores, "cls").select("bucket", "cls", "rep", "size", "score", "n", "signature"))
-    best = rows.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("rep")).alias("minus"), "cls", "n", "signature")).alias("p"))
-    # Texts of classes that share a bucket: all that is compared from here on.
-    texts = saved(docs.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    pivots = saved(best.select("bucket", (-F.col("p.minus")).alias("pivot"), F.col("p.cls").alias("pivot_cls"), F.col("p.n").alias("pivot_n"), F.col("p.signature").alias("pivot_signature")))
-    links = saved(verified(pivot_candidates(rows, pivots, s), texts, s))
+    scores = rows.groupBy("cls").agg(F.sum("size").alias("score"))
+    best = rows.join(scores, "cls").groupBy("bucket").agg(F.max(F.struct("score", "cls")).alias("p"), F.max("size").alias("size")).select("bucket", F.col("p.cls").alias("pivot"), "size")
+    # A class has a bucket for each band at most, and so has a pivot.
+    largest = best.groupBy("pivot").agg(F.ceil(F.max("size") / PART_ROWS).cast("int").alias("parts"))
+    pivots = saved(best.join(largest, "pivot"))
+    links = saved(verified(pivot_candidates(rows, pivots, classes, s), docs, s))
 
     twice = members.select("doc_id", "rep").distinct()
     first = twice.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b < last")
     same = twice.join(first, "doc_id").select(F.col("rep").alias("a"), "b")
 
     labels = components(links.unionByName(same))
-    named = rows.join(labels, rows.rep == labels.node, "left").select("bucket", "cls", "rep", F.coalesce("label", "rep").alias("label"), "n", "signature", "size")
+    of_class = saved(classes.select("cls", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("label", "rep").alias("label")))
+    named = rows.join(of_class, "cls").select("bucket", "cls", "label")
     open_ = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low < high AND m > 2").select("bucket")
-    heads = pivots.join(labels.withColumnsRenamed({"node": "pivot"}), "pivot", "left").select("bucket", "pivot_cls", F.coalesce("label", "pivot").alias("pivot_label"))
+    heads = pivots.join(of_class.withColumnsRenamed({"cls": "pivot", "label": "pivot_label"}), "pivot").select("bucket", F.col("pivot").alias("pivot_cls"), "pivot_label")
     left = named.join(saved(open_.join(heads, "bucket")), "bucket")
     counts = left.groupBy("bucket").agg(F.count("*").alias("members"), F.count_if(F.col("label") != F.col("pivot_label")).alias("outside"))
-    left = left.join(saved(counts), "bucket")
-    sets = short_sets(texts.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), s)
-    more = saved(verified(block_candidates(left.join(sets, "rep"), s), texts, s))
-    if more.limit(1).count():
-        moved = more.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b", "left")
-        upper = components(moved.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
-        labels = labels.unionByName(upper.join(labels.select("node"), "node", "left_anti"))
-        top = upper.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        labels = saved(labels.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")))
-    return signed, reps, links.unionByName(more), labels
+    seats = block_seats(left.join(saved(counts), "bucket").join(classes, "cls"), s)
+    marks, round_ = None, 0
+    while True:
+        found = saved(block_candidates(seats, labels, marks, round_, s))
+        pairs = found.where("a IS NOT NULL").select("a", "b", F.lit(0).alias("part")).distinct()
+        if not pairs.limit(1).count():
+            break
+        more = saved(verified(pairs, docs, s))
+        if more.limit(1).count():
+            links, labels = links.unionByName(more), _merged(labels, more)
+        marks, round_ = found.where("a IS NULL"), round_ + 1
+        if not marks.limit(1).count():
+            break
+    return signed, reps, links, labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:

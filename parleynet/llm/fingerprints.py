@@ -14,8 +14,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from . import _text as T
@@ -40,7 +40,7 @@ def written(rows: np.ndarray) -> list[str]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint) for each row; a null text is the empty text."""
+    """(doc_id, fingerprint) for each row; a null text is the empty text, equal texts (and texts without a word) have equal fingerprints, an empty table gives none, and other columns are not looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,7 +59,8 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     block against block; each candidate is verified on the whole texts. Of documents with
     equal shingle sets the smallest doc_id stands for all, and the others are linked to it.
     Links inside a component that are not needed to hold it together may be missing;
-    components of the pairs are what near_duplicates() returns.
+    components of the pairs are what near_duplicates() returns. A null id or a text without
+    words is in no pair; other columns are not looked at; an empty table gives no pairs.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed, reps, links, _ = linked(docs, settings or Settings())
@@ -92,37 +93,48 @@ def _blocks(docs: DataFrame, rows_per_block: int) -> list[int]:
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row.
 
-    The next document is the next by ascending doc_id (null ids come last, equal ids by
-    text), after the last the first; of one document alone it is that document. A null
-    text is the empty text. Documents move once, into blocks of doc_ids in order; each
-    block also gets the first document of the next block.
+    The next document is the next by ascending doc_id (null ids come last, equal ids by a
+    digest of their text), after the last the first; of one document alone it is that
+    document. A null text is the empty text; other columns are not looked at; an empty
+    table gives an empty result. Documents move once, compressed, into blocks of doc_ids
+    in order; each block also gets the first document of the next block.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("k", F.coalesce("doc_id", F.lit(LAST)))
     cuts = np.array(_blocks(docs.select("k"), rows_per_block), dtype=np.int64)
 
-    @F.pandas_udf("int")
-    def block_of(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, k.to_numpy(), side="left").astype(np.int32))
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for part in T.slices(batch, "text"):
+                texts = [x.encode() for x in part.column(1).to_pylist()]
+                tie = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in texts]
+                block = np.searchsorted(cuts, _numbers(part, "k"), side="left").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(block), pa.array(tie, type=pa.int64()), pa.array([pack.compress(x) for x in texts], type=pa.binary())], ["doc_id", "k", "block", "tie", "text"])
 
-    dealt = docs.withColumn("block", block_of("k"))
+    columns = "doc_id long, k long, block int, tie long, text binary"
+    dealt = docs.mapInArrow(deal, columns)
     # One row for each block: at most MAX_BLOCKS + 1.
-    firsts = sorted((r.block, r.first) for r in docs.select("k").withColumn("block", block_of("k")).groupBy("block").agg(F.min("k").alias("first")).collect())
+    ids = docs.select("k").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, _numbers(b, "k"), side="left").astype(np.int32)), b.column(0)], ["block", "k"]) for b in batches), "block int, k long")
+    firsts = sorted((r.block, r.first) for r in ids.groupBy("block").agg(F.min("k").alias("first")).collect())
     spark = docs.sparkSession
     if firsts:
         follow = [(block, firsts[(i + 1) % len(firsts)][1]) for i, (block, _) in enumerate(firsts)]
         follow = F.broadcast(spark.createDataFrame(follow, "target int, k long"))
-        heads = docs.join(follow, "k").groupBy("target").agg(F.min(F.struct("text", "doc_id")).alias("h"))
-        heads = heads.select("h.doc_id", "h.text", F.lit(LAST).alias("k"), F.col("target").alias("block"), F.lit(1).alias("head"))
+        heads = docs.join(follow.select("k").distinct(), "k").select("doc_id", "text", "k").mapInArrow(deal, columns)
+        heads = heads.groupBy("k").agg(F.min(F.struct("tie", "doc_id", "text")).alias("h")).join(follow, "k")
+        heads = heads.select("h.doc_id", F.lit(LAST).alias("k"), F.col("target").alias("block"), "h.tie", "h.text", F.lit(1).alias("head"))
     else:
         heads = dealt.withColumn("head", F.lit(1))
     rows = dealt.withColumn("head", F.lit(0)).unionByName(heads)
-    rows = rows.repartition("block").sortWithinPartitions("block", "head", "k", "text").select("doc_id", "text", "block", "head")
+    rows = rows.repartition("block").sortWithinPartitions("block", "head", "k", "tie").select("doc_id", "text", "block", "head")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting = None
+        unpack, waiting = zstandard.ZstdDecompressor(), None
         for batch in batches:
-            for part in T.slices(batch, "text"):
+            for part in T.slices(batch, "text", 3):
+                texts = pa.array([unpack.decompress(x) for x in part.column(1).to_pylist()], type=pa.binary()).cast(pa.string())
+                part = pa.RecordBatch.from_arrays([part.column(0), texts, part.column(2), part.column(3)], ["doc_id", "text", "block", "head"])
                 if waiting is not None:
                     part = pa.Table.from_batches([waiting, part]).combine_chunks().to_batches()[0]
                 block, head = _numbers(part, "block"), _numbers(part, "head")

@@ -24,6 +24,8 @@ from ._run import saved
 LEVELS = ("domain", "lang", "source")
 #: About so many documents lie in the cut where a leaf's prefix ends.
 CUT_DOCS = 1000
+#: Leaf tables of this many rows (some 200 bytes each) go to every task; larger ones meet their documents in SALTS parts a leaf.
+SENT_LEAVES, SALTS = 100_000, 64
 
 
 def count_tokens(text: Column) -> Column:
@@ -89,18 +91,28 @@ def place(seed: int, epoch: Column, doc_id: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
 
 
+def with_leaves(docs: DataFrame, leaves: DataFrame) -> DataFrame:
+    """docs joined with one row for each leaf, without a leaf's documents meeting in one task."""
+    if leaves.count() <= SENT_LEAVES:
+        return docs.join(F.broadcast(leaves), list(LEVELS))
+    salted = leaves.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return docs.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SALTS)).cast("int")).join(salted, [*LEVELS, "salt"]).drop("salt")
+
+
 def cutoffs(docs: DataFrame, leaves: DataFrame, seed: int) -> DataFrame:
     """leaves with `epochs` (whole ones), and `last_place`, `last_id`, `last_tokens`: where the prefix of the next epoch ends and how much of that document it takes."""
     leaves = leaves.where("budget > 0").withColumn("epochs", F.expr("budget div tokens").cast("int")).withColumn("rest", F.expr("budget % tokens"))
     # Leading digits of the place: as many as make about CUT_DOCS documents a cut.
     digits = F.greatest(F.lit(0), F.least(F.lit(12), F.ceil(F.log(F.col("docs") / CUT_DOCS) / F.log(F.lit(16.0))))).cast("int")
     partial = leaves.where("rest > 0").withColumn("digits", digits)
-    rows = docs.where("n_tokens > 0").join(partial.select(*LEVELS, "epochs", "digits"), list(LEVELS))
+    rows = with_leaves(docs.where("n_tokens > 0"), partial.select(*LEVELS, "epochs", "digits"))
     rows = rows.withColumn("place", place(seed, F.col("epochs") + 1, F.col("doc_id"))).withColumn("cut", F.expr("substring(place, 1, digits)"))
     sums = rows.groupBy(*LEVELS, "cut").agg(F.sum("n_tokens").alias("held"))
     upto = F.sum("held").over(Window.partitionBy(*LEVELS).orderBy("cut"))
     ends = sums.withColumn("upto", upto).join(partial.select(*LEVELS, "rest"), list(LEVELS)).where("upto >= rest AND upto - held < rest")
-    inside = rows.join(ends.select(*LEVELS, "cut", "rest", (F.col("upto") - F.col("held")).alias("before")), [*LEVELS, "cut"])
+    ends = saved(ends)
+    # One cut of each leaf: most rows go before anything moves.
+    inside = with_leaves(rows.withColumn("own_cut", F.col("cut")).drop("cut"), ends.select(*LEVELS, "cut", "rest", (F.col("upto") - F.col("held")).alias("before"))).where("own_cut = cut")
     running = F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
     last = inside.withColumn("running", running).where("running >= rest AND running - n_tokens < rest")
     last = last.select(*LEVELS, F.col("place").alias("last_place"), F.col("doc_id").alias("last_id"), (F.col("rest") - F.col("running") + F.col("n_tokens")).alias("last_tokens"))
@@ -109,7 +121,7 @@ def cutoffs(docs: DataFrame, leaves: DataFrame, seed: int) -> DataFrame:
 
 def chosen(docs: DataFrame, ends: DataFrame, seed: int) -> DataFrame:
     """Rows of docs(domain, lang, source, doc_id, n_tokens, ...) with `epoch` and `tokens_taken`, one row for each epoch that takes the document."""
-    rows = docs.where("n_tokens > 0").join(ends.select(*LEVELS, "epochs", "last_place", "last_id", "last_tokens"), list(LEVELS))
+    rows = with_leaves(docs.where("n_tokens > 0"), ends.select(*LEVELS, "epochs", "last_place", "last_id", "last_tokens"))
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("epochs") + 1)))
     rows = rows.withColumn("place", F.when(F.col("epoch") > F.col("epochs"), place(seed, F.col("epoch"), F.col("doc_id"))))
     at = (F.col("place") == F.col("last_place")) & F.col("doc_id").eqNullSafe(F.col("last_id"))

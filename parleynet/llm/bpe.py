@@ -29,7 +29,8 @@ PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 #: Numbers that Unicode 16 and later added and that the library's tables don't have yet.
 LATER_NUMBERS = r"\U00011DE0-\U00011DE9\U0001246F\U00012475-\U0001247F\U00012550-\U00012686\U00016FF4-\U00016FF6"
 PRE_TOKEN_ASTRAL = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?[\p{{N}}--[{LATER_NUMBERS}]]+| ?[[^\s\p{{L}}\p{{N}}]||[{LATER_NUMBERS}]]+|\s+(?!\S)|\s+")
-CACHED_PIECES = 200_000
+#: Bounds of the cache: pieces, and the characters of a piece that is worth keeping (at most some 300 bytes an entry).
+CACHED_PIECES, CACHED_CHARS = 200_000, 24
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -121,17 +122,19 @@ class Bpe:
 
 
 class _Packed(dict):
-    """Pre-token to packed ids; emptied when full, so that memory stays bounded."""
+    """Short pre-tokens to packed ids; emptied when full, so that memory stays bounded by CACHED_PIECES times some hundred bytes."""
 
     def __init__(self, bpe: Bpe):
         super().__init__()
         self.bpe = bpe
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHED_PIECES:
-            self.clear()
         ids = [self.bpe.special[piece]] if piece in self.bpe.special else self.bpe.merge(piece.encode("utf-8"))
-        self[piece] = out = np.array(ids, dtype="<u4").tobytes()
+        out = np.array(ids, dtype="<u4").tobytes()
+        if len(piece) <= CACHED_CHARS:
+            if len(self) >= CACHED_PIECES:
+                self.clear()
+            self[piece] = out
         return out
 
 
@@ -141,7 +144,7 @@ def load(path: str | None) -> Bpe:
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """(doc_id, ids) for each row; a null text is the empty text, which has no ids. Other columns are left out."""
+    """(doc_id, ids) for each row; a null text is the empty text, which has no ids; repeated rows are returned as often, an empty table gives none. Other columns are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)

@@ -5,7 +5,9 @@ pre-token: one row (piece, first row of the block, [(row, frequency), ...]). The
 meet by pre-token, so that a distinct pre-token's pieces are counted once; the count is
 multiplied into its documents' frequencies and the products are summed by document.
 A very common pre-token has one row for each block of documents, not one for each
-occurrence or document, and sums go back packed by block as well.
+occurrence or document, and sums go back packed by block as well. The blocks of TASKS_PER_PART
+tasks make a part, and rows meet by pre-token and part: a pre-token that all documents
+hold is merged once in each part, and no task gets more of it than a part's blocks hold.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import _text as T
+from ._run import settled
 from .bpe import load
 
 BLOCK_PIECES = 4_000_000
@@ -27,6 +30,7 @@ ROW_BITS = 36
 #: A document's number in its block and a frequency share 32 bits; a larger frequency is several entries.
 COUNT_BITS = 12
 MOST = (1 << COUNT_BITS) - 1
+TASKS_PER_PART = 1024
 
 
 def pack(row: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,12 +199,14 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A null text is the empty text (0 bytes, 0 tokens); a null or repeated doc_id is
     returned once for each row. Special strings of the vocabulary count as one token.
-    Other columns are not looked at; an empty table gives an empty result.
+    Other columns are not looked at; an empty table gives an empty result. Documents are
+    named by task and place, so docs that come out of a shuffle are saved first.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Headers have no piece and are spread by their block.
-    met = piece_frequencies(docs, path).repartition(shuffles, F.coalesce("piece", F.col("base").cast("string"))).sortWithinPartitions("piece", "base")
+    part = F.floor(F.shiftright("base", ROW_BITS) / TASKS_PER_PART)
+    met = piece_frequencies(settled(docs), path).repartition(shuffles, F.coalesce("piece", F.col("base").cast("string")), part).sortWithinPartitions("piece", "base")
     parts = counted(met, path).repartition(shuffles, "base").sortWithinPartitions("base", F.col("header").isNull())
     return by_document(parts)
 

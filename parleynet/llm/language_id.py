@@ -31,6 +31,15 @@ def normalised(text: str) -> bytes:
     return text.lower().encode("utf-8").translate(None, DROPPED)
 
 
+def spread(data: bytes, size: int, pieces: int = 4) -> bytes:
+    """size bytes of data: all of it if it isn't longer, else pieces of equal length from its start to its end."""
+    if len(data) <= size:
+        return data
+    each = size // pieces
+    starts = [(len(data) - each) * i // (pieces - 1) for i in range(pieces)] if pieces > 1 else [0]
+    return b"\n".join(data[i : i + each] for i in starts)
+
+
 class Dictionaries:
     """Raw-content dictionaries by language, encoders made on first use in a worker."""
 
@@ -67,8 +76,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Dictionaries from labelled rows (text and language not null).
 
     A language is fitted on `sample_docs` distinct texts at most, the first by a seeded
-    hash, and `doc_bytes` bytes of each: a bound of 128 kB a language whatever the size
-    of the table. Which rows are labelled for fitting is the caller's choice.
+    hash, and `doc_bytes` bytes of each, spread over the whole text: a bound of 128 kB a
+    language whatever the size of the table. Which rows are labelled for fitting is the
+    caller's choice. Null texts and languages and texts without a letter are no labelled
+    rows; without any, and of an empty table, the model has no languages and says `und` of
+    every text, so that accepted() keeps none.
     """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)).alias("h"))
@@ -88,7 +100,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 if not LETTER.search(text):
                     continue
                 kept = best.setdefault(lang, {})
-                data = normalised(text)[:doc_bytes]
+                data = spread(normalised(text), doc_bytes)
                 kept[data] = min(h, kept.get(data, h))
                 if len(kept) > 2 * sample_docs:
                     best[lang] = dict(heapq.nsmallest(sample_docs, kept.items(), key=lambda x: (x[1], x[0])))
@@ -109,7 +121,8 @@ def identify(docs: DataFrame, model: Dictionaries, id_col: str = "doc_id", text_
 
     A text that is null or has no letter is `und` with score 0 and rejected; a text whose
     margin is below min_margin keeps its most likely language and is rejected. Equal
-    texts get equal answers; ties go to the language first by name.
+    texts get equal answers; ties go to the language first by name. Repeated rows are
+    returned as often, an empty table gives none, and other columns are not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +139,7 @@ def identify(docs: DataFrame, model: Dictionaries, id_col: str = "doc_id", text_
 
 
 def accepted(docs: DataFrame, model: Dictionaries, text_col: str = "text", min_margin: float = 0.005) -> DataFrame:
-    """The rows of docs, all columns as they are, whose language isn't rejected."""
+    """The rows of docs, all columns as they are, whose language isn't rejected: not those with a null text or one without a letter, and none at all if the model was fitted on no labelled row."""
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,8 +3,9 @@
 All documents of a batch are put into one sequence of word numbers, each document
 closed by a symbol of its own and its words numbered apart from other documents', so
 that only repetition inside a document counts. Prefix doubling sorts the suffixes, and
-only suffixes that still tie take part in a round. The rounds' ranks also give the
-longest common prefix of neighbours in the suffix array. A suffix's longest repeat is
+only suffixes that still tie take part in a round. The longest common prefix of
+neighbours in the suffix array is found from the longest power of two down, by hashes of
+ranges of words from one array of prefix sums, so that no round has to be kept. A suffix's longest repeat is
 the larger of its two; the spans of all repeats of enough words are united, and limits
 hold for the fraction of words they cover and for the longest of them.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import _text as T
 
-SYMBOLS = np.zeros(256, dtype=np.int64)
+SYMBOLS = np.zeros(256, dtype=np.uint8)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = 1
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "longest_repeat")
 
@@ -44,44 +45,68 @@ def longest_repeats(words: np.ndarray, first: np.ndarray) -> np.ndarray:
 
     words: 64-bit hashes; first: each document's first word number, and the total.
     """
-    docs = np.repeat(np.arange(len(first) - 1), np.diff(first))
     if not len(words):
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.int32)
+    n_docs = len(first) - 1
+    size = len(words) + n_docs
     # Word numbers apart by document; position i of document d is at i + d, after d closing symbols.
-    _, number = np.unique(T.mix(words ^ T.mix(docs.astype(np.uint64) + np.uint64(1))), return_inverse=True)
-    at = np.arange(len(words)) + docs
-    size = len(words) + len(first) - 1
-    key = np.empty(size, dtype=np.int64)
-    key[at] = number
-    key[first[1:] + np.arange(len(first) - 1)] = len(words) + np.arange(len(first) - 1)
-    order = np.argsort(key, kind="stable")
-    new = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
-    start = np.maximum.accumulate(np.where(new, np.arange(size), 0))
+    docs = np.repeat(np.arange(n_docs, dtype=np.int32), np.diff(first))
+    own = T.mix(words ^ T.mix(docs.astype(np.uint64) + np.uint64(1)))
+    at = np.arange(len(words), dtype=np.int32) + docs
+    ends = (first[1:] + np.arange(n_docs)).astype(np.int32)
+    sums = np.zeros(size + 1, dtype=np.uint64)
+    sums[at + 1] = own
+    sums[ends + 1] = T.mix(np.arange(n_docs, dtype=np.uint64) ^ np.uint64(0xA4093822299F31D0))
+    del docs
+    order = np.argsort(own, kind="stable").astype(np.int32)
+    new = np.empty(len(words), dtype=bool)
+    new[0] = True
+    np.not_equal(own[order[1:]], own[order[:-1]], out=new[1:])
+    del own
+    lone = np.empty(len(words), dtype=bool)
+    lone[-1], lone[:-1] = new[-1], new[:-1] & new[1:]
     rank = np.empty(size, dtype=np.int32)
-    rank[order] = start
-    ranks, step = [rank], 1
-    tied = order[~(new & np.concatenate([new[1:], [True]]))]
+    rank[at[order]] = np.maximum.accumulate(np.where(new, np.arange(len(words), dtype=np.int32), np.int32(0)))
+    rank[ends] = len(words) + np.arange(n_docs, dtype=np.int32)
+    # Only words that occur again in their document can begin a repeat.
+    tied = at[order[~lone]]
+    again = np.zeros(size, dtype=bool)
+    again[tied] = True
+    del order, new, lone
+    step = 1
     while len(tied):
         pair = (rank[tied].astype(np.int64) << 32) | rank[tied + step]
         by = np.argsort(pair, kind="stable")
         tied, pair = tied[by], pair[by]
-        index = np.arange(len(tied))
+        del by
         group = np.concatenate([[True], (pair[1:] >> 32) != (pair[:-1] >> 32)])
         new = np.concatenate([[True], pair[1:] != pair[:-1]])
-        offset = np.maximum.accumulate(np.where(new, index, 0)) - np.maximum.accumulate(np.where(group, index, 0))
-        rank = rank.copy()
-        rank[tied] = (pair >> 32) + offset
-        ranks.append(rank)
+        index = np.arange(len(tied), dtype=np.int32)
+        offset = np.maximum.accumulate(np.where(new, index, np.int32(0))) - np.maximum.accumulate(np.where(group, index, np.int32(0)))
+        rank[tied] = (pair >> 32).astype(np.int32) + offset
+        del pair, index, offset, group
         tied = tied[~(new & np.concatenate([new[1:], [True]]))]
         step *= 2
-    suffixes = np.empty(size, dtype=np.int64)
-    suffixes[rank] = np.arange(size)
-    near = np.flatnonzero(ranks[0][suffixes[:-1]] == ranks[0][suffixes[1:]])
+    suffixes = np.empty(size, dtype=np.int32)
+    suffixes[rank] = np.arange(size, dtype=np.int32)
+    del rank
+    near = np.flatnonzero(again[suffixes[:-1]] & again[suffixes[1:]]).astype(np.int32)
     a, b = suffixes[near], suffixes[near + 1]
-    common = np.zeros(len(near), dtype=np.int64)
-    for k in range(len(ranks) - 1, -1, -1):
-        common += (ranks[k][a + common] == ranks[k][b + common]).astype(np.int64) << k
-    out = np.zeros(size, dtype=np.int64)
+    del near, suffixes, again
+    power, inverse = T._tables(size + 1)
+    sums[1:] *= power[:size]
+    np.cumsum(sums, out=sums)
+    common = np.zeros(len(a), dtype=np.int32)
+    span = step
+    while span:
+        for low in range(0, len(a), 1 << 18):
+            x, y = a[low : low + (1 << 18)] + common[low : low + (1 << 18)], b[low : low + (1 << 18)] + common[low : low + (1 << 18)]
+            fits = np.flatnonzero(np.maximum(x, y) + span <= size)
+            x, y = x[fits], y[fits]
+            same = (sums[x + span] - sums[x]) * inverse[x] == (sums[y + span] - sums[y]) * inverse[y]
+            common[low + fits[same]] += span
+        span //= 2
+    out = np.zeros(size, dtype=np.int32)
     np.maximum.at(out, a, common)
     np.maximum.at(out, b, common)
     return out[at]
@@ -89,11 +114,9 @@ def longest_repeats(words: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def covered(lengths: np.ndarray, least: int) -> np.ndarray:
     """Which words lie in a repeat of at least `least` words (a repeat never leaves its document)."""
-    mark = np.zeros(len(lengths) + 1, dtype=np.int64)
-    at = np.flatnonzero(lengths >= least)
-    np.add.at(mark, at, 1)
-    np.subtract.at(mark, at + lengths[at], 1)
-    return np.cumsum(mark[:-1]) > 0
+    # How far the repeats that began so far reach.
+    reach = np.where(lengths >= least, lengths, 0) + np.arange(len(lengths), dtype=np.int64)
+    return np.maximum.accumulate(reach) > np.arange(len(lengths))
 
 
 def measures(column: pa.Array, repeat_words: int) -> dict[str, np.ndarray]:
@@ -103,8 +126,10 @@ def measures(column: pa.Array, repeat_words: int) -> dict[str, np.ndarray]:
     lengths = longest_repeats(T.range_hashes(data, start, end), first)
 
     def per_doc(flags: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
-        return sums[cuts[1:]] - sums[cuts[:-1]]
+        out, full = np.zeros(len(cuts) - 1, dtype=np.int64), np.flatnonzero(np.diff(cuts))
+        if len(full):
+            out[full] = np.add.reduceat(flags, cuts[:-1][full], dtype=np.int64)
+        return out
 
     breaks = np.flatnonzero(data == 0x0A)
     low = np.sort(np.concatenate([at[:-1], breaks + 1]), kind="stable")
@@ -131,7 +156,7 @@ def measures(column: pa.Array, repeat_words: int) -> dict[str, np.ndarray]:
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits | None = None) -> DataFrame:
-    """(doc_id, MEASURES, base_failed, kept) for each row; a null text has no words and fails the base rules. Other columns are not looked at."""
+    """(doc_id, MEASURES, base_failed, kept) for each row; a null or empty text has no words and fails the base rules, repeated rows are returned as often, an empty table gives none. Other columns are not looked at."""
     limits = limits or Limits()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +170,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lim
 
 
 def clean(docs: DataFrame, text_col: str = "text", limits: Limits | None = None) -> DataFrame:
-    """The rows of docs, all columns as they are, that the rules keep."""
+    """The rows of docs, all columns as they are, that the rules keep: none with a null or empty text; repeated rows are kept or not alike."""
     limits, place = limits or Limits(), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,6 +13,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
@@ -22,6 +24,19 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(*frames: DataFrame) -> None:
+    """Remove the written rows of saved() frames that nothing reads any more, and let go of shuffles that are no longer needed."""
+    for df in frames:
+        spark = df.sparkSession
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if frames:
+        # The driver drops a shuffle's files once nothing refers to it.
+        frames[0].sparkSession._jvm.System.gc()
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df itself if its rows come from files in a fixed order; after a shuffle, whose order may change when a lost task runs again, its saved rows."""
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -45,6 +60,8 @@ def components(edges: DataFrame) -> DataFrame:
         jump = lower.select(F.col("node").alias("label"), F.col("label").alias("further"))
         after = saved(lower.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label")))
         changed = after.join(labels.withColumnRenamed("label", "was"), "node").where("label <> was").limit(1).count()
+        forget(labels, lower)
         labels = after
         if not changed:
+            forget(both)
             return labels

@@ -19,6 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from . import _text as T
+from ._run import saved
 from .near_duplicates import Settings, _numbers, linked, near_duplicates
 
 N, SEED, WORDS = 128, 3, 5
@@ -68,10 +69,10 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return links.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))).distinct()
 
 
-def with_components(rows: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:
-    """rows(doc_id, …) with component_id: the smallest doc_id that verified links lead to, the document's own if none does; null for a null id."""
-    found = near_duplicates(docs, id_col, text_col, settings).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return rows.join(found, "doc_id", "left")
+def joined_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:
+    """(doc_id, component_id) of the documents that verified links lead to a smaller doc_id, the smallest of them."""
+    found = near_duplicates(docs, id_col, text_col, settings).where("component_id < doc_id")
+    return saved(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id")))
 
 
 def edited(text: str, following: str) -> str:
@@ -90,8 +91,11 @@ def _blocks(docs: DataFrame, rows_per_block: int) -> list[int]:
     return sorted(set(cuts))
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row.
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_block: int = ROWS_PER_BLOCK, joined: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, component_id) for each row.
+
+    component_id is that of joined(doc_id, component_id), one row an id at most, else the
+    doc_id; joined's rows travel to the documents, which are wider.
 
     The next document is the next by ascending doc_id (null ids come last, equal ids by a
     digest of their text), after the last the first; of one document alone it is that
@@ -126,15 +130,35 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
         heads = heads.select("h.doc_id", F.lit(LAST).alias("k"), F.col("target").alias("block"), "h.tie", "h.text", F.lit(1).alias("head"))
     else:
         heads = dealt.withColumn("head", F.lit(1))
-    rows = dealt.withColumn("head", F.lit(0)).unionByName(heads)
-    rows = rows.repartition("block").sortWithinPartitions("block", "head", "k", "tie").select("doc_id", "text", "block", "head")
+    none = F.lit(None).cast("long")
+    rows = dealt.withColumn("head", F.lit(0)).unionByName(heads).withColumn("component", none)
+    if joined is not None:
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                block = np.searchsorted(cuts, batch.column(0).to_numpy(), side="left").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(block), batch.column(1)], ["k", "block", "component"])
+
+        named = joined.select("doc_id", "component_id").mapInArrow(place, "k long, block int, component long")
+        rows = rows.unionByName(named.select(none.alias("doc_id"), "k", "block", none.alias("tie"), F.lit(None).cast("binary").alias("text"), F.lit(0).alias("head"), "component"))
+    # A component's row comes before the documents of its id: its tie is null.
+    rows = rows.repartition("block").sortWithinPartitions("block", "head", "k", F.col("tie").asc_nulls_first()).select("doc_id", "text", "block", "head", "component", "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, waiting = zstandard.ZstdDecompressor(), None
+        unpack, waiting, of, name = zstandard.ZstdDecompressor(), None, None, None
         for batch in batches:
             for part in T.slices(batch, "text", 3):
+                own = []
+                for doc_id, k, component in zip(*(part.column(i).to_pylist() for i in (0, 5, 4))):
+                    if component is not None:
+                        of, name = k, component
+                    own.append(name if k == of and doc_id is not None else doc_id)
+                part = part.append_column("own", pa.array(own, type=pa.int64()))
+                part = part.filter(part.column(1).is_valid())
                 texts = pa.array([unpack.decompress(x) for x in part.column(1).to_pylist()], type=pa.binary()).cast(pa.string())
-                part = pa.RecordBatch.from_arrays([part.column(0), texts, part.column(2), part.column(3)], ["doc_id", "text", "block", "head"])
+                part = pa.RecordBatch.from_arrays([part.column(0), texts, part.column(2), part.column(3), part.column(6)], ["doc_id", "text", "block", "head", "own"])
+                if not part.num_rows:
+                    continue
                 if waiting is not None:
                     part = pa.Table.from_batches([waiting, part]).combine_chunks().to_batches()[0]
                 block, head = _numbers(part, "block"), _numbers(part, "head")
@@ -158,13 +182,14 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
                 pa.array(written(other)),
                 pa.array((own[at] == other).mean(axis=1)),
                 pa.array((own[at] == own[at + 1]).mean(axis=1)),
+                part.column(4).take(pa.array(at)),
             ],
-            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "component_id"],
         )
 
-    return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, component_id long")
 
 
 def op6_fingerprints(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return with_components(with_next(docs), docs)
+    return with_next(docs, joined=joined_documents(docs))

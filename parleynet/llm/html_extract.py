@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import _text as T
-from ._run import saved
+from ._run import forget, saved
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
@@ -518,7 +518,9 @@ def templates(pages: DataFrame, prior: Prior = PRIOR, support_percent: int = 1,
     tokens = saved(tokens_of(pages, prior))
     classes = saved(classes_of(tokens, support_percent, min_class))
     valid, trees = nested(pages, classes, prior)
-    return template_slots(tokens, classes, valid, trees, shared_percent, link_percent, again, share_percent)
+    found = saved(template_slots(tokens, classes, valid, trees, shared_percent, link_percent, again, share_percent))
+    forget(tokens, classes)
+    return found
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", prior: Prior = PRIOR) -> DataFrame:
@@ -547,7 +549,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                 texts.append(extract(page, read[host], prior))
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(texts, type=pa.string()), pa.array([len(x) for x in texts], type=pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return each_with(pages.select("page_id", "url", "html", "host"), saved(known), run, schema)
+    return each_with(pages.select("page_id", "url", "html", "host"), known, run, schema)
 
 
 def op5_html_extract(spark, sf_dir: str) -> DataFrame:

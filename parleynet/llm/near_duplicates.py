@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from . import _text as T
-from ._run import components, saved
+from ._run import components, forget, saved
 
 SIGNED = "doc_id long, n_shingles long, key1 long, key2 long, signature binary"
 #: Members of a bucket or pivot that one task takes; (id, part) rows sent to every task instead of shuffling texts to them.
@@ -293,7 +293,9 @@ def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
                         b.append(of)
                 yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], ["a", "b"])
 
-    return seats.mapInArrow(run, "a long, b long").distinct()
+    out = saved(seats.mapInArrow(run, "a long, b long").distinct())
+    forget(roles)
+    return out
 
 
 def _linked(u: np.ndarray, v: np.ndarray, s: Settings) -> bool:
@@ -322,7 +324,9 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     upper = components(moved.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
     labels = labels.unionByName(upper.join(labels.select("node"), "node", "left_anti"))
     top = upper.select(F.col("node").alias("label"), F.col("label").alias("top"))
-    return saved(labels.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")))
+    out = saved(labels.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")))
+    forget(upper)
+    return out
 
 
 def linked(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -337,6 +341,7 @@ def linked(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFram
     members = linked.join(reps, ["key1", "key2", "n_shingles"])
     # A class is named by its first set key; an id whose rows have several texts stands for several classes.
     classes = members.where("doc_id = rep").select(F.col("key1").alias("cls"), "rep", F.col("n_shingles").alias("n"), "signature").dropDuplicates(["cls"])
+    classes = saved(classes)
 
     bands = band_rows(classes, s)
     shared = bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -346,7 +351,7 @@ def linked(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFram
     # A class has a bucket for each band at most, and so has a pivot.
     largest = best.groupBy("pivot").agg(F.ceil(F.max("size") / PART_ROWS).cast("int").alias("parts"))
     pivots = saved(best.join(largest, "pivot"))
-    links = saved(verified(pivot_candidates(rows, pivots, classes, s), docs, s))
+    links = verified(pivot_candidates(rows, pivots, classes, s), docs, s)
 
     twice = members.select("doc_id", "rep").distinct()
     first = twice.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b < last")
@@ -359,19 +364,24 @@ def linked(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFram
     heads = pivots.join(of_class.withColumnsRenamed({"cls": "pivot", "label": "pivot_label"}), "pivot").select("bucket", F.col("pivot").alias("pivot_cls"), "pivot_label")
     left = named.join(saved(open_.join(heads, "bucket")), "bucket")
     counts = left.groupBy("bucket").agg(F.count("*").alias("members"), F.count_if(F.col("label") != F.col("pivot_label")).alias("outside"))
-    seats = block_seats(left.join(saved(counts), "bucket").join(classes, "cls"), s)
-    marks, round_ = None, 0
+    counts = saved(counts)
+    seats = block_seats(left.join(counts, "bucket").join(classes, "cls"), s)
+    marks, round_, before = None, 0, None
     while True:
         found = saved(block_candidates(seats, labels, marks, round_, s))
         pairs = found.where("a IS NOT NULL").select("a", "b", F.lit(0).alias("part")).distinct()
         if not pairs.limit(1).count():
             break
-        more = saved(verified(pairs, docs, s))
+        more = verified(pairs, docs, s)
         if more.limit(1).count():
             links, labels = links.unionByName(more), _merged(labels, more)
         marks, round_ = found.where("a IS NULL"), round_ + 1
         if not marks.limit(1).count():
             break
+        if before is not None:
+            forget(before)
+        before = found
+    forget(rows, pivots, classes, of_class, counts, found)
     return signed, reps, links, labels
 
 

@@ -120,6 +120,13 @@ def pretty(c: Column) -> Column:
     return F.replace(F.coalesce(c, F.lit("")), F.lit("_"), F.lit(" "))
 
 
+def escaped(c: Column) -> Column:
+    """Text as it is shown inside HTML."""
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        c = F.replace(c, F.lit(plain), F.lit(entity))
+    return c
+
+
 def yes_no(c: Column) -> Column:
     s = F.lower(F.trim(c.cast("string")))
     return F.when(s.isin("y", "yes", "true", "1"), True).when(s.isin("n", "no", "false", "0"), False)

@@ -11,24 +11,64 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Tiers of positive verbs (priority, weight, bases); the lowest priority number wins.
 POSITIVE_TIERS = {
-    "intent": (1, 3.0, "offer propose pitch plan seek explore willing ready prepared volunteer"),
-    "substantive": (2, 6.0, "host convene reconvene mediate broker facilitate shuttle sign ratify ceasefire truce agree reach accept accord aid supply arm withdraw release concede ease lift provide send deliver approve assist restore resume normalise normalize guarantee"),
-    "positioning": (3, 3.0, "urge call press pressure insist negotiate meet talk discuss consult phone speak welcome back support endorse pledge work deescalate encourage invite commit engage coordinate hold ask request assure reassure stand approach cooperate partner draft recognise recognize accommodate"),
-    "stance": (4, 1.0, "praise thank laud credit nominate hail commend congratulate reaffirm emphasise emphasize underscore appreciate hope want consider express signal acknowledge stress apologise apologize regret note affirm reiterate grateful supportive value salute respect"),
-}
+    "intent": (1, 3.0, (
+        "offer", "propose", "pitch", "plan", "seek", "explore", "willing", "ready", "prepared", "volunteer",
+    )),
+    "substantive": (2, 6.0, (
+        "host", "convene", "reconvene", "mediate", "broker", "facilitate", "shuttle", "sign", "ratify", "ceasefire", "truce", "agree", "reach",
+        "accept", "accord", "aid", "supply", "arm", "withdraw", "release", "concede", "ease", "lift", "provide", "send", "deliver", "approve",
+        "assist", "restore", "resume", "normalise", "normalize", "guarantee",
+    )),
+    "positioning": (3, 3.0, (
+        "urge", "call", "press", "pressure", "insist", "negotiate", "meet", "talk", "discuss", "consult", "phone", "speak", "welcome", "back",
+        "support", "endorse", "pledge", "work", "deescalate", "encourage", "invite", "commit", "engage", "coordinate", "hold", "ask", "request",
+        "assure", "reassure", "stand", "approach", "cooperate", "partner", "draft", "recognise", "recognize", "accommodate",
+    )),
+    "stance": (4, 1.0, (
+        "praise", "thank", "laud", "credit", "nominate", "hail", "commend", "congratulate", "reaffirm", "emphasise", "emphasize", "underscore",
+        "appreciate", "hope", "want", "consider", "express", "signal", "acknowledge", "stress", "apologise", "apologize", "regret", "note", "affirm",
+        "reiterate", "grateful", "supportive", "value", "salute", "respect",
+    )),
+}
 #: Tiers of negative verbs.
 NEGATIVE_TIERS = {
-    "assault": (0, -9.0, "strike bomb attack kill hit launch destroy raid invade seize blockade airstrike target shell fire storm assault intercept shoot down neutralise neutralize obliterate eliminate damage wound injure raze flatten pound"),
-    "threaten": (1, -6.0, "threaten warn vow retaliate menace threat"),
-    "sanction": (2, -5.0, "sanction blacklist embargo snapback reimpose impose penalise penalize"),
-    "reject": (3, -4.0, "reject refuse deny dismiss rule block breach veto"),
-    "demand": (4, -3.0, "demand urge call press insist pressure order push prod ask"),
-    "accuse": (5, -3.0, "accuse condemn blame criticise criticize slam denounce protest suppress oppress repress crack lash oppose decry rebuke"),
-}
+    "assault": (0, -9.0, (
+        "strike", "bomb", "attack", "kill", "hit", "launch", "destroy", "raid", "invade", "seize", "blockade", "airstrike", "target", "shell", "fire",
+        "storm", "assault", "intercept", "shoot", "down", "neutralise", "neutralize", "obliterate", "eliminate", "damage", "wound", "injure", "raze",
+        "flatten", "pound",
+    )),
+    "threaten": (1, -6.0, (
+        "threaten", "warn", "vow", "retaliate", "menace", "threat",
+    )),
+    "sanction": (2, -5.0, (
+        "sanction", "blacklist", "embargo", "snapback", "reimpose", "impose", "penalise", "penalize",
+    )),
+    "reject": (3, -4.0, (
+        "reject", "refuse", "deny", "dismiss", "rule", "block", "breach", "veto",
+    )),
+    "demand": (4, -3.0, (
+        "demand", "urge", "call", "press", "insist", "pressure", "order", "push", "prod", "ask",
+    )),
+    "accuse": (5, -3.0, (
+        "accuse", "condemn", "blame", "criticise", "criticize", "slam", "denounce", "protest", "suppress", "oppress", "repress", "crack", "lash",
+        "oppose", "decry", "rebuke",
+    )),
+}
 #: Verbs that only report, irregular forms, and words that are no part of a verb.
-REPORTING = "say tell report claim add announce state cite describe declare suggest argue indicate comment remark confirm"
-IRREGULAR = "said:say told:tell sent:send brought:bring met:meet spoke:speak spoken:speak held:hold struck:strike sought:seek withdrew:withdraw withdrawn:withdraw made:make stood:stand shot:shoot"
-PARTICLES = "to on in with for of at by as the a an against over after during about from into upon out off between amid despite before within across through since following given under toward towards alongside without because compared excluding including aboard throughout down up away that it its their and"
+REPORTING = (
+    "say", "tell", "report", "claim", "add", "announce", "state", "cite", "describe", "declare", "suggest", "argue", "indicate", "comment", "remark",
+    "confirm",
+)
+IRREGULAR = {
+    "said": "say", "told": "tell", "sent": "send", "brought": "bring", "met": "meet", "spoke": "speak", "spoken": "speak", "held": "hold", "struck":
+    "strike", "sought": "seek", "withdrew": "withdraw", "withdrawn": "withdraw", "made": "make", "stood": "stand", "shot": "shoot",
+}
+PARTICLES = (
+    "to", "on", "in", "with", "for", "of", "at", "by", "as", "the", "a", "an", "against", "over", "after", "during", "about", "from", "into", "upon",
+    "out", "off", "between", "amid", "despite", "before", "within", "across", "through", "since", "following", "given", "under", "toward", "towards",
+    "alongside", "without", "because", "compared", "excluding", "including", "aboard", "throughout", "down", "up", "away", "that", "it", "its",
+    "their", "and",
+)
 
 
 def inflected(base: str) -> list[str]:
@@ -41,11 +81,11 @@ def inflected(base: str) -> list[str]:
     return [base, base + ending, f"{base}ed", f"{base}ing"]
 
 
-def tier_rows(tiers: dict[str, tuple[int, float, str]]) -> dict[str, tuple[int, float, str]]:
+def tier_rows(tiers: dict[str, tuple[int, float, tuple[str, ...]]]) -> dict[str, tuple[int, float, str]]:
     """form: (priority, weight, label); the first tier that lists a form has it."""
     rows: dict[str, tuple[int, float, str]] = {}
     for label, (priority, weight, bases) in tiers.items():
-        for base in bases.split():
+        for base in bases:
             for form in inflected(base):
                 rows.setdefault(form, (priority, weight, label))
     return rows
@@ -53,15 +93,15 @@ def tier_rows(tiers: dict[str, tuple[int, float, str]]) -> dict[str, tuple[int,
 
 def tokens(verb: Column) -> Column:
     """Letter runs of the lower-case verb phrase without particles, irregular forms at their base."""
-    irregular = F.create_map(*(F.lit(x) for pair in IRREGULAR.split() for x in pair.split(":")))
-    found = F.filter(F.regexp_extract_all(F.lower(F.coalesce(verb, F.lit(""))), F.lit("[a-z]+"), F.lit(0)), lambda t: ~t.isin(*PARTICLES.split()))
+    irregular = F.create_map(*(F.lit(x) for pair in IRREGULAR.items() for x in pair))
+    found = F.filter(F.regexp_extract_all(F.lower(F.coalesce(verb, F.lit(""))), F.lit("[a-z]+"), F.lit(0)), lambda t: ~t.isin(*PARTICLES))
     return F.transform(found, lambda t: F.coalesce(F.try_element_at(irregular, t), t))
 
 
 def verb_table(spark: SparkSession) -> DataFrame:
     """(form, polarity, priority, weight, label), reporting verbs included at the lowest precedence: about a thousand rows."""
     rows = [(f, p, *v) for p, tiers in (("positive", POSITIVE_TIERS), ("negative", NEGATIVE_TIERS)) for f, v in tier_rows(tiers).items()]
-    said = sorted({f for base in REPORTING.split() for f in inflected(base)})
+    said = sorted({f for base in REPORTING for f in inflected(base)})
     rows += [(f, p, 99, 0.0, "report_drop") for p in ("positive", "negative") for f in said]
     return spark.createDataFrame(rows, "form string, polarity string, priority int, weight double, label string")
 

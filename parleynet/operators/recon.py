@@ -13,19 +13,19 @@ from ..functions.verbs import inflected
 
 #: Relation buckets and the cues that name them, first match wins.
 CUES = {
-    "HOST_TALKS": "host, convene, bring together, welcome",
-    "MEDIATE": "mediate, broker, facilitate, shuttle, go-between",
-    "CONSULT": "meet, talk, discuss, phone, call, hold talks, consult",
-    "AGREE": "agree, sign, reach, accept, deal, ceasefire",
-    "SUPPORT": "back, support, praise, side, welcome, endorse",
-    "AID": "aid, supply, assist, provide, send",
-    "DEMAND": "urge, call on, press, demand, insist",
-    "REJECT": "reject, refuse, dismiss, rule out, deny",
-    "ACCUSE": "accuse, condemn, blame, criticise, criticize, slam",
-    "THREATEN": "threaten, warn, vow, retaliate",
-    "SANCTION": "sanction, blacklist, impose, penalise, penalize",
-    "ASSAULT": "strike, bomb, attack, hit, launch, kill, target",
-}
+    "HOST_TALKS": ("host", "convene", "bring together", "welcome"),
+    "MEDIATE": ("mediate", "broker", "facilitate", "shuttle", "go-between"),
+    "CONSULT": ("meet", "talk", "discuss", "phone", "call", "hold talks", "consult"),
+    "AGREE": ("agree", "sign", "reach", "accept", "deal", "ceasefire"),
+    "SUPPORT": ("back", "support", "praise", "side", "welcome", "endorse"),
+    "AID": ("aid", "supply", "assist", "provide", "send"),
+    "DEMAND": ("urge", "call on", "press", "demand", "insist"),
+    "REJECT": ("reject", "refuse", "dismiss", "rule out", "deny"),
+    "ACCUSE": ("accuse", "condemn", "blame", "criticise", "criticize", "slam"),
+    "THREATEN": ("threaten", "warn", "vow", "retaliate"),
+    "SANCTION": ("sanction", "blacklist", "impose", "penalise", "penalize"),
+    "ASSAULT": ("strike", "bomb", "attack", "hit", "launch", "kill", "target"),
+}
 NAME = r"\p{Lu}[\p{L}'’-]*(?: \p{Lu}[\p{L}'’-]*)*"
 
 
@@ -63,7 +63,7 @@ def bucket(phrase: Column) -> Column:
     out = F.lit("UNMAPPED")
     for relation, cues in reversed(list(CUES.items())):
         hit = F.lit(False)
-        for cue in cues.split(", "):
+        for cue in cues:
             hit = hit | phrase.contains(cue) | F.contains(F.lit(cue), phrase)
         out = F.when(hit, relation).otherwise(out)
     return out
@@ -71,7 +71,7 @@ def bucket(phrase: Column) -> Column:
 
 def cue_verbs(sentence: Column) -> Column:
     """Words of a sentence that are a form of a one-word cue, as the cue."""
-    base = {form: cue for cues in CUES.values() for cue in cues.split(", ") if " " not in cue for form in inflected(cue)}
+    base = {form: cue for cues in CUES.values() for cue in cues if " " not in cue for form in inflected(cue)}
     table = F.create_map(*(F.lit(x) for kv in base.items() for x in kv))
     return F.array_compact(F.transform(F.regexp_extract_all(F.lower(sentence), F.lit("[a-z-]+"), F.lit(0)), lambda w: F.try_element_at(table, w)))
 

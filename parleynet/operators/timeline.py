@@ -16,6 +16,9 @@ from .. import config
 from .network import is_brokering, polarity_label
 
 ARC = ("source", "target")
+#: Fixed values of displays: good lengths of a story's and a mediation's quote; ring radius (least, most, step an actor), stretch, and bounds of x and y.
+STORY_QUOTE, MEDIATION_QUOTE = (45, 200), (45, 220)
+RING, STRETCH, X_BOUNDS, Y_BOUNDS = (0.055, 0.13, 0.012), 1.05, (0.05, 0.95), (0.10, 0.88)
 FIELDS = ("coop", "conf", "neu", "broker")
 
 
@@ -134,7 +137,7 @@ def hero(events: DataFrame, focus: str, keys: tuple[str, ...], date: str = "date
     """The one event a summary quotes: of brokering positive events at the focus, else positive ones, else any; good length first, then the earliest."""
     at_focus = ((F.col("source") == focus) | (F.col("target") == focus)) & (F.col("polarity") == "positive")
     tier = F.when(at_focus & is_brokering(F.col("raw_verb")), 0).when(at_focus, 1).otherwise(2)
-    by = F.struct(tier.alias("tier"), fits(F.col("quote"), 45, 200).alias("outside"), F.col(date), *(F.col(c) for c in tie))
+    by = F.struct(tier.alias("tier"), fits(F.col("quote"), *STORY_QUOTE).alias("outside"), F.col(date), *(F.col(c) for c in tie))
     chosen = F.min_by(F.struct(*(c for c in events.columns if c not in keys)), by)
     return events.groupBy(*keys).agg(chosen.alias("e")).select(*keys, "e.*")
 
@@ -150,7 +153,7 @@ def mediation_hero(events: DataFrame, principals: tuple[str, ...], keys: tuple[s
     """Of acts of mediation: those toward a principal if any, of these those at the focus if any; good length first, then the latest."""
     pool = events.where(is_mediation(principals)).withColumn("_far", F.when(F.col("target").isin(*principals), 0).otherwise(1))
     near = F.when((F.col("source") == focus) | (F.col("target") == focus), 0).otherwise(1) if focus is not None else F.lit(0)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_far", F.coalesce(near, F.lit(1)), fits(F.col("quote"), 45, 220), F.desc(date), *tie))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_far", F.coalesce(near, F.lit(1)), fits(F.col("quote"), *MEDIATION_QUOTE), F.desc(date), *tie))
     return pool.withColumn("_rank", rank).where("_rank = 1").drop("_far", "_rank")
 
 
@@ -162,7 +165,7 @@ def hero_or_last(events: DataFrame, weeks: DataFrame, principals: tuple[str, ...
     acts = events.where(is_mediation(principals))
     near = F.when((F.col("source") == focus) | (F.col("target") == focus), 0).otherwise(1) if focus is not None else F.lit(0)
     late = (-F.unix_date(F.col("date").cast("date"))).alias("late")
-    by = F.struct(F.when(F.col("target").isin(*principals), 0).otherwise(1).alias("far"), F.coalesce(near, F.lit(1)).alias("near"), fits(F.col("quote"), 45, 220).alias("outside"), late, *(F.col(c) for c in tie))
+    by = F.struct(F.when(F.col("target").isin(*principals), 0).otherwise(1).alias("far"), F.coalesce(near, F.lit(1)).alias("near"), fits(F.col("quote"), *MEDIATION_QUOTE).alias("outside"), late, *(F.col(c) for c in tie))
     own = acts.groupBy("outlet", "week").agg(F.min(F.struct(by.alias("by"), F.struct("source", "target", "raw_verb", "quote", "date").alias("e"))).alias("own"))
     grid = events.select("outlet").distinct().join(F.broadcast(weeks.select("week")), how="cross").join(own, ["outlet", "week"], "left")
     sofar = F.min("own").over(Window.partitionBy("outlet").orderBy("week").rowsBetween(Window.unboundedPreceding, 0))
@@ -229,10 +232,10 @@ def radial_layout(actors: DataFrame, anchors: dict[str, tuple[float, float]], pr
     bloc = Window.partitionBy("bloc")
     rows = rows.withColumn("led", F.max("head").over(bloc)).withColumn("n", F.count_if(~F.col("head")).over(bloc)).withColumn("i", F.row_number().over(bloc.orderBy("head", "ord")) - 1)
     turn = F.when(F.col("led"), (F.col("i") + 1) * (2 * F.pi() / (F.col("n") + 1))).otherwise(F.col("i") * (2 * F.pi() / F.greatest(F.lit(1), F.col("n")))) - F.pi() / 2
-    radius = F.least(F.lit(0.13), 0.055 + 0.012 * F.col("n"))
-    x, y = at[0] + radius * F.cos(turn), at[1] + radius * F.sin(turn) * 1.05
+    radius = F.least(F.lit(RING[1]), RING[0] + RING[2] * F.col("n"))
+    x, y = at[0] + radius * F.cos(turn), at[1] + radius * F.sin(turn) * STRETCH
     clamp = lambda v, low, high: F.greatest(F.lit(low), F.least(F.lit(high), v))
-    return rows.select("actor", F.when(F.col("head"), at[0]).otherwise(clamp(x, 0.05, 0.95)).alias("x"), F.when(F.col("head"), at[1]).otherwise(clamp(y, 0.10, 0.88)).alias("y"))
+    return rows.select("actor", F.when(F.col("head"), at[0]).otherwise(clamp(x, *X_BOUNDS)).alias("x"), F.when(F.col("head"), at[1]).otherwise(clamp(y, *Y_BOUNDS)).alias("y"))
 
 
 def ranked_nodes(sizes: DataFrame, scores: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -80,6 +80,14 @@ def mediation_share(rows: DataFrame, actors: tuple[str, ...]) -> DataFrame:
     return at.agg(F.count("*").alias("n"), F.avg((F.col("h_med") == "mediation").cast("int")).alias("share"), *counts)
 
 
+def agreement(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(field, n, kappa) of two annotators' sheets, met on their ids: actors_ok, direction_ok, polarity and mediation, rows that either left out or unreadable not counted."""
+    read = {"actors_ok": yes_no, "direction_ok": yes_no, "polarity": lambda c: one_of(c, "positive", "negative", "neutral"), "mediation": lambda c: one_of(c, "mediation", "goodwill", "not")}
+    pairs = [F.struct(F.lit(f).alias("field"), r(one[f]).cast("string").alias("x"), r(two[f]).cast("string").alias("y")) for f, r in read.items()]
+    met = one.join(two, one["id"] == two["id"]).select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
+    return kappa(met, "x", "y", ("field",))
+
+
 def kappa(rows: DataFrame, a: str, b: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, n, kappa) of two label columns, rows with a null label left out: NaN without rows, 1 where chance alone agrees always.
 

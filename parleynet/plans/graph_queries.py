@@ -90,9 +90,9 @@ def polarity_labels(spark, d):
 
 def _tiers() -> str:
     rows = [(f, p, *v) for p, t in (("positive", verbs.POSITIVE_TIERS), ("negative", verbs.NEGATIVE_TIERS)) for f, v in verbs.tier_rows(t).items()]
-    rows += [(f, p, 99, 0.0, "report_drop") for p in ("positive", "negative") for f in sorted({f for b in verbs.REPORTING.split() for f in verbs.inflected(b)})]
-    irregular = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in (x.split(":") for x in verbs.IRREGULAR.split()))
-    particles = ", ".join(f"'{w}'" for w in verbs.PARTICLES.split())
+    rows += [(f, p, 99, 0.0, "report_drop") for p in ("positive", "negative") for f in sorted({f for b in verbs.REPORTING for f in verbs.inflected(b)})]
+    irregular = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in verbs.IRREGULAR.items())
+    particles = ", ".join(f"'{w}'" for w in verbs.PARTICLES)
     values = ", ".join(f"('{f}', '{p}', {k}, {w}::DOUBLE, '{label}')" for f, p, k, w, label in rows)
     return f"""tiers(form, pol, prio, weight, label) AS (VALUES {values}),
     said AS (SELECT DISTINCT raw_verb, polarity FROM e),

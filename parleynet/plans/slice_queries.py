@@ -89,6 +89,18 @@ def visible_edges(spark, d):
     return T.visible_edges(T.frame_edges(framed(spark, d)), always=(X.axis(spark, d).focus,))
 
 
+@query(f"{E}, {WEEKLY}, {SPAN}, r AS (SELECT *, coop + conf + neu AS w, row_number() OVER (PARTITION BY outlet, week ORDER BY coop + conf + neu DESC, source, target) AS k FROM fr WHERE coop > conf) SELECT outlet, CAST(week AS INTEGER) AS week, source, target, coop, conf, neu, w, 'coop' AS pol FROM r WHERE k <= 24 OR source = {FOCUS} OR target = {FOCUS}")
+def cooperative_edges(spark, d):
+    """What stays visible with the polarity filter on cooperation."""
+    return T.visible_edges(T.frame_edges(framed(spark, d)), always=(X.axis(spark, d).focus,), polarity="coop")
+
+
+@query(f"{E}, r AS (SELECT *, row_number() OVER (PARTITION BY outlet ORDER BY event_date DESC, source, target, doc_id, ref) AS rank FROM e WHERE week BETWEEN 97 AND 100 AND least(source, target) = (SELECT min(n_name) FROM nation WHERE n_nationkey IN (0, 1)) AND greatest(source, target) = (SELECT max(n_name) FROM nation WHERE n_nationkey IN (0, 1))) SELECT outlet, CAST(week AS INTEGER) AS week, event_date, source, target, doc_id, ref, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 14")
+def dyad_mentions(spark, d):
+    rows = T.mentions(events(spark, d), 100, pin=T.pinned_dyad(*X.axis(spark, d).dyad), tie=("source", "target", "doc_id", "ref"))
+    return rows.select("outlet", "week", "event_date", "source", "target", "doc_id", "ref", "rank")
+
+
 @query(f"{E}, {WEEKLY}, {SPAN}, m AS (SELECT outlet, week, CAST(max(s) AS BIGINT) AS max_size FROM (SELECT outlet, week, source, sum(coop + conf + neu) AS s FROM fr GROUP BY ALL) GROUP BY ALL) SELECT outlet, greatest(max(max_size), 1) AS max_size FROM m GROUP BY outlet")
 def frame_maxima(spark, d):
     sizes = framed(spark, d).groupBy("outlet", "week", "source").agg(F.sum(F.col("coop") + F.col("conf") + F.col("neu")).alias("s"))
@@ -131,7 +143,7 @@ def mediation_quotes(spark, d):
     return T.mediation_hero(events(spark, d), X.axis(spark, d).principals, ("outlet", "week"), tie=TIE).select("outlet", "week", "source", "target", "raw_verb", "quote", "event_date")
 
 
-@query()
+@query(f"{E}, a AS (SELECT *, CASE WHEN target IN {PRINCIPALS} THEN 0 ELSE 1 END AS far, CASE WHEN length(quote) BETWEEN 45 AND 220 THEN 0 ELSE 1 END AS outside FROM e WHERE source NOT IN {PRINCIPALS} AND polarity = 'positive' AND ({MEDIATING})), g AS (SELECT outlet, w FROM (SELECT DISTINCT outlet FROM e), (SELECT unnest(range(0, CAST((SELECT lw FROM last) AS BIGINT) + 1)) AS w)), r AS (SELECT g.outlet, w, source, target, raw_verb, quote, date, row_number() OVER (PARTITION BY g.outlet, w ORDER BY CASE WHEN week = w THEN 0 ELSE 1 END, far, outside, date DESC, doc_id, quote, ref, source, target, raw_verb) AS k FROM g JOIN a ON a.outlet = g.outlet AND a.week <= w) SELECT outlet, CAST(w AS INTEGER) AS week, source, target, raw_verb, quote, date FROM r WHERE k = 1")
 def spotlight(spark, d):
     """Each week's quote, or the best so far where the week has none."""
     e = events(spark, d)
@@ -181,11 +193,16 @@ def node_styles(spark, d):
     return T.node_style(X.actors(spark, d), X.COLOURS, "International", "#8a93a3")
 
 
-@query()
+@query("""WITH a AS (SELECT n_name AS actor, r_name AS bloc, n_nationkey AS ord, n_nationkey = 3 AS head FROM nation JOIN region ON n_regionkey = r_regionkey),
+b AS (SELECT bloc, 0.2 + 0.15 * (row_number() OVER (ORDER BY bloc) - 1)::DOUBLE AS ax, bool_or(head) AS led, count(*) FILTER (NOT head) AS n FROM a GROUP BY bloc),
+i AS (SELECT a.*, ax, led, n, row_number() OVER (PARTITION BY a.bloc ORDER BY head, ord) - 1 AS i FROM a JOIN b ON a.bloc = b.bloc),
+t AS (SELECT *, CASE WHEN led THEN (i + 1) * (2 * pi() / (n + 1)) ELSE i * (2 * pi() / greatest(1, n)) END - pi() / 2 AS turn, least(0.13, 0.055 + 0.012 * n)::DOUBLE AS radius FROM i)
+SELECT actor, round(CASE WHEN head THEN ax ELSE greatest(0.05, least(0.95, ax + radius * cos(turn))) END, 6) AS x, round(CASE WHEN head THEN 0.5 ELSE greatest(0.10, least(0.88, 0.5 + radius * sin(turn) * 1.05)) END, 6) AS y FROM t""")
 def node_layout(spark, d):
     a = X.axis(spark, d)
     blocs = sorted(set(a.blocs.values()))
-    return T.radial_layout(X.actors(spark, d), {b: (0.2 + 0.15 * i, 0.5) for i, b in enumerate(blocs)}, {a.blocs[a.focus]: a.focus})
+    spots = T.radial_layout(X.actors(spark, d), {b: (0.2 + 0.15 * i, 0.5) for i, b in enumerate(blocs)}, {a.blocs[a.focus]: a.focus})
+    return spots.select("actor", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 FRAME = ("outlet", "mode", "week")
@@ -205,6 +222,21 @@ def frame_views(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return arcs, scores.groupBy(*FRAME, "actor").agg(*(F.max(F.when(F.col("view") == name, F.col("score"))).alias(name) for name in ("flat", "graded", "brokering")))
 
 
+@query()
+def flow_leaderboard(spark, d):
+    """The best eight of each weekly frame by the flow that carries cooperation, over the trailing 28 days."""
+    scores = M.flow_brokerage(N.project(framed(spark, d), "coop", ("outlet", "week")), X.axis(spark, d).order, ("outlet", "week"))
+    return T.leaderboard(scores)
+
+
+@query()
+def flow_third_parties(spark, d):
+    """The best third parties of each chapter by the flow that carries cooperation."""
+    keys = ("id", "outlet")
+    scores = M.flow_brokerage(N.project(N.signed_network(in_chapters(spark, d), keys), "coop", keys), X.axis(spark, d).order, keys)
+    return T.third_parties(scores, X.axis(spark, d).principals, X.actors(spark, d), keys).select("id", "outlet", "actor", "score", "rank")
+
+
 @query()
 def frame_flow(spark, d):
     """Current flow of every frame's cooperation network: each outlet and week, over the trailing 28 days and over all weeks so far."""

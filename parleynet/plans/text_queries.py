@@ -45,36 +45,29 @@ def mentions(spark, d):
     return m.select("doc_id", F.concat_ws(",", "m").alias("actors"), VO.on_axis(F.col("m"), ("The", "Of", "And"), ("The", "And")).alias("on_axis"))
 
 
-@query("WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \\t\\n\\r]+') AS ws FROM documents), f AS (SELECT doc_id, unnest(ws[1:3]) AS mention FROM w), n AS (SELECT mention, count(*) AS n, trim(regexp_replace(lower(mention), '[^a-z0-9 ]', '', 'g')) AS form FROM f GROUP BY mention) SELECT mention, n, CASE form WHEN 'a' THEN NULL WHEN 'the' THEN 'The' WHEN 'der' THEN 'The' WHEN 'la' THEN 'The' WHEN 'of' THEN 'Of' WHEN 'von' THEN 'Of' WHEN 'and' THEN 'And' WHEN 'und' THEN 'And' WHEN 'et' THEN 'And' WHEN 'to' THEN 'To' WHEN 'zu' THEN 'To' WHEN 'in' THEN 'In' END AS actor FROM n")
-def resolve_mentions(spark, d):
-    """Of the first three words, as the SQL has it; resolve_all_mentions takes every word."""
-    words = docs(spark, d).select(F.explode(F.slice(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r]+"), F.lit(0)), 1, 3)).alias("mention"))
-    return VO.resolve(words.groupBy("mention").agg(F.count("*").alias("n")), "mention", X.WORDS)
-
-
 @query("WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \\t\\n\\r]+') AS ws FROM documents), f AS (SELECT doc_id, unnest(ws) AS mention FROM w), n AS (SELECT mention, count(*) AS n, trim(regexp_replace(lower(mention), '[^a-z0-9 ]', '', 'g')) AS form FROM f GROUP BY mention) SELECT mention, n, CASE form WHEN 'a' THEN NULL WHEN 'the' THEN 'The' WHEN 'der' THEN 'The' WHEN 'la' THEN 'The' WHEN 'of' THEN 'Of' WHEN 'von' THEN 'Of' WHEN 'and' THEN 'And' WHEN 'und' THEN 'And' WHEN 'et' THEN 'And' WHEN 'to' THEN 'To' WHEN 'zu' THEN 'To' WHEN 'in' THEN 'In' END AS actor FROM n")
-def resolve_all_mentions(spark, d):
+def resolve_mentions(spark, d):
     """Of all words; each distinct mention is counted first and resolved once."""
     words = docs(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r]+"), F.lit(0))).alias("mention"))
     return VO.resolve(words.groupBy("mention").agg(F.count("*").alias("n")), "mention", X.WORDS)
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9 ]', '', 'g')) AS normal FROM documents")
-def normal_forms(spark, d):
-    """Of the first 200 characters, as the SQL has it; normal_forms_whole takes the whole text."""
-    return docs(spark, d).select("doc_id", FT.norm(F.substring("text", 1, 200)).alias("normal"))
-
-
 @query("SELECT doc_id, length(normal) AS n_chars, md5(normal) AS normal_md5 FROM (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g')) AS normal FROM documents)")
-def normal_forms_whole(spark, d):
+def normal_forms(spark, d):
     """Of the whole text; as length and digest, the form itself being as wide as the text."""
     n = docs(spark, d).select("doc_id", FT.norm(F.col("text")).alias("normal"))
     return n.select("doc_id", F.length("normal").alias("n_chars"), F.md5(F.col("normal").cast("binary")).alias("normal_md5"))
 
 
-@query("WITH t AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS w FROM documents), s AS (SELECT doc_id, w, list_filter(list_transform(regexp_split_to_array(w, '\\n+'), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: length(p) >= 40) AS ps FROM t), c AS (SELECT doc_id, CASE WHEN length(w) = 0 THEN [] WHEN len(ps) > 0 THEN ps ELSE [w] END AS cs FROM s) SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_no, md5(cs[i]) AS chunk_md5 FROM (SELECT doc_id, cs, unnest(range(1, len(cs) + 1)) AS i FROM c)")
+#: Chunks c(doc_id, cs): sentence ends before two white-space characters or more are made a mark, then empty lines; pieces lie between marks.
+CHUNKS = r"""t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS w FROM documents),
+s AS (SELECT doc_id, w, list_filter(list_transform(string_split(regexp_replace(regexp_replace(w, '([.?!])\s{2,}', '\1' || chr(1), 'g'), '\n{2,}', chr(1), 'g'), chr(1)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: length(p) >= 40) AS ps FROM t),
+c AS (SELECT doc_id, CASE WHEN length(w) = 0 THEN [] WHEN len(ps) > 0 THEN ps ELSE [w] END AS cs FROM s)"""
+
+
+@query(f"WITH {CHUNKS} SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_no, md5(cs[i]) AS chunk_md5 FROM (SELECT doc_id, cs, unnest(range(1, len(cs) + 1)) AS i FROM c)")
 def chunks(spark, d):
-    c = docs(spark, d).select("doc_id", F.posexplode(FT.chunk_paragraphs(F.col("text"), boundary=r"\n+")).alias("chunk_no", "chunk"))
+    c = docs(spark, d).select("doc_id", F.posexplode(FT.chunk_paragraphs(F.col("text"))).alias("chunk_no", "chunk"))
     return c.select("doc_id", "chunk_no", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
 
 
@@ -191,12 +184,17 @@ def numbered_sheet(spark, d):
     return V.numbered(V.sample(e, 200, "doc_id", "source", "target"), ("doc_id", "source", "target")).select("id", "doc_id", "source", "target")
 
 
-@query()
+NAMES = r"n AS (SELECT unnest(regexp_extract_all(text, '\p{Lu}[\p{L}''’-]*(?: \p{Lu}[\p{L}''’-]*)*')) AS x FROM documents WHERE text IS NOT NULL), names AS (SELECT surface, count(*) AS count FROM (SELECT trim(regexp_replace(x, '[''’-]+$', '')) AS surface FROM n) WHERE length(surface) > 1 GROUP BY surface)"
+PLAIN = r"trim(regexp_replace(lower(surface), '[^a-z\s]', '', 'g'))"
+SEEDED = " ".join("WHEN " + " OR ".join(f"p = '{f}' OR list_contains(regexp_split_to_array(p, '\\s+'), '{f}') OR contains('{f}', p)" for f in forms) + f" THEN '{actor}'" for actor, forms in (("The", ["the"]), ("Der", ["der", "die"])))
+
+
+@query(f"WITH {NAMES} SELECT surface, count FROM names ORDER BY count DESC, surface LIMIT 200")
 def frequent_names(spark, d):
     return recon.discover(docs(spark, d))
 
 
-@query()
+@query(f"WITH {NAMES}, s AS (SELECT surface, count, {PLAIN} AS p FROM names) SELECT CASE {SEEDED} ELSE 'UNRESOLVED' END AS canon, surface, CAST(count AS BIGINT) AS count FROM s")
 def name_groups(spark, d):
     """Of all names; only the report of frequent_names stops at 200."""
     return recon.alias_groups(recon.discover(docs(spark, d), keep=None), {"The": ["the"], "Der": ["der", "die"]})
@@ -214,7 +212,7 @@ def stream_sliding_counts(spark, d):
     """Sliding 28-day windows by a streaming query that takes all there is; the shared checkpoint folder holds its state and result."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     stream = S.read_stream(spark, d, schema, pattern="events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 5).alias("bucket"))
-    folder = _shared(spark)
+    folder = shared_folder(spark)
     S.latest_in_batch(S.sliding_counts(stream, keys=("bucket",)), lambda batch, i: batch.write.mode("overwrite").parquet(f"{folder}/result"), f"{folder}/state", mode="complete")
     return spark.read.parquet(f"{folder}/result")
 
@@ -224,12 +222,15 @@ def stream_first_seen(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     rows = S.read_stream(spark, d, schema, pattern="events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
     stream = S.first_seen(rows, "user_id", "ts", "60 days")
-    folder = _shared(spark)
+    folder = shared_folder(spark)
     S.run_available(stream, f"{folder}/result", f"{folder}/state")
     return spark.read.parquet(f"{folder}/result").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-def _shared(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """A new folder inside the cluster's shared one; a local one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    base = base or tempfile.mkdtemp(prefix="streams-")
     return f"{base}/{uuid.uuid4().hex}"

@@ -86,7 +86,9 @@ def merged(stores: Iterable[DataFrame], key: str = "url", seq: str = "seq", raw_
 def write_articles_csv(rows: DataFrame, path: str, columns: list[str] = schemas.ARTICLE_COLUMNS, one_file: bool = False) -> None:
     """A fixed list of columns, missing ones and nulls empty."""
     out = rows.select(*((F.coalesce(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit("")).alias(c) for c in columns))
-    (out.coalesce(1) if one_file else out).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    # White space at the ends of a body is part of it.
+    writer = (out.coalesce(1) if one_file else out).write.mode("overwrite").option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

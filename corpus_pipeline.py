@@ -1,7 +1,10 @@
 """The corpus pipeline: documents in, token ids of the mixed and cleaned corpus out.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the
-columns of documents; the last returns their token ids.
+columns of documents; the last returns their token ids. An empty table goes through to an
+empty result. A null or empty text goes at the first stage, and without labelled rows so
+does every text; repeated rows of an id are one document from dedup on; other columns are
+kept as they are until the last stage, which leaves them out.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("quality", quality), ("dedup", dedup), ("mixing", mixing), ("encoding", encoding)]
 
-#: Compression, suffix arrays and MinHash components can't be said in SQL; the stages are tested against brute force.
+#: Compression and MinHash components can't be said in SQL. Of the stages, dedup and encoding are tested against brute force; the others against their operators, which have tests of their own.
 ORACLE_SQL = None
 
 

@@ -19,22 +19,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and written to the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows of df, computed once and written to the shared checkpoint folder.
+
+    Shuffles below the written rows are read no more: the driver drops their files once
+    nothing refers to them, which a collection lets it find out. Without one they stay
+    on the disks for as long as the driver's heap has room.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    del df
+    spark._jvm.System.gc()
+    return out
 
 
 def forget(*frames: DataFrame) -> None:
-    """Remove the written rows of saved() frames that nothing reads any more, and let go of shuffles that are no longer needed."""
+    """Remove the written rows of saved() frames that nothing reads any more."""
     for df in frames:
         spark = df.sparkSession
         file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
         if file.isDefined():
             path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    if frames:
-        # The driver drops a shuffle's files once nothing refers to it.
-        frames[0].sparkSession._jvm.System.gc()
 
 
 def settled(df: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ pair's signatures are compared a batch of positions at a time, and the pair is d
 as soon as the posterior probability (uniform prior) that its similarity reaches the
 threshold is below the chosen miss probability. What survives is verified exactly on
 the full shingle sets of the whole texts, and verified links are closed to components.
+Members of buckets that the pivots don't settle get further positions, so that the same
+bounds are drawn closer there: in a group that shares a long passage most pairs are just
+short of the threshold, and few may go on to the texts.
 
 No bucket is ever expanded into all its pairs. Every bucket first compares its members
 with one pivot, the member that shares the most buckets with others (the original of a
@@ -35,6 +38,7 @@ from ._run import components, forget, saved
 SIGNED = "doc_id long, n_shingles long, key1 long, key2 long, signature binary"
 #: Members of a bucket or pivot that one task takes; (id, part) rows sent to every task instead of shuffling texts to them.
 PART_ROWS, SENT_ROWS = 4096, 500_000
+FURTHER_BATCH = 64
 
 
 def least_matches(compared: int, threshold: float, miss: float) -> int:
@@ -54,11 +58,14 @@ def least_matches(compared: int, threshold: float, miss: float) -> int:
 class Settings:
     """Parameters of one run; `numerator / denominator` is the similarity threshold."""
 
-    def __init__(self, words: int = 5, numerator: int = 80, denominator: int = 100, bands: int = 25, rows: int = 5, batch: int = 25, miss: float = 1e-7, seed: int = 7, block: int = 512):
+    def __init__(self, words: int = 5, numerator: int = 80, denominator: int = 100, bands: int = 25, rows: int = 5, batch: int = 25, miss: float = 1e-7, seed: int = 7, block: int = 512, further: int = 512):
         self.words, self.numerator, self.denominator = words, numerator, denominator
         self.bands, self.rows, self.seed, self.block = bands, rows, seed, block
         threshold = numerator / denominator
         self.steps = [(n, least_matches(n, threshold, miss)) for n in range(batch, bands * rows + 1, batch)]
+        # Further positions, for members of open buckets only: a byte each, in batches after the signature's.
+        self.further = further
+        self.further_steps = [(n, least_matches(bands * rows + n, threshold, miss)) for n in range(FURTHER_BATCH, further + 1, FURTHER_BATCH)]
 
     def survives(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
         """Which of the signature pairs pass every batch; set sizes too far apart can't reach the threshold."""
@@ -70,6 +77,15 @@ class Settings:
             alive, matches, done = alive[keep], matches[keep], upto
         return alive
 
+    def survives_further(self, matches: np.ndarray, a: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Which of the pairs a[p], a[q] of further positions pass every batch, with `matches` equal positions of their signatures before."""
+        alive, matches, done = np.arange(len(p)), matches.astype(np.int64), 0
+        for upto, least in self.further_steps:
+            matches = matches + (a[p[alive], done:upto] == a[q[alive], done:upto]).sum(axis=1)
+            keep = matches >= least
+            alive, matches, done = alive[keep], matches[keep], upto
+        return alive
+
 
 def sign(docs: DataFrame, s: Settings) -> DataFrame:
     """Set size, set keys and 16-bit MinHash signature of each (doc_id, text)."""
@@ -86,15 +102,37 @@ def sign(docs: DataFrame, s: Settings) -> DataFrame:
     return docs.mapInArrow(run, SIGNED)
 
 
+def sign_further(docs: DataFrame, ids: DataFrame, s: Settings) -> DataFrame:
+    """(cls, rep, further): the further positions of the texts of the ids, named as classes are.
+
+    Up to SENT_ROWS ids go to the texts and those alone are signed; beyond, all texts are
+    signed, since positions are narrower to move than texts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family = T.MinHash(s.further, s.seed + 1)
+        for batch in batches:
+            for part in T.slices(batch, "text"):
+                sets, at = T.shingle_sets(part.column(1), s.words)
+                key1, _ = T.set_keys(sets, at)
+                short = (T.mix(family.signatures(sets, at).astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array(key1), part.column(0), _binary(short)], ["cls", "rep", "further"])
+
+    docs = docs.select("doc_id", "text")
+    if ids.count() <= SENT_ROWS:
+        docs = docs.join(F.broadcast(ids.withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi")
+    return docs.mapInArrow(run, "cls long, rep long, further binary").dropDuplicates(["cls", "rep"])
+
+
 def _binary(rows: np.ndarray) -> pa.Array:
     width, n = rows.shape[1] * rows.itemsize, len(rows)
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def _signatures(column: pa.Array, width: int) -> np.ndarray:
+def _signatures(column: pa.Array, width: int, kind: type = np.uint16) -> np.ndarray:
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, dtype=np.int32)[column.offset]
-    return np.frombuffer(data, dtype=np.uint16, count=len(column) * width, offset=int(at)).reshape(len(column), width)
+    return np.frombuffer(data, dtype=kind, count=len(column) * width, offset=int(at)).reshape(len(column), width)
 
 
 def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -148,9 +186,9 @@ def pivot_candidates(rows: DataFrame, pivots: DataFrame, classes: DataFrame, s:
 
 
 def block_seats(rows: DataFrame, s: Settings) -> DataFrame:
-    """The seats of open buckets' members: (bucket, down, across, left, right, cls, rep, n, pivot_cls, other, signature).
+    """The seats of open buckets' members: (bucket, down, across, left, right, cls, rep, n, pivot_cls, other, signature, further).
 
-    rows(bucket, cls, rep, label, n, pivot_cls, pivot_label, members, outside, signature).
+    rows(bucket, cls, rep, label, n, pivot_cls, pivot_label, members, outside, signature, further).
     Members of the pivot's component need no comparison with one another, so only the
     `outside` others are compared with all: blocks of the others against blocks of all,
     each dealt by the member's hash. While the others fill one block, a member travels
@@ -166,7 +204,7 @@ def block_seats(rows: DataFrame, s: Settings) -> DataFrame:
     right = F.transform(F.sequence(F.lit(0), F.col("tall") - 1), lambda d: seat(d, F.col("across"), F.col("other") & (d == F.col("down")), F.lit(True)))
     left = F.filter(F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda a: seat(F.col("down"), a, F.lit(True), F.lit(False))), lambda x: F.col("other") & (x.across != F.col("across")))
     dealt = rows.withColumn("seat", F.explode(F.concat(right, left)))
-    return dealt.select("bucket", "seat.down", "seat.across", "seat.left", "seat.right", "cls", "rep", "n", "pivot_cls", "other", "signature")
+    return dealt.select("bucket", "seat.down", "seat.across", "seat.left", "seat.right", "cls", "rep", "n", "pivot_cls", "other", "signature", "further")
 
 
 MARK = ("bucket", "down", "across", "mark", "mark_order")
@@ -186,12 +224,12 @@ def block_candidates(seats: DataFrame, labels: DataFrame, marks: DataFrame | Non
         seats = seats.join(marks.select(*MARK), ["bucket", "down", "across"])
     else:
         seats = seats.withColumn("mark", F.lit(None).cast("long")).withColumn("mark_order", F.lit(None).cast("long"))
-    names = ["bucket", "down", "across", "left", "right", "cls", "rep", "label", "n", "pivot_cls", "other", "signature", "mark", "mark_order"]
+    names = ["bucket", "down", "across", "left", "right", "cls", "rep", "label", "n", "pivot_cls", "other", "signature", "further", "mark", "mark_order"]
     dealt = seats.select(*names).repartition("bucket", "down", "across").sortWithinPartitions("bucket", "down", "across")
     factor = 16 * 4**round_
 
     def compare(group: pa.RecordBatch) -> pa.RecordBatch | None:
-        sig = _signatures(group.column(11), s.bands * s.rows)
+        sig, further = _signatures(group.column(11), s.bands * s.rows), _signatures(group.column(12), s.further, np.uint8)
         cls, label, n, pivot, other, left, right, rep = (_numbers(group, x) for x in ("cls", "label", "n", "pivot_cls", "other", "left", "right", "rep"))
         here = int((T.band_hashes(sig[:1], s.rows)[0] == _numbers(group, "bucket")[0]).argmax())
         found = [np.zeros((4, 0), dtype=np.int64)]
@@ -207,12 +245,15 @@ def block_candidates(seats: DataFrame, labels: DataFrame, marks: DataFrame | Non
                 at = s.survives(sig[p], sig[q], n[p], n[q])
                 same = sig[p[at]] == sig[q[at]]
                 first = same.reshape(len(at), s.bands, s.rows).all(axis=2).argmax(axis=1) == here
+                at, same = at[first], same[first]
+                on = s.survives_further(same.sum(axis=1), further, p[at], q[at])
+                at, same = at[on], same[on]
                 place = T.mix(cls[p[at]].astype(np.uint64) ^ T.mix(cls[q[at]].astype(np.uint64))).view(np.int64)
-                found.append(np.stack([p[at], q[at], -same.sum(axis=1), place])[:, first])
+                found.append(np.stack([p[at], q[at], -same.sum(axis=1), place]))
         pairs = np.concatenate(found, axis=1)
         pairs = pairs[:, np.lexsort((pairs[3], pairs[2]))]
-        if group.column(12)[0].is_valid:
-            mark, place = group.column(12)[0].as_py(), group.column(13)[0].as_py()
+        if group.column(13)[0].is_valid:
+            mark, place = group.column(13)[0].as_py(), group.column(14)[0].as_py()
             pairs = pairs[:, (pairs[2] > mark) | ((pairs[2] == mark) & (pairs[3] > place))]
         if not pairs.shape[1]:
             return None
@@ -365,7 +406,9 @@ def linked(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFram
     left = named.join(saved(open_.join(heads, "bucket")), "bucket")
     counts = left.groupBy("bucket").agg(F.count("*").alias("members"), F.count_if(F.col("label") != F.col("pivot_label")).alias("outside"))
     counts = saved(counts)
-    seats = block_seats(left.join(counts, "bucket").join(classes, "cls"), s)
+    left = saved(left.join(counts, "bucket").join(classes, "cls"))
+    longer = saved(sign_further(docs, left.select("rep").distinct(), s))
+    seats = block_seats(left.join(longer, ["cls", "rep"]), s)
     marks, round_, before = None, 0, None
     while True:
         found = saved(block_candidates(seats, labels, marks, round_, s))
@@ -381,7 +424,7 @@ def linked(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFram
         if before is not None:
             forget(before)
         before = found
-    forget(rows, pivots, classes, of_class, counts, found)
+    forget(rows, pivots, classes, of_class, counts, left, longer, found)
     return signed, reps, links, labels
 
 

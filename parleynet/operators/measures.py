@@ -7,15 +7,23 @@ and a group's size is bounded by the vocabulary.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import kernels
 from .network import KEYS
 
+#: Resamples of a key that one call works on.
+BLOCK = 50
+
+#: Rows whose draws are made at once, and arcs whose sums a task holds.
+ROWS, HELD = 2048, 4096
+
 
 def _schema(view: DataFrame, keys: tuple[str, ...], rest: str) -> str:
     return ", ".join(f"{k} {view.schema[k].dataType.simpleString()}" for k in keys) + ", " + rest
@@ -74,33 +82,76 @@ def path_share(order: dict[str, int], broker: str, a: str, b: str) -> Callable[[
     return share
 
 
+def multiplicities(documents: np.ndarray, n: int) -> np.ndarray:
+    """Row i, column r: how often resample r draws the document of hash documents[i], by a Poisson law of mean 1."""
+    with np.errstate(over="ignore"):
+        x = documents.astype(np.int64).view(np.uint64)[:, None] + (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    u = (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+    cuts = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(18)])
+    return np.searchsorted(cuts, u, side="right")
+
+
+def _drawn(width: int, n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows (arc of `width` columns, w, document) to (arc, sum of w over each resample), added up over a task's rows; sums of HELD arcs at most are in memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        names, types = None, None
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array(c, type=t) for c, t in zip(zip(*sums), types)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(list(sums.values()), type=pa.list_(pa.float64()))], [*names, "drawn"])
+
+        for batch in batches:
+            names, types = batch.schema.names[:width], batch.schema.types[:width]
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                at: dict[tuple, int] = {}
+                codes = np.array([at.setdefault(a, len(at)) for a in zip(*(part.column(i).to_pylist() for i in range(width)))])
+                order = np.argsort(codes, kind="stable")
+                weighed = multiplicities(part.column(width + 1).to_numpy(zero_copy_only=False), n) * part.column(width).to_numpy(zero_copy_only=False).astype(np.float64)[:, None]
+                added = np.add.reduceat(weighed[order], np.searchsorted(codes[order], np.arange(len(at))), axis=0)
+                for a, i in at.items():
+                    sums[a] = sums[a] + added[i] if a in sums else added[i]
+                if len(sums) >= HELD:
+                    yield out()
+                    sums = {}
+        if sums:
+            yield out()
+
+    return run
+
+
 def bootstrap(edges: DataFrame, statistic: Callable[[pd.DataFrame], float], n: int = 500, seed: int = 0, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(keys, mean, low, high): the statistic over n resamples of documents with replacement, with its 2.5 and 97.5 percentiles.
 
     edges(keys, doc_id, source, target, weight). A document's multiplicity in a resample
     is drawn from a Poisson law of mean 1 by a hash of document, resample and seed, the
-    usual distributed form of drawing with replacement: documents are never gathered, each
-    is expanded on its own, and what meets in one place is a resample's arcs. The statistic
-    gets a frame (source, target, strength, distance); a resample without an arc of
-    positive strength counts with the statistic of the empty frame.
+    usual distributed form of drawing with replacement: documents are never gathered, and
+    a task adds up its documents' draws, so that it sends on a row for each arc and resample
+    it met, however many documents it read. BLOCK resamples of a key, arcs each, are one
+    group of the statistic. It gets a frame (source, target, strength, distance); a resample
+    without an arc of positive strength counts with the statistic of the empty frame.
     """
     per_doc = edges.groupBy(*keys, "doc_id", "source", "target").agg(F.sum(F.abs("weight")).alias("w")).where("w > 0")
     empty = float(statistic(pd.DataFrame({"source": pd.Series(dtype=str), "target": pd.Series(dtype=str), "strength": pd.Series(dtype=float), "distance": pd.Series(dtype=float)})))
-    u = (F.pmod(F.xxhash64(*keys, "doc_id", "resample", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    cuts, mass, total = [], np.exp(-1.0), 0.0
-    for k in range(12):
-        total += mass
-        cuts.append(float(total))
-        mass /= k + 1
-    times = sum((F.when(u > c, 1).otherwise(0) for c in cuts[1:]), F.when(u > cuts[0], 1).otherwise(0))
-    drawn = per_doc.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("times", times).where("times > 0")
-    arcs = drawn.groupBy(*keys, "resample", "source", "target").agg(F.sum(F.col("w") * F.col("times")).alias("strength"))
-
-    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(distance=1.0 / frame["strength"]).sort_values(["source", "target"])
-        return pd.DataFrame([(*key, float(statistic(frame[["source", "target", "strength", "distance"]])))], columns=[*keys, "resample", "value"])
-
-    values = arcs.where("strength > 0").groupBy(*keys, "resample").applyInPandas(one, _schema(edges, keys, "resample int, value double"))
+    arc = [*keys, "source", "target"]
+    rows = per_doc.select(*arc, "w", F.xxhash64(*keys, "doc_id", F.lit(seed)).alias("document"))
+    parts = rows.mapInArrow(_drawn(len(arc), n), ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in arc) + ", drawn array<double>")
+    sums = parts.select(*arc, F.posexplode("drawn").alias("resample", "strength")).where("strength > 0")
+    arcs = sums.groupBy(*arc, "resample").agg(F.sum("strength").alias("strength"))
+    width = len(keys)
+
+    def block(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.assign(distance=1.0 / frame["strength"]).sort_values(["resample", "source", "target"])
+        rows = [(*key[:width], int(r), float(statistic(f[["source", "target", "strength", "distance"]]))) for r, f in frame.groupby("resample", sort=False)]
+        return pd.DataFrame(rows, columns=[*keys, "resample", "value"])
+
+    blocks = arcs.withColumn("block", F.floor(F.col("resample") / BLOCK))
+    values = blocks.groupBy(*keys, "block").applyInPandas(block, _schema(edges, keys, "resample int, value double"))
     grid = edges.select(*keys).distinct().withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     met = [grid[k].eqNullSafe(values[k]) for k in (*keys, "resample")]
     values = grid.join(values, met, "left").select(*(grid[k] for k in keys), F.coalesce(values["value"], F.lit(empty)).alias("value"))

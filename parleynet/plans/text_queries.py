@@ -84,7 +84,7 @@ def page_headlines(spark, d):
 
 @query()
 def page_articles(spark, d):
-    return P.scraped(X.table(spark, d, "pages"), "site").drop("body")
+    return P.scraped(X.table(spark, d, "pages"), "site")
 
 
 CANDIDATES = """

@@ -2,6 +2,9 @@
 
 import json
 
+import numpy as np
+import pyarrow as pa
+
 from parleynet.operators import measures as M, timeline as T
 from parleynet.plans import fixtures as X, slice_queries as Q
 
@@ -49,3 +52,26 @@ def test_path_share_of_a_bridge(spark):
     e = spark.createDataFrame(rows, "outlet string, phase string, doc_id string, source string, target string, weight double")
     r = M.bootstrap(e, M.path_share({"A": 0, "K": 1, "B": 2}, "K", "A", "B"), n=20).first()
     assert (r["mean"], r.low, r.high) == (1.0, 1.0, 1.0)
+
+
+def test_multiplicities_follow_a_poisson_law():
+    times = M.multiplicities(np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 2000), 500)
+    shares = np.bincount(times.ravel(), minlength=4) / times.size
+    assert np.abs(shares[:4] - [np.exp(-1.0) / k for k in (1, 1, 2, 6)]).max() < 0.002
+    assert abs(np.corrcoef(times[:, 0], times[:, 1])[0, 1]) < 0.1 and abs(np.corrcoef(times[0], times[1])[0, 1]) < 0.15
+
+
+def test_sums_of_a_task_equal_those_of_single_rows(monkeypatch):
+    monkeypatch.setattr(M, "ROWS", 7)
+    monkeypatch.setattr(M, "HELD", 3)
+    rows = [(f"o{i % 2}" if i % 5 else None, "A", "BC"[i % 3 == 0], float(i % 4 + 1), i * 7919) for i in range(100)]
+    names = ["outlet", "source", "target", "w", "document"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[k : k + 30]], schema=pa.schema(list(zip(names, (pa.string(), pa.string(), pa.string(), pa.float64(), pa.int64()))))) for k in range(0, 100, 30)]
+    got, want = {}, {}
+    for batch in M._drawn(3, 20)(iter(batches)):
+        for r in batch.to_pylist():
+            at = (r["outlet"], r["source"], r["target"])
+            got[at] = got.get(at, 0) + np.array(r["drawn"])
+    for *at, w, document in rows:
+        want[tuple(at)] = want.get(tuple(at), 0) + w * M.multiplicities(np.array([document]), 20)[0]
+    assert got.keys() == want.keys() and all((got[k] == want[k]).all() for k in want)

@@ -7,6 +7,7 @@ from .bpe import op4_bpe
 from .fingerprints import op6_fingerprints
 from .html_extract import op5_html_extract
 from .language_id import op10_language_id
+from .neighbours import op12_neighbours
 from .token_counts import op8_token_counts
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_language_id": op10_language_id,
+    "op12_neighbours": op12_neighbours,
 }
 
 #: SQL for DuckDB where SQL can express the query.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, license_scan, mixture, near_duplicates, quality_rules
+from . import chat_format, itemsets, license_scan, mixture, near_duplicates, quality_rules
 from .bpe import op4_bpe
 from .fingerprints import op6_fingerprints
 from .html_extract import op5_html_extract
@@ -22,6 +22,7 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_language_id": op10_language_id,
     "op12_neighbours": op12_neighbours,
+    "op13_itemsets": itemsets.op13_itemsets,
 }
 
 #: SQL for DuckDB where SQL can express the query.
@@ -31,4 +32,5 @@ ORACLES: dict[str, str] = {
     "op3_near_duplicates": near_duplicates.ORACLE,
     "op7_license_scan": license_scan.ORACLE,
     "op9_quality_rules": quality_rules.oracle(),
+    "op13_itemsets": itemsets.ORACLE,
 }

@@ -1,16 +1,17 @@
 """Byte-level text kernels shared by the text operators.
 
 Every kernel takes the flat UTF-8 buffer of an Arrow string column and works on
-all documents of a batch at once: words, word hashes and shingles come from numpy
-passes over bytes, never from a Python loop over words. A word is a run of bytes
+all documents of a batch at once: words and shingles come from numpy passes over bytes,
+never from a Python loop over words. Equal words are found by their bytes, and a word's
+hash is a keyed digest of its bytes, taken once for each distinct word of a slice. A word is a run of bytes
 other than space and ``\\t \\n \\v \\f \\r`` (all ASCII, so no multi-byte character is
-ever cut). Work is done on slices of at most ``SLICE_BYTES`` of text, and the
-hashing inside a slice in blocks, so that one very long document costs a few
-bytes of memory per byte of text and no more.
+ever cut). Work is done on slices of at most ``SLICE_BYTES`` of text, so that one very long
+document costs a few bytes of memory per byte of text and no more.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +19,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
-BLOCK_BYTES = 1 << 19
 
 U64 = np.uint64
 _rng = np.random.default_rng(20240229)
-BYTE_CODES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-BASE = 0x9E3779B97F4A7C15
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
+HASH_KEY = _rng.bytes(32)
 POSITION_CODES = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * U64(2) + U64(1)
 
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -84,49 +82,24 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return start, end, np.searchsorted(start, at)
 
 
-_powers: tuple[np.ndarray, np.ndarray] | None = None
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if _powers is None or len(_powers[0]) < n:
-        def run(base: int) -> np.ndarray:
-            out = np.full(n, base & ((1 << 64) - 1), dtype=np.uint64)
-            out[0] = 1
-            return np.multiply.accumulate(out)
-
-        _powers = run(BASE), run(BASE_INVERSE)
-    return _powers
+def numbered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(number of each range, distinct byte strings by number) of byte ranges (ascending, not overlapping); equal bytes, and only those, have equal numbers."""
+    length = end - start
+    edge = np.zeros(len(data) + 1, dtype=np.int8)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, end, -1)
+    inside = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+    offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+    ranges = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
+    coded = ranges.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
 
 def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges (ascending, not overlapping) by differences of prefix sums."""
-    out = np.empty(len(start), dtype=np.uint64)
-    i = 0
-    while i < len(start):
-        j = int(np.searchsorted(end, start[i] + BLOCK_BYTES, side="right"))
-        if j <= i:  # one range longer than a block: its blocks in turn
-            out[i] = _long_hash(data[start[i] : end[i]])
-            i += 1
-            continue
-        low, high = int(start[i]), int(end[j - 1])
-        power, inverse = _tables(max(BLOCK_BYTES + 1, high - low + 1))
-        sums = np.zeros(high - low + 1, dtype=np.uint64)
-        np.cumsum(BYTE_CODES[data[low:high]] * power[: high - low], out=sums[1:])
-        a, b = start[i:j] - low, end[i:j] - low
-        out[i:j] = (sums[b] - sums[a]) * inverse[a]
-        i = j
-    return mix(out ^ mix((end - start).astype(np.uint64)))
-
-
-def _long_hash(data: np.ndarray) -> np.uint64:
-    power, _ = _tables(BLOCK_BYTES + 1)
-    total, scale, step = 0, 1, pow(BASE, BLOCK_BYTES, 1 << 64)
-    for low in range(0, len(data), BLOCK_BYTES):
-        part = data[low : low + BLOCK_BYTES]
-        total += int((BYTE_CODES[part] * power[: len(part)]).sum(dtype=np.uint64)) * scale
-        scale = scale * step % (1 << 64)
-    return U64(total % (1 << 64))
+    """64-bit keyed hashes of the byte ranges (ascending, not overlapping), taken once for each distinct string."""
+    numbers, strings = numbered(data, start, end)
+    digests = b"".join(hashlib.blake2b(x, digest_size=8, key=HASH_KEY).digest() for x in strings.to_pylist())
+    return np.frombuffer(digests, dtype=np.uint64)[numbers]
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

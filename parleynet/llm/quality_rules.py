@@ -4,8 +4,9 @@ All documents of a batch are put into one sequence of word numbers, each documen
 closed by a symbol of its own and its words numbered apart from other documents', so
 that only repetition inside a document counts. Prefix doubling sorts the suffixes, and
 only suffixes that still tie take part in a round. The longest common prefix of
-neighbours in the suffix array is found from the longest power of two down, by hashes of
-ranges of words from one array of prefix sums, so that no round has to be kept. A suffix's longest repeat is
+neighbours in the suffix array is found from the longest power of two down, by polynomials
+modulo 2^61 - 1 of ranges of words from one array of prefix sums, so that no round has to be
+kept. A suffix's longest repeat is
 the larger of its two; the spans of all repeats of enough words are united, and limits
 hold for the fraction of words they cover and for the longest of them.
 """
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import _text as T
+from ._suffix import Sequence
 
 SYMBOLS = np.zeros(256, dtype=np.uint8)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = 1
@@ -43,73 +45,24 @@ class Limits:
 def longest_repeats(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     """For each word, the most words from it on that occur elsewhere in its document too (occurrences may overlap).
 
-    words: 64-bit hashes; first: each document's first word number, and the total.
+    words: numbers of words, equal for equal words; first: each document's first word number, and the total.
     """
     if not len(words):
         return np.zeros(0, dtype=np.int32)
-    n_docs = len(first) - 1
-    size = len(words) + n_docs
-    # Word numbers apart by document; position i of document d is at i + d, after d closing symbols.
-    docs = np.repeat(np.arange(n_docs, dtype=np.int32), np.diff(first))
-    own = T.mix(words ^ T.mix(docs.astype(np.uint64) + np.uint64(1)))
-    at = np.arange(len(words), dtype=np.int32) + docs
-    ends = (first[1:] + np.arange(n_docs)).astype(np.int32)
-    sums = np.zeros(size + 1, dtype=np.uint64)
-    sums[at + 1] = own
-    sums[ends + 1] = T.mix(np.arange(n_docs, dtype=np.uint64) ^ np.uint64(0xA4093822299F31D0))
-    del docs
-    order = np.argsort(own, kind="stable").astype(np.int32)
-    new = np.empty(len(words), dtype=bool)
-    new[0] = True
-    np.not_equal(own[order[1:]], own[order[:-1]], out=new[1:])
-    del own
-    lone = np.empty(len(words), dtype=bool)
-    lone[-1], lone[:-1] = new[-1], new[:-1] & new[1:]
-    rank = np.empty(size, dtype=np.int32)
-    rank[at[order]] = np.maximum.accumulate(np.where(new, np.arange(len(words), dtype=np.int32), np.int32(0)))
-    rank[ends] = len(words) + np.arange(n_docs, dtype=np.int32)
-    # Only words that occur again in their document can begin a repeat.
-    tied = at[order[~lone]]
-    again = np.zeros(size, dtype=bool)
-    again[tied] = True
-    del order, new, lone
-    step = 1
-    while len(tied):
-        pair = (rank[tied].astype(np.int64) << 32) | rank[tied + step]
-        by = np.argsort(pair, kind="stable")
-        tied, pair = tied[by], pair[by]
-        del by
-        group = np.concatenate([[True], (pair[1:] >> 32) != (pair[:-1] >> 32)])
-        new = np.concatenate([[True], pair[1:] != pair[:-1]])
-        index = np.arange(len(tied), dtype=np.int32)
-        offset = np.maximum.accumulate(np.where(new, index, np.int32(0))) - np.maximum.accumulate(np.where(group, index, np.int32(0)))
-        rank[tied] = (pair >> 32).astype(np.int32) + offset
-        del pair, index, offset, group
-        tied = tied[~(new & np.concatenate([new[1:], [True]]))]
-        step *= 2
-    suffixes = np.empty(size, dtype=np.int32)
-    suffixes[rank] = np.arange(size, dtype=np.int32)
+    texts = Sequence(words, first)
+    rank, again, step = texts.ranks()
+    suffixes = np.empty(texts.size, dtype=np.int32)
+    suffixes[rank] = np.arange(texts.size, dtype=np.int32)
     del rank
+    # Only words that occur again in their document can begin a repeat.
     near = np.flatnonzero(again[suffixes[:-1]] & again[suffixes[1:]]).astype(np.int32)
     a, b = suffixes[near], suffixes[near + 1]
     del near, suffixes, again
-    power, inverse = T._tables(size + 1)
-    sums[1:] *= power[:size]
-    np.cumsum(sums, out=sums)
-    common = np.zeros(len(a), dtype=np.int32)
-    span = step
-    while span:
-        for low in range(0, len(a), 1 << 18):
-            x, y = a[low : low + (1 << 18)] + common[low : low + (1 << 18)], b[low : low + (1 << 18)] + common[low : low + (1 << 18)]
-            fits = np.flatnonzero(np.maximum(x, y) + span <= size)
-            x, y = x[fits], y[fits]
-            same = (sums[x + span] - sums[x]) * inverse[x] == (sums[y + span] - sums[y]) * inverse[y]
-            common[low + fits[same]] += span
-        span //= 2
-    out = np.zeros(size, dtype=np.int32)
+    common = texts.common(a, b, step)
+    out = np.zeros(texts.size, dtype=np.int32)
     np.maximum.at(out, a, common)
     np.maximum.at(out, b, common)
-    return out[at]
+    return out[texts.at]
 
 
 def covered(lengths: np.ndarray, least: int) -> np.ndarray:
@@ -123,7 +76,7 @@ def measures(column: pa.Array, repeat_words: int) -> dict[str, np.ndarray]:
     """MEASURES of each text of an Arrow string column."""
     data, at = T.flat(column)
     start, end, first = T.words(data, at)
-    lengths = longest_repeats(T.range_hashes(data, start, end), first)
+    lengths = longest_repeats(T.numbered(data, start, end)[0], first)
 
     def per_doc(flags: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         out, full = np.zeros(len(cuts) - 1, dtype=np.int64), np.flatnonzero(np.diff(cuts))
@@ -137,8 +90,8 @@ def measures(column: pa.Array, repeat_words: int) -> dict[str, np.ndarray]:
     full = np.searchsorted(start, high) > np.searchsorted(start, low)
     low, high = low[full], high[full]
     of = np.searchsorted(at, low, side="right") - 1
-    lines = T.mix(T.range_hashes(data, low, high) ^ T.mix(of.astype(np.uint64) + np.uint64(1)))
-    _, kept = np.unique(lines, return_index=True)
+    lines, strings = T.numbered(data, low, high)
+    _, kept = np.unique(of * (len(strings) + 1) + lines, return_index=True)
     n = len(at) - 1
     filled = np.flatnonzero(np.diff(first))
     longest = np.zeros(n, dtype=np.int64)

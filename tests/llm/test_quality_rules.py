@@ -57,3 +57,17 @@ def test_empty_and_repeated_rows(spark):
     schema = "doc_id long, text string"
     assert Q.quality(spark.createDataFrame([], schema)).count() == 0
     assert Q.quality(spark.createDataFrame([(1, CLEAN), (1, CLEAN), (None, CLEAN)], schema)).where("kept").count() == 3
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_sequences_that_collide_as_polynomials_modulo_powers_of_two_are_no_repeats(n):
+    from test_text_kernels import thue_morse
+
+    one, other = thue_morse(n), thue_morse(n, "b", "a")
+    glued = ["".join(one), "".join(other)]
+    text = "\n".join(glued)
+    assert Q.measures(pa.array([text]), 3)["n_dup_lines"].tolist() == [0]
+    assert Q.measures(pa.array([text]), 1)["longest_repeat"].tolist() == [0]
+    # Two unlike sequences that sums modulo 2^64 can't tell apart.
+    apart = " ".join(one) + " x " + " ".join(other)
+    assert 3 <= Q.measures(pa.array([apart]), 3)["longest_repeat"][0] < n

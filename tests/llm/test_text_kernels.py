@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from parleynet.llm import _text as T
@@ -31,8 +32,8 @@ def test_sets_have_the_size_and_overlap_of_real_sets(texts, size):
             assert len(both) == len(real[i] & real[j])
 
 
-def test_words_longer_than_a_block():
-    long = "x" * (T.BLOCK_BYTES * 2 + 5)
+def test_words_longer_than_a_slice():
+    long = "x" * (T.SLICE_BYTES + 5)
     sets, at = T.shingle_sets(pa.array([f"a {long} b", f"a {long} b", f"a {long}y b"]), 5)
     assert sets[0] == sets[1] != sets[2] and np.diff(at).tolist() == [1, 1, 1]
 
@@ -57,3 +58,29 @@ def test_signatures_estimate_similarity():
     texts = [" ".join(words[:1000]), " ".join(words[100:1100])]
     sig = T.MinHash(512, 3).signatures(*T.shingle_sets(pa.array(texts), 5))
     assert abs((sig[0] == sig[1]).mean() - 896 / 1096) < 0.07
+
+
+def thue_morse(n, a="a", b="b"):
+    out = [a]
+    while len(out) < n:
+        out += [b if x == a else a for x in out]
+    return out[:n]
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_collide_as_polynomials_modulo_powers_of_two_differ(n):
+    one, other = "".join(thue_morse(n)), "".join(thue_morse(n, "b", "a"))
+    sets, at = T.shingle_sets(pa.array([one, other, one]), 5)
+    assert sets[0] == sets[2] != sets[1]
+    data, at = T.flat(pa.array([f"{one}\n{other}\nx {one} {other} {one}"]))
+    start, end, _ = T.words(data, at)
+    assert len(set(T.range_hashes(data, start, end))) == 3 and T.numbered(data, start, end)[0].tolist() == [0, 1, 2, 0, 1, 0]
+
+
+def test_numbers_and_hashes_of_adjacent_and_empty_ranges():
+    data = np.frombuffer(b"ababx", dtype=np.uint8)
+    start, end = np.array([0, 2, 4, 5]), np.array([2, 4, 4, 5])
+    numbers, strings = T.numbered(data, start, end)
+    assert numbers.tolist() == [0, 0, 1, 1] and strings.to_pylist() == [b"ab", b""]
+    none = np.zeros(0, dtype=np.int64)
+    assert len(T.range_hashes(np.zeros(0, np.uint8), none, none)) == 0

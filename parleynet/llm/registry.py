@@ -8,6 +8,7 @@ from .fingerprints import op6_fingerprints
 from .html_extract import op5_html_extract
 from .language_id import op10_language_id
 from .neighbours import op12_neighbours
+from .periodic_runs import op11_periodic_runs
 from .token_counts import op8_token_counts
 
 QUERIES = {
@@ -21,6 +22,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_language_id": op10_language_id,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_neighbours": op12_neighbours,
     "op13_itemsets": itemsets.op13_itemsets,
 }

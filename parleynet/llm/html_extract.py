@@ -179,6 +179,7 @@ def text_token(slot: int, text: str) -> int:
 
 ELEMENT, TEXT, PAGE = 0, 1, 2
 UNMARKED, MARKED, OUT = 0, 1, 2
+KEPT, LINKED, FIXED, BACK = 0, 1, 2, 3
 
 
 def page_tokens(page: str, prior: Prior = PRIOR) -> dict[int, list]:
@@ -252,10 +253,14 @@ def class_checks(page: str, class_of: dict[int, int], size: list[int], prior: Pr
     return [(c, c in bad or at.get(c, 0) > 0, hash(tuple(cycle))) for c, cycle in cycles.items()], {t: hash(tuple(sorted(x))) for t, x in slots.items()}, around, loose
 
 
+#: How far marked articles are trusted: not, where classes confirm them, or whole, whatever classes say of their parts.
+DOUBTED, CONFIRMED, WHOLE = 0, 1, 2
+
+
 class Template:
-    """What a host's valid classes say of a page: the slots that are template, the element that holds the article (None: none does alone), and whether marked articles are it."""
+    """What a host's valid classes say of a page: the slots that are template, the element that holds the article (None: none does alone), and how far marked articles are it."""
 
-    def __init__(self, slots: frozenset[int] = frozenset(), container: int | None = None, marked: bool = True):
+    def __init__(self, slots: frozenset[int] = frozenset(), container: int | None = None, marked: int = CONFIRMED):
         self.slots, self.container, self.marked = slots, container, marked
 
 
@@ -264,10 +269,12 @@ def extract(page: str, template: Template | None = None, prior: Prior = PRIOR) -
 
     With a template, the article is what its container holds (of the whole page where it
     has none: the marked articles, if it confirms them) and headings, without its slots;
-    a slot inside a marked article that it confirms stays. Without one (a host of one
-    page) the prior alone decides: the marked articles, else all that isn't aside; so it
-    does on a page of which the template leaves nothing, as that page is itself what the
-    host's pages share, or of a layout of its own.
+    a slot inside a marked article that it confirms stays, and marked articles that are
+    most of what it would take away stay whole. Without one (a host of one page) the prior
+    alone decides: the marked articles, else all that isn't aside; so it does on a page of
+    which the template leaves nothing, as that page is itself what the host's pages share,
+    or of a layout of its own. Names of elements that would take away most of an unmarked
+    page's text aren't believed there.
     """
     container = template.container if template else None
     parts: list[tuple[str, Node | None]] = [(raw, node if kind == "text" else None) for kind, node, raw in events(page, prior, container) if kind != "tag"]
@@ -275,13 +282,19 @@ def extract(page: str, template: Template | None = None, prior: Prior = PRIOR) -
     marked = any(node is not None and node.article and raw.strip() for raw, node in shown)
 
     def kept(node: Node) -> bool:
-        mine = template.marked and node.article
-        if container is None and template.marked and marked:
+        mine = template.marked != DOUBTED and node.article
+        if marked and (template.marked == WHOLE or (container is None and template.marked == CONFIRMED)):
             return mine
         return (node.within or node.heading) and (mine or node.slot not in template.slots)
 
     if template is not None and (text := blocks((raw, node) for raw, node in shown if node is None or kept(node))):
         return text
+    if not marked and prior.names:
+        plain = [(raw, node) for kind, node, raw in events(page, Prior(prior.tags, frozenset(), prior.marks)) if kind != "tag" for node in [node if kind == "text" else None]]
+        plain = [(raw, node) for raw, node in plain if node is None or not node.out()]
+        size = lambda rows: sum(len(squeeze(raw)) for raw, node in rows if node is not None)
+        if size(shown) * 2 < size(plain):
+            shown = plain
     return blocks((raw, node) for raw, node in shown if node is None or node.article or not marked)
 
 
@@ -304,7 +317,12 @@ def host_of(url):
 
 
 def content_digest(html):
-    """Digest of what a page shows: its text without markup, scripts, styles and comments; links and session ids in attributes don't count."""
+    """Digest of what a page shows: its marked articles, or where it has none its text, without markup, scripts, styles and comments; links and session ids in attributes don't count.
+
+    Pages of one article are copies of one another, whatever greets a visitor beside it.
+    """
+    marked = F.regexp_extract(html, r"(?is)<(article|main)\b[^>]*>(.*)</\1\s*>", 2)
+    html = F.when(F.length(F.trim(marked)) > 0, marked).otherwise(html)
     bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<[^>]*>", " ")
     return F.md5(F.trim(F.regexp_replace(bare, r"\s+", " ")).cast("binary"))
 
@@ -478,7 +496,11 @@ def container_of(nodes: list[tuple[int, int, int, bool]], share_percent: int) ->
 
 
 def template_slots(tokens: DataFrame, classes: DataFrame, valid: DataFrame, trees: DataFrame, shared_percent: int, link_percent: int, again: int, share_percent: int) -> DataFrame:
-    """(host, marked, container, slots): slots of valid classes that are template, the element that holds the open text, and whether most of that is in marked articles."""
+    """(host, marked, container, slots): slots of valid classes that are template, the element that holds the open text, and how far marked articles are it.
+
+    CONFIRMED: most of the open text is in them. WHOLE: classes would take away most of
+    their text as the same on other pages, so what varies beside it is no article.
+    """
     texts = tokens.where(F.col("kind") == TEXT)
     slots = texts.groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.sum(F.col("chars") / F.col("times")).alias("once"), F.max("says").alias("says"))
     members = classes.join(valid.select("host", "token"), ["host", "token"])
@@ -488,9 +510,15 @@ def template_slots(tokens: DataFrame, classes: DataFrame, valid: DataFrame, tree
     fixed = F.coalesce(F.col("same") * 100 >= F.col("chars") * 90, F.lit(False))
     linked = F.col("linked") * 100 >= F.col("chars") * link_percent
     back = F.col("once") * again <= F.col("chars")
-    x = x.withColumn("gone", F.col("slot_pages").isNotNull() & (fixed | linked | back))
+    x = x.withColumn("why", F.when(F.col("slot_pages").isNull(), KEPT).when(linked, LINKED).when(fixed, FIXED).when(back, BACK).otherwise(KEPT))
+    size = lambda rule: F.sum(F.when(rule & (F.col("says") != OUT), F.col("chars")).otherwise(0))
+    plain, mine = F.col("why") == KEPT, F.col("says") == MARKED
+    sums = x.groupBy("host").agg(size(plain).alias("open"), size(F.col("why") == BACK).alias("returned"), size(plain & mine).alias("mine"), size(mine & F.col("why").isin(FIXED, BACK)).alias("lost"))
+    # Texts that come back are template beside more text that doesn't; else they are copies of articles.
+    x = x.join(sums, "host").withColumn("gone", F.when(F.col("why") == BACK, F.col("returned") <= F.col("open")).otherwise(F.col("why") != KEPT))
     open_ = ~F.col("gone") & (F.col("says") != OUT)
-    marked = F.sum(F.when(open_ & (F.col("says") == MARKED), F.col("chars")).otherwise(0)) * 2 >= F.sum(F.when(open_, F.col("chars")).otherwise(0))
+    confirmed = F.sum(F.when(open_ & mine, F.col("chars")).otherwise(0)) * 2 >= F.sum(F.when(open_, F.col("chars")).otherwise(0))
+    marked = F.when(F.max("lost") > F.max("mine"), WHOLE).when(confirmed, CONFIRMED).otherwise(DOUBTED)
     found = x.groupBy("host").agg(marked.alias("marked"), F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("slot")))).alias("slots"))
     held = x.select("host", F.col("slot").alias("token"), F.when(open_, F.col("chars")).otherwise(0).alias("held"))
     single = elements.select("host", F.col("slot").alias("token"), "single")
@@ -512,7 +540,7 @@ def templates(pages: DataFrame, prior: Prior = PRIOR, support_percent: int = 1,
     A class counts from two pages, support_percent of the host's pages and min_class tokens
     on. A slot of a valid class is template if nine tenths of its text are texts that
     shared_percent of the pages with the slot have, if link_percent of it are links, or if
-    its texts come back `again` times on average; the container holds share_percent of the
+    its texts come back `again` times on average and such texts aren't most of the host's; the container holds share_percent of the
     open text. Hosts of one page have no template.
     """
     tokens = saved(tokens_of(pages, prior))
@@ -545,7 +573,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             for host, page in zip(rows.column(3).to_pylist(), rows.column(2).to_pylist()):
                 if host not in read:
                     numbers = unpacked(payloads.get(host))
-                    read[host] = Template(frozenset(numbers[2:]), numbers[1] or None, bool(numbers[0])) if numbers else None
+                    read[host] = Template(frozenset(numbers[2:]), numbers[1] or None, numbers[0]) if numbers else None
                 texts.append(extract(page, read[host], prior))
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(texts, type=pa.string()), pa.array([len(x) for x in texts], type=pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import _text as T
 from ._suffix import Extensions, Sequence, next_smaller
@@ -146,19 +146,20 @@ def _joined(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndar
     return pa.LargeStringArray.from_buffers(len(first) - 1, pa.py_buffer(to[first].astype(np.int64)), pa.py_buffer(out)).cast(pa.string())
 
 
-def repeating(doc_id: Column, text: Column) -> Column:
-    """The query's texts: of one document in ten, by its id's checksum, the words from a place on repeat its words from there with a period."""
-    h = F.crc32(doc_id.cast("string"))
-    w = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]+"), F.lit(0))
-    n, g = F.size(w), F.floor(h / 10)
-    a = g % n
-    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
-    again = F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + (i - a) % p).cast("int"))))
-    return F.when((h % 10 == 0) & (n > 0), F.concat_ws(" ", again)).otherwise(text)
+def repeating(docs: DataFrame) -> DataFrame:
+    """The query's (doc_id, text): of one document in ten, by its id's checksum, the words from a place on repeat its words from there with a period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    # A column of its own: inside the lambda below an expression would be worked out for each word again.
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^ \t\n\x0B\f\r]+"), F.lit(0)))
+    docs = docs.select("doc_id", "text", words.alias("w"), F.floor(h / 10).alias("g")).withColumn("n", F.size("w"))
+    docs = docs.select("doc_id", "text", "w", "n", (F.col("g") % F.col("n")).alias("a"), (F.lit(3) + F.col("g") % 8).alias("parts"))
+    docs = docs.withColumn("p", F.lit(1) + F.floor((F.col("n") - F.col("a")) / F.col("parts")))
+    again = F.transform("w", lambda x, i: F.when(i < F.col("a"), x).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return docs.select("doc_id", F.when(F.col("n") > 0, F.concat_ws(" ", again)).otherwise(F.col("text")).alias("text"))
 
 
 def op11_periodic_runs(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", repeating(F.col("doc_id"), F.col("text")).alias("text"))
+    docs = repeating(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     found = periodic_runs(docs)
     lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
     text = F.when(F.size("runs") > 0, F.concat(F.concat_ws("\n", lines), F.lit("\n"))).otherwise("")

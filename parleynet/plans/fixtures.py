@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import Axis
@@ -50,3 +55,42 @@ def axis(spark: SparkSession, sf_dir: str) -> Axis:
 
 #: Frequent words of the documents stand in for actors where a query reads texts.
 WORDS = Vocabulary(("The", "Of", "And", "To", "In"), {"The": "a", "Of": "a", "And": "b", "To": "b", "In": "c"}, {"The": ["the", "der", "la"], "Of": ["of", "von"], "And": ["and", "und", "et"], "To": ["to", "zu"], "In": ["in"]}, {"a": "an article"})
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder inside the cluster's shared one; a local one only where none is named."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    base = base or tempfile.mkdtemp(prefix="streams-")
+    return f"{base}/{uuid.uuid4().hex}"
+
+
+class Recorded:
+    """Pages that Spark has written to a shared folder, one folder for each of `keys`, answering as a site would."""
+
+    def __init__(self, folder: str, *keys: str):
+        self.folder, self.keys = folder, keys
+
+    @classmethod
+    def record(cls, pages: DataFrame, folder: str, *keys: str) -> Recorded:
+        """pages(*keys, value): a text for each page, or its lines."""
+        pages.repartition(*keys).select(*keys, "value").write.partitionBy(*keys).text(folder)
+        return cls(folder, *keys)
+
+    def _at(self, *values) -> tuple[pafs.FileSystem, str]:
+        place = "/".join([self.folder, *(f"{k}={v}" for k, v in zip(self.keys, values))])
+        return pafs.FileSystem.from_uri(place if re.match("[a-z0-9]+:", place) else f"file://{place}")
+
+    def page(self, *values) -> str | None:
+        fs, path = self._at(*values)
+        if fs.get_file_info(path).type != pafs.FileType.Directory:
+            return None
+        files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(path)) if f.base_name.startswith("part-"))
+        return "".join(fs.open_input_stream(f).read().decode() for f in files)
+
+    def count(self, *values) -> int:
+        fs, path = self._at(*values)
+        if fs.get_file_info(path).type != pafs.FileType.Directory:
+            return 0
+        return sum(f.base_name.startswith(f"{self.keys[len(values)]}=") for f in fs.get_file_info(pafs.FileSelector(path)))

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as FT
-from ..operators import gates, recon, validation as V, vocabulary as VO
+from ..operators import gates, recon, tagger as TG, validation as V, vocabulary as VO
 from ..sources import articles as A, pages as P
 from ..streaming import incremental as S
 from . import fixtures as X
+from .fixtures import shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -200,11 +198,21 @@ def name_groups(spark, d):
     return recon.alias_groups(recon.discover(docs(spark, d), keep=None), {"The": ["the"], "Der": ["der", "die"]})
 
 
+#: The documents' words are invented, so common ones stand in for verbs; they have no inflection.
+STAND_IN_VERBS = TG.Tagger(forms={"is": "be", "was": "be", "are": "be", "be": "be", "it": "it", "that": "that", "die": "die", "und": "und", "les": "le", "le": "le"})
+
+
 @query()
 def mined_verbs(spark, d):
-    """With words in -ing as verbs, as the documents' words are invented."""
+    """Verb phrases, with their particles and prepositions, of sentences that name two actors, from the tagger's spans."""
     actors = {x: [x.lower()] for x in ("The", "An", "Er", "In", "Of")}
-    return recon.mine_verbs(docs(spark, d), actors, verbs=lambda s: F.regexp_extract_all(F.lower(s), F.lit("[a-z]+ing"), F.lit(0)))
+    return recon.mine_phrases(docs(spark, d), "doc_id", actors, tagger=STAND_IN_VERBS)
+
+
+@query()
+def labelled_names(spark, d):
+    """All names of the documents with their most frequent label."""
+    return TG.discovered(TG.tagged(docs(spark, d), STAND_IN_VERBS), keep=None)
 
 
 @query("WITH w AS (SELECT user_id % 5 AS bucket, ts FROM events), g AS (SELECT DISTINCT CAST(date_trunc('week', ts) AS DATE) AS m FROM w), s AS (SELECT CAST(m + CAST(7 * k AS INTEGER) AS DATE) AS st FROM g, (SELECT unnest(range(-3, 1)) AS k)) SELECT CAST(st AS TIMESTAMP) AS start, CAST(st + 28 AS TIMESTAMP) AS \"end\", bucket, count(*) AS n FROM (SELECT DISTINCT st FROM s) JOIN w ON ts >= CAST(st AS TIMESTAMP) AND ts < CAST(st + 28 AS TIMESTAMP) GROUP BY ALL")
@@ -225,12 +233,3 @@ def stream_first_seen(spark, d):
     folder = shared_folder(spark)
     S.run_available(stream, f"{folder}/result", f"{folder}/state")
     return spark.read.parquet(f"{folder}/result").groupBy("user_id").agg(F.count("*").alias("n"))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder inside the cluster's shared one; a local one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
-    base = base or tempfile.mkdtemp(prefix="streams-")
-    return f"{base}/{uuid.uuid4().hex}"

@@ -121,9 +121,9 @@ def days(spark: SparkSession, start: str, end: str) -> DataFrame:
     return spark.sql(f"SELECT explode(sequence(DATE '{start}', DATE '{end}', INTERVAL 1 DAY)) AS day")
 
 
-def request_parameters(window_start: str, window_end: str, query: str = "", section: str = "", tag: str = "", page: int = 1, page_size: int = 200) -> dict[str, str]:
+def request_parameters(window_start: str, window_end: str, query: str = "", section: str = "", tag: str = "", page: int = 1, page_size: int = 200, kind: str = "") -> dict[str, str]:
     """Parameters of one page of a REST source, the filters pushed to it; empty ones are left out."""
-    wanted = {"from-date": window_start, "to-date": window_end, "q": query, "section": section, "tag": tag, "page": str(page), "page-size": str(page_size), "order-by": "oldest", "show-fields": "headline,byline,bodyText"}
+    wanted = {"from-date": window_start, "to-date": window_end, "q": query, "section": section, "tag": tag, "type": kind, "page": str(page), "page-size": str(page_size), "order-by": "oldest", "show-fields": "headline,byline,bodyText"}
     return {k: v for k, v in wanted.items() if v}
 
 

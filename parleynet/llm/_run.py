@@ -18,19 +18,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and written to the shared checkpoint folder.
+#: Spark's setting that removes a query's shuffle files when the query has ended.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    Shuffles below the written rows are read no more: the driver drops their files once
-    nothing refers to them, which a collection lets it find out. Without one they stay
-    on the disks for as long as the driver's heap has room.
-    """
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows of df, computed once and written to the shared checkpoint folder; the shuffles below are removed when they are written, as nothing reads them any more."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    out = df.checkpoint(eager=True)
-    del df
-    spark._jvm.System.gc()
-    return out
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        # A query takes the setting when it is made.
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_SHUFFLES)
+        else:
+            spark.conf.set(CLEAN_SHUFFLES, before)
 
 
 def forget(*frames: DataFrame) -> None:

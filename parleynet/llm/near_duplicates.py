@@ -339,6 +339,12 @@ def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     return out
 
 
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """pairs(a, b) with the part of b that each is dealt into, so that no task gets all partners of a b; b's text goes to each of its parts."""
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts"))
+    return pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
+
+
 def _linked(u: np.ndarray, v: np.ndarray, s: Settings) -> bool:
     if min(len(u), len(v)) * s.denominator < max(len(u), len(v)) * s.numerator:
         return False
@@ -412,10 +418,10 @@ def linked(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFram
     marks, round_, before = None, 0, None
     while True:
         found = saved(block_candidates(seats, labels, marks, round_, s))
-        pairs = found.where("a IS NOT NULL").select("a", "b", F.lit(0).alias("part")).distinct()
+        pairs = found.where("a IS NOT NULL").select("a", "b").distinct()
         if not pairs.limit(1).count():
             break
-        more = verified(pairs, docs, s)
+        more = verified(_dealt(pairs), docs, s)
         if more.limit(1).count():
             links, labels = links.unionByName(more), _merged(labels, more)
         marks, round_ = found.where("a IS NULL"), round_ + 1
@@ -449,7 +455,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:
     """The rows of docs, all columns as they are, without those that near_duplicates() doesn't keep.
 
-    Of rows that repeat a kept doc_id one stays, any of them; rows with a null doc_id all stay.
+    Of rows that repeat a kept doc_id one stays, that of the least text by digest (null texts
+    first), then any of those with that text; rows with a null doc_id all stay.
     """
     gone = near_duplicates(docs, id_col, text_col, settings).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
     rest = docs.join(gone, docs[id_col].cast("long") == gone.gone_id, "left_anti")
@@ -458,6 +465,10 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return rest
     single = rest.join(repeated, rest[id_col] == repeated.repeated_id, "left_anti")
     several = rest.join(repeated, rest[id_col] == repeated.repeated_id, "left_semi")
+    # The same text whichever task runs again; its rows differ at most in other columns.
+    digest = F.coalesce(F.sha2(F.col(text_col).cast("string").cast("binary"), 256), F.lit(""))
+    least = several.groupBy(F.col(id_col).alias("least_id")).agg(F.min(digest).alias("least_digest"))
+    several = several.join(least, (several[id_col] == least.least_id) & (digest == least.least_digest), "left_semi")
     return single.unionByName(several.dropDuplicates([id_col]))
 
 

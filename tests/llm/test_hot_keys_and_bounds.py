@@ -121,3 +121,22 @@ def test_no_labelled_rows(spark):
     model = L.fit(docs)
     assert [(r.lang_pred, r.rejected) for r in L.identify(docs, model).collect()] == [("und", True)] * 2
     assert L.accepted(docs, model).count() == 0
+
+
+def test_pairs_of_one_partner_are_dealt_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(ND, "PART_ROWS", 10)
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, 201)] + [(i, i + 1000) for i in range(5)], "a long, b long")
+    got = ND._dealt(pairs).collect()
+    assert sorted((r.a, r.b) for r in got) == sorted(map(tuple, pairs.collect()))
+    held = Counter(r.part for r in got if r.b == 0)
+    assert len(held) == 20 and max(held.values()) <= 25 and {r.part for r in got if r.b} == {0}
+
+
+def test_of_repeated_ids_the_least_text_by_digest_stays(spark):
+    import hashlib
+
+    texts = [f"text number {i} of one id" for i in range(6)]
+    docs = spark.createDataFrame([(1, t) for t in texts] + [(2, None), (2, "x")], SCHEMA)
+    for n in (1, 3):
+        kept = {r.doc_id: r.text for r in ND.distinct_documents(docs.repartition(n)).collect()}
+        assert kept == {1: min(texts, key=lambda t: hashlib.sha256(t.encode()).hexdigest()), 2: None}

@@ -22,7 +22,9 @@ from . import _text as T
 from ._run import saved
 from .near_duplicates import Settings, _numbers, linked, near_duplicates
 
-N, SEED, WORDS = 128, 3, 5
+#: The fingerprint's positions are those of the bands: 25 bands of 5 rows.
+BANDED = Settings(seed=3)
+N, SEED, WORDS = BANDED.bands * BANDED.rows, BANDED.seed, BANDED.words
 ROWS_PER_BLOCK = 2048
 MAX_BLOCKS = 1 << 16
 LAST = (1 << 63) - 1
@@ -192,4 +194,4 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 
 def op6_fingerprints(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return with_next(docs, joined=joined_documents(docs))
+    return with_next(docs, joined=joined_documents(docs, settings=BANDED))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from parleynet.llm import fingerprints as FP
@@ -47,3 +48,12 @@ def test_alone_and_empty(spark):
     assert one.near_next == 1.0
     assert FP.with_next(spark.createDataFrame([], SCHEMA)).count() == 0
     assert {r.doc_id: r.fingerprint for r in FP.fingerprints(spark.createDataFrame([(5, "a b c d e f g h")], SCHEMA)).collect()} == {5: one.fingerprint}
+
+
+def test_bands_are_of_the_fingerprint(spark):
+    from parleynet.llm import near_duplicates as ND
+
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "one"), (3, None)], SCHEMA)
+    prints = {r.doc_id: r.fingerprint for r in FP.fingerprints(docs).collect()}
+    for r in ND.sign(docs, FP.BANDED).collect():
+        assert FP.written(np.frombuffer(r.signature, dtype=np.uint16)[None, :]) == [prints[r.doc_id]]

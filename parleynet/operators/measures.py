@@ -7,6 +7,7 @@ and a group's size is bounded by the vocabulary.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 
@@ -23,6 +24,8 @@ BLOCK = 50
 
 #: Rows whose draws are made at once, and arcs whose sums a task holds.
 ROWS, HELD = 2048, 4096
+#: Documents of a leaf of the tree down which draws are split, about.
+LEAF_DOCS = 1024
 
 
 def _schema(view: DataFrame, keys: tuple[str, ...], rest: str) -> str:
@@ -137,10 +140,121 @@ def bootstrap(edges: DataFrame, statistic: Callable[[pd.DataFrame], float], n: i
     without an arc of positive strength counts with the statistic of the empty frame.
     """
     per_doc = edges.groupBy(*keys, "doc_id", "source", "target").agg(F.sum(F.abs("weight")).alias("w")).where("w > 0")
-    empty = float(statistic(pd.DataFrame({"source": pd.Series(dtype=str), "target": pd.Series(dtype=str), "strength": pd.Series(dtype=float), "distance": pd.Series(dtype=float)})))
     arc = [*keys, "source", "target"]
     rows = per_doc.select(*arc, "w", F.xxhash64(*keys, "doc_id", F.lit(seed)).alias("document"))
     parts = rows.mapInArrow(_drawn(len(arc), n), ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in arc) + ", drawn array<double>")
+    return _interval(edges, parts, statistic, n, keys)
+
+
+def leaf_draws(key: tuple, sizes: list[int], leaf: int, n: int, seed: int) -> np.ndarray:
+    """How many documents each of n resamples draws from a leaf of the key's tree of documents.
+
+    sizes: documents of the nodes from the root down to the leaf. A node's draws are split
+    between its halves by a binomial law, from a generator of the node's own, so that all
+    leaves below it see the same split and each resample has as many draws as there are documents.
+    """
+    depth = len(sizes) - 1
+    draws = np.full(n, sizes[0], dtype=np.int64)
+    for level in range(depth):
+        node = leaf >> (depth - level)
+        bit = (leaf >> (depth - level - 1)) & 1
+        left = sizes[level + 1] if not bit else sizes[level] - sizes[level + 1]
+        taken = _generator(key, level, node, seed).binomial(draws, left / sizes[level])
+        draws = draws - taken if bit else taken
+    return draws
+
+
+def _generator(*of) -> np.random.Generator:
+    return np.random.default_rng(int.from_bytes(hashlib.blake2b(repr(of).encode(), digest_size=16).digest(), "little"))
+
+
+def leaf_multiplicities(key: tuple, sizes: list[int], leaf: int, n: int, seed: int) -> np.ndarray:
+    """Row i, column r: how often resample r draws the leaf's document i; a draw takes each of them with the same chance."""
+    draws, k = leaf_draws(key, sizes, leaf, n, seed), sizes[-1]
+    which = _generator(key, "leaf", leaf, seed).integers(0, k, int(draws.sum()))
+    return np.bincount(which * n + np.repeat(np.arange(n), draws), minlength=k * n).reshape(k, n)
+
+
+def _leaf_sums(width: int, n: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows (key of `width` columns, leaf, doc, sizes, source, target, w), a leaf's together, to (key, source, target, sums of w over each resample), added up over a task's leaves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        held: list[dict] = []
+        types: list[pa.DataType] = []
+
+        def add(rows: list[dict]) -> None:
+            key = tuple(list(rows[0].values())[:width])
+            number = {d: i for i, d in enumerate(sorted({r["doc"] for r in rows}))}
+            times = leaf_multiplicities(key, rows[0]["sizes"], rows[0]["leaf"], n, seed)
+            for r in rows:
+                if r["w"] is not None:
+                    arc = (*key, r["source"], r["target"])
+                    part = times[number[r["doc"]]] * r["w"]
+                    sums[arc] = sums[arc] + part if arc in sums else part
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array(c, type=t) for c, t in zip(zip(*sums), types)]
+            batch = pa.RecordBatch.from_arrays([*columns, pa.array([x.astype(np.float64) for x in sums.values()], type=pa.list_(pa.float64()))], [*names, "drawn"])
+            sums.clear()
+            return batch
+
+        names: list[str] = []
+        for batch in batches:
+            names = [*batch.schema.names[:width], "source", "target"]
+            types = [*batch.schema.types[:width], pa.string(), pa.string()]
+            for r in batch.to_pylist():
+                if held and list(r.values())[: width + 1] != list(held[0].values())[: width + 1]:
+                    add(held)
+                    held = []
+                    if len(sums) >= HELD:
+                        yield out()
+                held.append(r)
+        if held:
+            add(held)
+        if sums:
+            yield out()
+
+    return run
+
+
+def _joined(left: DataFrame, right: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """left's rows with right's other columns, by equal columns; nulls are equal."""
+    right = right.withColumnsRenamed({c: f"right_{c}" for c in columns})
+    met = [left[c].eqNullSafe(F.col(f"right_{c}")) for c in columns]
+    return left.join(right, met).drop(*(f"right_{c}" for c in columns))
+
+
+def exact_bootstrap(edges: DataFrame, statistic: Callable[[pd.DataFrame], float], n: int = 500, seed: int = 0, keys: tuple[str, ...] = KEYS, leaf_docs: int = LEAF_DOCS) -> DataFrame:
+    """bootstrap() whose resamples hold exactly as many documents as there are.
+
+    The documents of a key are the leaves' contents of a binary tree by their hash, some
+    leaf_docs a leaf; a resample's draws are split down the tree. A task works on whole
+    leaves and adds up their draws, and what it needs of the tree is the sizes of the nodes
+    above a leaf. Documents without a positive weight are drawn too and add nothing.
+    """
+    docs = edges.groupBy(*keys, F.col("doc_id").cast("string").alias("doc"), "source", "target").agg(F.sum(F.abs("weight")).alias("w"))
+    docs = docs.withColumn("w", F.when(F.col("w") > 0, F.col("w").cast("double"))).withColumn("hash", F.xxhash64(*keys, "doc", F.lit(seed)))
+    # One number: the most documents of any key.
+    most = docs.groupBy(*keys).agg(F.count_distinct("doc").alias("n")).agg(F.max("n")).first()[0] or 0
+    depth = max(0, math.ceil(math.log2(max(most, 1) / leaf_docs)))
+    docs = docs.withColumn("leaf", F.shiftrightunsigned("hash", 64 - depth) if depth else F.lit(0).cast("long"))
+    leaves = docs.groupBy(*keys, "leaf").agg(F.count_distinct("doc").alias("n"))
+    above = leaves.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumn("node", F.expr(f"shiftrightunsigned(leaf, {depth} - level)"))
+    nodes = above.groupBy(*keys, "level", "node").agg(F.sum("n").alias("size"))
+    paths = _joined(above, nodes, (*keys, "level", "node")).groupBy(*keys, "leaf").agg(F.sort_array(F.collect_list(F.struct("level", "size"))).alias("p"))
+    paths = paths.select(*keys, "leaf", F.transform("p", lambda x: x["size"]).alias("sizes"))
+    rows = _joined(docs, paths, (*keys, "leaf")).select(*keys, "leaf", "doc", "sizes", "source", "target", "w")
+    rows = rows.repartition(*keys, "leaf").sortWithinPartitions(*keys, "leaf", "doc")
+    arc = [*keys, "source", "target"]
+    parts = rows.mapInArrow(_leaf_sums(len(keys), n, seed), ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in arc) + ", drawn array<double>")
+    return _interval(edges, parts, statistic, n, keys)
+
+
+def _interval(edges: DataFrame, parts: DataFrame, statistic: Callable[[pd.DataFrame], float], n: int, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, mean, low, high) of the statistic from parts(keys, source, target, drawn), partial sums of each resample."""
+    empty = float(statistic(pd.DataFrame({"source": pd.Series(dtype=str), "target": pd.Series(dtype=str), "strength": pd.Series(dtype=float), "distance": pd.Series(dtype=float)})))
+    arc = [*keys, "source", "target"]
     sums = parts.select(*arc, F.posexplode("drawn").alias("resample", "strength")).where("strength > 0")
     arcs = sums.groupBy(*arc, "resample").agg(F.sum("strength").alias("strength"))
     width = len(keys)

@@ -189,10 +189,10 @@ def results_table(spark, d):
 
 @query()
 def bootstrap_interval(spark, d):
-    """The 95 % interval of the focus actor's share of paths on the dyad, over 500 resamples of documents."""
+    """The 95 % interval of the focus actor's share of paths on the dyad, over 500 resamples of exactly as many documents."""
     a = X.axis(spark, d)
     e = X.edges(spark, d).withColumn("weight", F.when(F.col("valence") == "coop", 1.0).otherwise(0.0))
-    return M.bootstrap(e, M.path_share(a.order, a.focus, *a.dyad))
+    return M.exact_bootstrap(e, M.path_share(a.order, a.focus, *a.dyad))
 
 
 @query()

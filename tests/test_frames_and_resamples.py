@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from parleynet.operators import measures as M, timeline as T
 from parleynet.plans import fixtures as X, slice_queries as Q
@@ -75,3 +76,36 @@ def test_sums_of_a_task_equal_those_of_single_rows(monkeypatch):
     for *at, w, document in rows:
         want[tuple(at)] = want.get(tuple(at), 0) + w * M.multiplicities(np.array([document]), 20)[0]
     assert got.keys() == want.keys() and all((got[k] == want[k]).all() for k in want)
+
+
+EDGES = "outlet string, phase string, doc_id string, source string, target string, weight double"
+
+
+@pytest.mark.parametrize("leaf_docs", [1024, 5])
+def test_each_resample_has_exactly_as_many_documents(spark, leaf_docs):
+    rows = [("o", p, f"{p}{i}", "A", "B", 1.0) for p, k in (("p", 90), ("q", 1), (None, 7)) for i in range(k)]
+    e = spark.createDataFrame(rows, EDGES)
+    got = {r.phase: (r["mean"], r.low, r.high) for r in M.exact_bootstrap(e, lambda f: float(f["strength"].sum()), n=40, leaf_docs=leaf_docs).collect()}
+    assert got == {"p": (90.0,) * 3, "q": (1.0,) * 3, None: (7.0,) * 3}
+
+
+def test_splits_of_a_tree_add_up():
+    sizes = {(): 1000, (0,): 600, (1,): 400, (0, 0): 350, (0, 1): 250, (1, 0): 399, (1, 1): 1}
+    leaves = [M.leaf_draws(("o",), [sizes[()], sizes[(a,)], sizes[(a, b)]], 2 * a + b, 300, 7) for a in (0, 1) for b in (0, 1)]
+    assert (sum(leaves) == 1000).all()
+    assert all(abs(x.mean() - sizes[(k >> 1, k & 1)]) < 4 for k, x in enumerate(leaves))
+    times = M.leaf_multiplicities(("o",), [50, 30], 0, 400, 7)
+    assert (times.sum(axis=0) == M.leaf_draws(("o",), [50, 30], 0, 400, 7)).all() and abs(times.mean() - 1) < 0.05
+
+
+@pytest.mark.parametrize("leaf_docs", [1024, 8])
+def test_interval_equals_that_of_plain_resampling(spark, leaf_docs):
+    r = np.random.default_rng(5)
+    docs = [(f"d{i}", [("A", "K", float(r.integers(0, 3))), ("K", "B", float(r.integers(0, 2)))]) for i in range(60)]
+    e = spark.createDataFrame([("o", "p", d, *a) for d, arcs in docs for a in arcs], EDGES)
+    weight = lambda f: float(f.loc[f["source"] == "A", "strength"].sum())
+    got = M.exact_bootstrap(e, weight, n=2000, leaf_docs=leaf_docs).first()
+    one = np.array([arcs[0][2] for _, arcs in docs])
+    plain = np.array([one[r.integers(0, 60, 60)].sum() for _ in range(20_000)])
+    want = (plain.mean(), *np.percentile(plain, [2.5, 97.5]))
+    assert np.abs(np.array([got["mean"], got.low, got.high]) - want).max() < 1.6

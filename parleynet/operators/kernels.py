@@ -14,8 +14,11 @@ def collapse(n: int, source: np.ndarray, target: np.ndarray, strength: np.ndarra
         np.add.at(w, (source, target), strength)
         w = w + w.T
     else:
-        for k in np.argsort(source, kind="stable"):
-            w[source[k], target[k]] = w[target[k], source[k]] = strength[k]
+        w[source, target] = strength
+        there = np.zeros((n, n), dtype=bool)
+        there[source, target] = True
+        w = np.tril(np.where(there, w, w.T))
+        w = w + np.tril(w, -1).T
     np.fill_diagonal(w, 0.0)
     return w
 
@@ -38,29 +41,72 @@ def largest_component(w: np.ndarray) -> np.ndarray:
     return np.array(best, dtype=np.int64)
 
 
-def current_flow(w: np.ndarray) -> dict[int, float]:
-    """Normalised current-flow betweenness on the largest component of symmetric weights; none for fewer than three nodes.
+def flow_scores(h: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """Current-flow betweenness of a connected graph's nodes from its weights and the pseudo-inverse of its Laplacian.
 
     For each edge, the current through it for a unit from s to t is F[s] - F[t] with
-    F = w * (row i - row j) of the Laplacian's pseudo-inverse; a node carries half of what
-    its edges carry over all pairs of which it is no end.
+    F = w * (row i - row j) of the pseudo-inverse; a node carries half of what its edges
+    carry over all pairs of which it is no end.
     """
-    nodes = largest_component(w)
-    n = len(nodes)
-    if n < 3:
-        return {}
-    h = w[np.ix_(nodes, nodes)]
-    inverse = np.linalg.pinv(np.diag(h.sum(axis=1)) - h)
+    n = len(h)
+    i, j = np.nonzero(np.triu(h))
+    flow = h[i, j][:, None] * (inverse[i] - inverse[j])
+    # Sum of |F[s] - F[t]| over pairs, and over the pairs that i or j end, from the sorted values.
+    total = np.sort(flow, axis=1) @ (2 * np.arange(n) - n + 1)
     score = np.zeros(n)
-    for i, j in zip(*np.nonzero(np.triu(h))):
-        flow = h[i, j] * (inverse[i] - inverse[j])
-        # Sum of |F[s] - F[t]| over pairs, and over the pairs that i or j end, from the sorted values.
-        order = np.argsort(flow, kind="stable")
-        total = float(((2 * np.arange(n) - n + 1) * flow[order]).sum())
-        for end in (i, j):
-            score[end] += (total - np.abs(flow - flow[end]).sum()) / 2
-    score *= 2.0 / ((n - 1) * (n - 2))
-    return {int(v): float(x) for v, x in zip(nodes, score)}
+    edge = np.arange(len(i))
+    for end in (i, j):
+        np.add.at(score, end, (total - np.abs(flow - flow[edge, end][:, None]).sum(axis=1)) / 2)
+    return score * (2.0 / ((n - 1) * (n - 2)))
+
+
+def current_flow(w: np.ndarray) -> dict[int, float]:
+    """Normalised current-flow betweenness on the largest component of symmetric weights; none for fewer than three nodes."""
+    return FlowSeries().step(w)
+
+
+class FlowSeries:
+    """current_flow() of graphs that follow one another, each a little different from the one before.
+
+    While the largest component keeps its nodes and few edges change, the Laplacian's
+    pseudo-inverse is brought up to date by one change of rank one for each changed edge:
+    stronger edges first, so that the graph stays connected in between. Else, and after
+    `renew` graphs, so that rounding doesn't add up, it is worked out anew.
+    """
+
+    def __init__(self, renew: int = 32):
+        self.renew, self.age = renew, 0
+        self.nodes = np.zeros(0, dtype=np.int64)
+        self.weights = self.inverse = np.zeros((0, 0))
+
+    def step(self, w: np.ndarray) -> dict[int, float]:
+        nodes = largest_component(w)
+        if len(nodes) < 3:
+            self.nodes = np.zeros(0, dtype=np.int64)
+            return {}
+        h = w[np.ix_(nodes, nodes)]
+        if not self._updated(nodes, h):
+            self.inverse, self.age = np.linalg.pinv(np.diag(h.sum(axis=1)) - h), 0
+        self.nodes, self.weights = nodes, h
+        return {int(v): float(x) for v, x in zip(nodes, flow_scores(h, self.inverse))}
+
+    def _updated(self, nodes: np.ndarray, h: np.ndarray) -> bool:
+        if not np.array_equal(nodes, self.nodes) or self.age >= self.renew:
+            return False
+        change = h - self.weights
+        i, j = np.nonzero(np.triu(change))
+        # An inversion costs about as much as so many changes.
+        if len(i) > len(nodes) // 4:
+            return False
+        for k in np.argsort(-change[i, j], kind="stable"):
+            a, b, by = i[k], j[k], change[i[k], j[k]]
+            column = self.inverse[:, a] - self.inverse[:, b]
+            below = 1.0 + by * (column[a] - column[b])
+            if below < 1e-9:
+                return False
+            self.inverse = self.inverse - np.outer(column, column) * (by / below)
+        self.age += 1
+        return True
 
 
 def shortest(n: int, arcs: list[list[tuple[int, float]]], start: int) -> tuple[np.ndarray, list[list[int]], list[int]]:

@@ -24,6 +24,8 @@ BLOCK = 50
 
 #: Rows whose draws are made at once, and arcs whose sums a task holds.
 ROWS, HELD = 2048, 4096
+#: Graphs of a series that one call works on.
+SERIES = 32
 #: Documents of a leaf of the tree down which draws are split, about.
 LEAF_DOCS = 1024
 
@@ -48,6 +50,29 @@ def flow_brokerage(view: DataFrame, order: dict[str, int], keys: tuple[str, ...]
     return rows.groupBy(*keys).applyInPandas(one, _schema(view, keys, "actor string, score double"))
 
 
+def flow_series(view: DataFrame, order: dict[str, int], keys: tuple[str, ...], step: str = "week", reciprocal: str = "later_node") -> DataFrame:
+    """(keys, actor, score): flow_brokerage() of graphs whose last key `step` counts them, SERIES steps of the other keys at a time.
+
+    A group holds that many graphs of actors squared arcs each at most; one graph's
+    pseudo-inverse is carried on to the next.
+    """
+    names, others = list(order), [k for k in keys if k != step]
+
+    def series(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(step, kind="stable")
+        at, source, target, strength = frame[step].to_numpy(), *_arrays(frame, order)
+        kernel, out = kernels.FlowSeries(), []
+        cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            w = kernels.collapse(len(names), source[low:high], target[low:high], strength[low:high], reciprocal)
+            out += [(*key[:-1], at[low], names[v], x) for v, x in kernel.step(w).items()]
+        return pd.DataFrame(out, columns=[*others, step, "actor", "score"])[[*keys, "actor", "score"]]
+
+    rows = view.where(F.col("source").isin(names) & F.col("target").isin(names)).select(*keys, "source", "target", "strength")
+    rows = rows.withColumn("block", F.floor(F.col(step) / SERIES))
+    return rows.groupBy(*others, "block").applyInPandas(series, _schema(view, keys, "actor string, score double"))
+
+
 def centralities(view: DataFrame, order: dict[str, int], keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(keys, actor, betweenness, pagerank) of every actor; a PageRank that doesn't settle is 0."""
     names = list(order)

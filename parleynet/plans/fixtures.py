@@ -66,6 +66,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows of df, worked out once and read back from the shared folder, for plans that read them several times."""
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 class Recorded:
     """Pages that Spark has written to a shared folder, one folder for each of `keys`, answering as a site would."""
 

@@ -214,18 +214,19 @@ def frame_views(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     substance = F.sum(F.when((F.col("polarity") == "positive") & (F.col("substance") > 0), F.col("substance")).otherwise(0.0)).alias("substance")
     weekly = T.weekly_arcs(with_substance(e), (substance,))
     modes = [T.frames(weekly, T.calendar(e), mode, fields=(*T.FIELDS, "substance")).withColumn("mode", F.lit(mode)) for mode in ("window", "cumulative")]
-    arcs = modes[0].unionByName(modes[1])
+    # Sizes, edges and scores all come from these rows.
+    arcs = X.written(modes[0].unionByName(modes[1]))
     kinds = F.explode(F.array(*(F.struct(F.lit(name).alias("view"), F.col(field).cast("double").alias("votes")) for name, field in (("flat", "coop"), ("graded", "substance"), ("brokering", "broker")))))
-    keys = (*FRAME, "view")
+    keys = ("outlet", "mode", "view", "week")
     view = N.project(arcs.select(*FRAME, *T.ARC, kinds.alias("k")).select(*FRAME, *T.ARC, "k.*"), "votes", keys)
-    scores = M.flow_brokerage(view, X.axis(spark, d).order, keys)
+    scores = M.flow_series(view, X.axis(spark, d).order, keys)
     return arcs, scores.groupBy(*FRAME, "actor").agg(*(F.max(F.when(F.col("view") == name, F.col("score"))).alias(name) for name in ("flat", "graded", "brokering")))
 
 
 @query()
 def flow_leaderboard(spark, d):
     """The best eight of each weekly frame by the flow that carries cooperation, over the trailing 28 days."""
-    scores = M.flow_brokerage(N.project(framed(spark, d), "coop", ("outlet", "week")), X.axis(spark, d).order, ("outlet", "week"))
+    scores = M.flow_series(N.project(framed(spark, d), "coop", ("outlet", "week")), X.axis(spark, d).order, ("outlet", "week"))
     return T.leaderboard(scores)
 
 
@@ -241,7 +242,7 @@ def flow_third_parties(spark, d):
 def frame_flow(spark, d):
     """Current flow of every frame's cooperation network: each outlet and week, over the trailing 28 days and over all weeks so far."""
     n = framed(spark, d, "window").withColumn("mode", F.lit("window")).unionByName(framed(spark, d, "cumulative").withColumn("mode", F.lit("cumulative")))
-    return M.flow_brokerage(N.project(n, "coop", FRAME), X.axis(spark, d).order, FRAME)
+    return M.flow_series(N.project(n, "coop", FRAME), X.axis(spark, d).order, FRAME)
 
 
 def _frame_nodes(arcs: DataFrame, scores: DataFrame) -> DataFrame:

@@ -119,3 +119,46 @@ def test_permutation_invariance(spark):
     a = N.signed_network(spark.createDataFrame(EDGES, SCHEMA)).orderBy("source", "target").collect()
     b = N.signed_network(spark.createDataFrame(EDGES[::-1], SCHEMA)).orderBy("source", "target").collect()
     assert a == b
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_flow_of_a_series_equals_that_of_each_graph(seed):
+    r = np.random.default_rng(seed)
+    n, series, updated = 12, K.FlowSeries(renew=40), 0
+    w = np.triu((r.random((n, n)) < 0.4) * r.integers(1, 9, (n, n)), 1).astype(float)
+    for _ in range(120):
+        for _ in range(r.integers(0, 4)):
+            i, j = sorted(r.choice(n, 2, replace=False))
+            w[i, j] = r.integers(0, 9) * (r.random() < 0.6)
+        if r.random() < 0.05:
+            w[: r.integers(1, n)] = 0
+        both = w + w.T
+        nodes = K.largest_component(both)
+        got = series.step(both)
+        updated += series.age > 0
+        if len(nodes) < 3:
+            assert got == {}
+            continue
+        h = both[np.ix_(nodes, nodes)]
+        # Throughput by its definition: half the currents at a node, over the pairs that it doesn't end.
+        inverse, want = np.linalg.pinv(np.diag(h.sum(axis=1)) - h), np.zeros(len(nodes))
+        for s in range(len(nodes)):
+            for t in range(s + 1, len(nodes)):
+                potential = inverse[:, s] - inverse[:, t]
+                through = np.abs(h * (potential[:, None] - potential[None, :])).sum(axis=1) / 2
+                through[[s, t]] = 0
+                want += through
+        want *= 2.0 / ((len(nodes) - 1) * (len(nodes) - 2))
+        assert list(got) == nodes.tolist() and np.abs(np.array(list(got.values())) - want).max() < 1e-9
+    assert updated > 20
+
+
+def test_series_of_frames_equal_single_frames(spark, monkeypatch):
+    monkeypatch.setattr(M, "SERIES", 3)
+    r = np.random.default_rng(2)
+    rows = [("o", k, "ABCDE"[i], "ABCDE"[j], float(r.integers(1, 5))) for k in range(8) for i in range(5) for j in range(5) if i != j and r.random() < 0.5]
+    view = spark.createDataFrame(rows, "outlet string, week int, source string, target string, strength double")
+    order = {x: i for i, x in enumerate("ABCDE")}
+    plain = {(x.outlet, x.week, x.actor): x.score for x in M.flow_brokerage(view, order, ("outlet", "week")).collect()}
+    got = {(x.outlet, x.week, x.actor): x.score for x in M.flow_series(view, order, ("outlet", "week")).collect()}
+    assert got.keys() == plain.keys() and all(abs(got[k] - plain[k]) < 1e-9 for k in got)

@@ -12,11 +12,13 @@ from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..config import Axis
+from ..operators.chain import Chain
 from ..sources import articles as A, rest, search, store
 from ..streaming import attempts as AT, incremental as S
 from . import fixtures as X
 from .fixtures import shared_folder
-from .text_queries import docs
+from .text_queries import CHUNKS, HITS, docs
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -165,3 +167,39 @@ def attempt_states(spark, d):
         S.run_available(AT.attempt_changes(S.read_stream(spark, f"{folder}/in", rows.schema).withColumnRenamed("tried", "at")), f"{folder}/out", f"{folder}/state")
     out = spark.read.schema(AT.CHANGES).parquet(f"{folder}/out")
     return out.select("key", "status", "fails", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("tried"))
+
+
+LISTED = "SELECT CAST(doc_id AS STRING) AS url, doc_id AS seq, '' AS timestamp, '2026-0' || CAST(doc_id % 6 + 1 AS STRING) || '-15' AS date, coalesce(lang, '') AS outlet, text AS body FROM {documents}"
+#: (source, target, polarity) by the length of a chunk; the fourth has no known source.
+SAID = (("The", "und", "positive"), ("And", "der", "negative"), ("von", "The", "positive"), ("nobody", "The", "positive"), ("in", "of", "neutral"))
+
+
+def answers(prompts: list[str]) -> list[str]:
+    """A provider that reads one interaction out of every chunk, by the chunk's length."""
+    out = []
+    for chunk in (p.split("\n", 1)[1] for p in prompts):
+        source, target, polarity = SAID[len(chunk) % len(SAID)]
+        out.append(json.dumps([{"source": source, "target": target, "polarity": polarity, "raw_verb": "Hosted", "modality": "asserted", "speaker": "actor", "quote_span": chunk[:30]}]))
+    return out
+
+
+def resumed(spark: SparkSession, d: str, folder: str) -> tuple[Chain, list[dict]]:
+    """The chain over documents in three runs: a part of them, all, and all again."""
+    words = X.WORDS
+    axis = Axis(dict(words.blocs), focal=("The", "Of", "And"), dyad=("The", "And"), focus="The", boundary="2026-04-08")
+    chain = Chain(spark, folder, axis, words, "Actors: {actors}\n{chunk}", answers)
+    listings = spark.sql(LISTED, documents=docs(spark, d))
+    return chain, [chain.run(part) for part in (listings.where("seq % 3 = 0"), listings, listings)]
+
+
+@query(f"""WITH {CHUNKS}, m AS (SELECT doc_id, lang, {HITS} FROM documents), o AS (SELECT doc_id, coalesce(lang, '') AS outlet, CASE WHEN doc_id % 6 < 3 THEN 'pre' ELSE 'post' END AS phase FROM m WHERE (h0::INT + h1::INT + h2::INT) >= 2 AND (h0 OR h2)),
+k AS (SELECT outlet, phase, length(chunk) % 5 AS k FROM (SELECT o.outlet, o.phase, unnest(cs) AS chunk FROM c JOIN o ON c.doc_id = o.doc_id)),
+e AS (SELECT lower(outlet) AS outlet, phase, CASE k WHEN 0 THEN 'The' WHEN 1 THEN 'And' WHEN 2 THEN 'Of' ELSE 'In' END AS source, CASE k WHEN 0 THEN 'And' WHEN 4 THEN 'Of' ELSE 'The' END AS target, k IN (0, 2) AS pos FROM k WHERE k <> 3),
+a AS (SELECT outlet, phase, source, target, count(*) AS n FROM e GROUP BY ALL)
+SELECT e.outlet, e.phase, count(*) FILTER (pos) AS pos_edges, (SELECT count(*) FROM a WHERE a.outlet = e.outlet AND a.phase = e.phase) AS n_arcs, CAST(nullif(count(*) FILTER (source = 'The' OR target = 'The'), 0) AS DOUBLE) / (2 * count(*)) AS share,
+  (SELECT count(*) FROM documents WHERE doc_id % 3 = 0) || ' ' || (SELECT count(*) FROM documents WHERE doc_id % 3 <> 0) || ' 0 0 false' AS runs FROM e GROUP BY ALL""")
+def chained_results(spark, d):
+    """From documents to results in a chain of stores, run on a part, on all and once more for nothing: the results, and what the runs did."""
+    chain, runs = resumed(spark, d, f"{shared_folder(spark)}/chain")
+    did = f"{runs[0]['collected']} {runs[1]['collected']} {runs[2]['collected']} {runs[2]['extracted']} {str(runs[2]['analysed']).lower()}"
+    return chain.results().select("outlet", "phase", "pos_edges", "n_arcs", "share", F.lit(did).alias("runs"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import config
 from ..functions.verbs import with_substance
 from ..operators import measures as M, network as N, timeline as T
+from ..sources import articles as A, payload as P
 from . import fixtures as X
 
 QUERIES: dict = {}
@@ -262,3 +263,37 @@ def export_frames(spark, d):
 def frame_extremes(spark, d):
     """(max_size, max_score): the largest size (both ends, 1 at least) and broker score (0.001 at least) of any node of any frame."""
     return T.extremes(_frame_nodes(*frame_views(spark, d)))
+
+
+PIECES = f"""WITH {E.removeprefix('WITH ')}, {WEEKLY}, {SPAN}, ch(id, start, fin) AS (VALUES {CHAPTER_VALUES}),
+meta AS (SELECT '{{"first":"' || min(event_date) || '","weeks":' || CAST((SELECT lw FROM last) + 1 AS VARCHAR) || ',"focus":"' || {FOCUS} || '"}}' AS piece FROM e),
+c AS (SELECT row_number() OVER (ORDER BY id) - 1 AS i, '{{"id":' || id || ',"start":"' || start || '","end":"' || fin || '","events":' || (SELECT count(*) FROM e WHERE ch.start <= CAST(event_date AS VARCHAR) AND CAST(event_date AS VARCHAR) < ch.fin) || '}}' AS piece FROM ch),
+v AS (SELECT row_number() OVER (ORDER BY event_date, source, target, doc_id, ref) - 1 AS i, '{{"date":"' || event_date || '","week":' || week || ',"outlet":"' || outlet || '","source":"' || source || '","target":"' || target || '","valence":"' || valence || '","quote":' || to_json(quote) || '}}' AS piece FROM e WHERE polarity <> 'neutral'),
+f AS (SELECT row_number() OVER (ORDER BY outlet, week) - 1 AS i, '"' || outlet || '|window|' || week || '":[' || string_agg('{{"s":"' || source || '","t":"' || target || '","coop":' || coop || ',"conf":' || conf || ',"neu":' || neu || '}}', ',' ORDER BY source, target) || ']' AS piece FROM fr WHERE coop + conf + neu > 0 GROUP BY outlet, week),
+n AS (SELECT (SELECT count(*) FROM c) AS c, (SELECT count(*) FROM v) AS v, (SELECT count(*) FROM f) AS f),
+p AS (SELECT 0 AS piece_no, 'window.VIZ_DATA = {{"meta":' AS value UNION ALL SELECT 1, piece FROM meta UNION ALL SELECT 2, ',' UNION ALL SELECT 3, '"chapters":[' UNION ALL SELECT 4 + i, CASE WHEN i > 0 THEN ',' ELSE '' END || piece FROM c
+  UNION ALL SELECT 4 + c, '],' FROM n UNION ALL SELECT 5 + c, '"events":[' FROM n UNION ALL SELECT 6 + n.c + i, CASE WHEN i > 0 THEN ',' ELSE '' END || piece FROM v, n
+  UNION ALL SELECT 6 + c + v, '],' FROM n UNION ALL SELECT 7 + c + v, '"frames":{{' FROM n UNION ALL SELECT 8 + n.c + n.v + i, CASE WHEN i > 0 THEN ',' ELSE '' END || piece FROM f, n UNION ALL SELECT 8 + c + v + f, '}}}};' FROM n)
+SELECT CAST(piece_no AS BIGINT) AS piece_no, value FROM p"""
+
+
+@query(PIECES)
+def display_pieces(spark, d):
+    """The payload of a display, read back from its files: chapters, events and weekly frames in one assignment of ordered pieces."""
+    e = X.written(events(spark, d))
+    json = lambda *fields: F.to_json(F.struct(*fields))
+    first = T.date_range(e).select(json(F.col("first").cast("string").alias("first"), "weeks", F.lit(X.axis(spark, d).focus).alias("focus")).alias("piece"))
+    told = T.in_chapters(e.withColumn("date", F.col("event_date").cast("string")), chapters(spark)).groupBy("id", "start", "end").agg(F.count("*").alias("events"))
+    told = chapters(spark).join(told.select("id", "events"), "id", "left").select("id", json("id", "start", "end", F.coalesce("events", F.lit(0)).alias("events")).alias("piece"))
+    keys = ("event_date", "source", "target", "doc_id", "ref")
+    seen = e.where("polarity <> 'neutral'").select(*keys, json(F.col("event_date").cast("string").alias("date"), "week", "outlet", "source", "target", "valence", "quote").alias("piece"))
+    edges = T.frame_edges(T.frames(T.weekly_arcs(e), T.calendar(e)))
+    arc = F.struct(F.col("source").alias("s"), F.col("target").alias("t"), "coop", "conf", "neu")
+    frames = edges.groupBy("outlet", "week").agg(F.to_json(F.sort_array(F.collect_list(arc))).alias("arcs"))
+    frames = frames.select("outlet", "week", F.concat(F.lit('"'), "outlet", F.lit("|window|"), "week", F.lit('":'), "arcs").alias("piece"))
+    sections = [P.Section("meta", "value", first), P.Section("chapters", "list", told, ("id",)), P.Section("events", "list", seen, keys), P.Section("frames", "fields", frames, ("outlet", "week"))]
+    folder = X.shared_folder(spark)
+    P.write_payload(P.payload_pieces(spark, "VIZ_DATA", sections), folder)
+    # A line's place in the payload: its file's, then its own.
+    lines = spark.read.text(folder).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"))
+    return A.with_article_row(lines, ("file", "line")).select(F.col("article_row").alias("piece_no"), "value")

@@ -297,3 +297,22 @@ def display_pieces(spark, d):
     # A line's place in the payload: its file's, then its own.
     lines = spark.read.text(folder).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"))
     return A.with_article_row(lines, ("file", "line")).select(F.col("article_row").alias("piece_no"), "value")
+
+
+def _window_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """(outlet, week, actor, size, broker, broker_g, broker_real, rank) of the trailing frames, by current flow."""
+    nodes = _frame_nodes(*frame_views(spark, d))
+    return nodes.where("mode = 'window'").drop("mode")
+
+
+@query()
+def flow_board(spark, d):
+    """Third parties of each weekly frame by the flow that substance carries."""
+    return T.board(_window_nodes(spark, d), X.axis(spark, d).principals)
+
+
+@query()
+def flow_sparkline(spark, d):
+    """The focus actor's substance flow in each outlet's weeks, 0 where it has none."""
+    e = events(spark, d)
+    return T.sparkline(_window_nodes(spark, d), T.calendar(e), X.axis(spark, d).focus)

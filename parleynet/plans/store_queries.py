@@ -53,28 +53,27 @@ def resumed_chunks(spark, d):
 LISTINGS = "SELECT CAST(o_custkey % 500 AS STRING) AS url, o_orderkey AS seq, CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'soon' WHEN 2 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) || 'T10:00:00+05:00' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) || 'T08:30:00Z' END AS timestamp FROM {orders}"
 #: DuckDB reads a timestamp without applying its offset.
 UTC = "(TRY_CAST(replace(timestamp, '+05:00', '') AS TIMESTAMP) - CASE WHEN contains(timestamp, '+05:00') THEN INTERVAL 5 HOUR ELSE INTERVAL 0 HOUR END)"
-LAST = f"WITH l AS ({LISTINGS.format(orders='orders')}), m AS (SELECT url, max(seq) AS seq, max_by(timestamp, seq) AS timestamp FROM l GROUP BY url)"
+LAST = f"WITH l AS ({LISTINGS.format(orders='orders')}), m AS (SELECT url, max(seq) AS seq, max_by(timestamp, seq) AS timestamp, min(seq) AS first_seq FROM l GROUP BY url)"
 
 
 def _merged(spark: SparkSession, d: str, raw: bool) -> DataFrame:
+    """Two stores merged, numbered in the very order that merged() gives its rows."""
     rows = spark.sql(LISTINGS, orders=X.table(spark, d, "orders"))
     stores = [rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1").withColumn("extra", F.lit(1))]
-    return A.merged(stores, raw_order=raw).select("url", "seq", "timestamp")
+    ordered = A.merged(stores, raw_order=raw).select("url", "seq", F.monotonically_increasing_id().alias("line"))
+    return A.with_article_row(ordered, ("line",)).select("url", "seq", "article_row")
 
 
-@query(f"{LAST} SELECT url, seq, row_number() OVER (ORDER BY coalesce({UTC}, TIMESTAMP '9999-01-01'), url) - 1 AS article_row FROM m")
+@query(f"{LAST} SELECT url, seq, row_number() OVER (ORDER BY coalesce({UTC}, TIMESTAMP '9999-01-01'), first_seq) - 1 AS article_row FROM m")
 def merged_by_time(spark, d):
-    """Stores merged, the last listing of a url kept, numbered by UTC time with unreadable ones last."""
-    late = F.lit("9999-01-01").cast("timestamp")
-    rows = _merged(spark, d, False).withColumn("t", F.coalesce(FT.utc_timestamp(F.col("timestamp")), late))
-    return A.with_article_row(rows, ("t", "url")).select("url", "seq", "article_row")
+    """Stores merged, the last listing of a url kept, by UTC time with unreadable ones last; equal times by the first listing."""
+    return _merged(spark, d, False)
 
 
-@query(f"{LAST} SELECT url, seq, row_number() OVER (ORDER BY coalesce(nullif(timestamp, ''), '9999'), url) - 1 AS article_row FROM m")
+@query(f"{LAST} SELECT url, seq, row_number() OVER (ORDER BY coalesce(nullif(timestamp, ''), '9999'), first_seq) - 1 AS article_row FROM m")
 def merged_by_text(spark, d):
-    """The same, numbered by the timestamp's text with blank ones last."""
-    rows = _merged(spark, d, True).withColumn("t", F.coalesce(F.nullif("timestamp", F.lit("")), F.lit("9999")))
-    return A.with_article_row(rows, ("t", "url")).select("url", "seq", "article_row")
+    """The same by the timestamp's text with blank ones last."""
+    return _merged(spark, d, True)
 
 
 @query(f"WITH l AS ({LISTINGS.format(orders='orders')}) SELECT seq, CAST({UTC} AS VARCHAR) AS utc, substr(timestamp, 1, 10) AS day FROM l")

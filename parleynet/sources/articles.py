@@ -59,7 +59,7 @@ def union_all(stores: Iterable[DataFrame]) -> DataFrame:
 
 
 def last_wins(rows: DataFrame, key: str, seq: str) -> DataFrame:
-    """The row of each key with the greatest seq: one summed shuffle of candidates, no sort of a key's rows."""
+    """The row of each key with the greatest seq, null ones last; of equal ones any. One shuffle of the rows, cut to a row a key before it."""
     best = rows.groupBy(key).agg(F.max_by(F.struct(*(c for c in rows.columns if c != key)), seq).alias("r"))
     return best.select(key, "r.*")
 

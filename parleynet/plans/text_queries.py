@@ -69,10 +69,10 @@ def chunks(spark, d):
     return c.select("doc_id", "chunk_no", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
 
 
-@query("SELECT page_id, CASE WHEN length(regexp_replace(url, '[^0-9]', '', 'g')) = 0 THEN '' ELSE right(regexp_replace(url, '[^0-9]', '', 'g'), 7) END AS article_id, split_part(url, '#', 1) AS plain_url, CASE WHEN contains(url, '.com') THEN '.com' WHEN contains(url, '.net') THEN '.net' ELSE '' END AS outlet, CASE WHEN contains(url, 'editorial') THEN 'editorial/opinion' ELSE 'news' END AS genre FROM pages")
+@query("SELECT page_id, CASE WHEN length(regexp_replace(url, '[^0-9]', '', 'g')) = 0 THEN '' ELSE right(regexp_replace(url, '[^0-9]', '', 'g'), 7) END AS article_id, split_part(url, '#', 1) AS plain_url, CASE WHEN contains(url, '.com') THEN '.com' WHEN contains(url, '.net') THEN '.net' ELSE '' END AS outlet, CASE WHEN page_id % 4 = 0 THEN 'wire' WHEN contains(url, 'editorial') THEN 'editorial/opinion' ELSE 'news' END AS genre FROM pages")
 def url_fields(spark, d):
     u = F.col("url")
-    return X.table(spark, d, "pages").select("page_id", FT.article_id(u).alias("article_id"), FT.without_fragment(u).alias("plain_url"), FT.outlet_of(u, [".com", ".net"]).alias("outlet"), FT.guess_genre(u, F.lit("")).alias("genre"))
+    return X.table(spark, d, "pages").select("page_id", FT.article_id(u).alias("article_id"), FT.without_fragment(u).alias("plain_url"), FT.outlet_of(u, [".com", ".net"]).alias("outlet"), FT.guess_genre(u, F.when(F.col("page_id") % 4 == 0, "Staff and AFP").otherwise("A writer")).alias("genre"))
 
 
 @query("SELECT page_id, trim(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)) AS headline FROM pages")
@@ -89,12 +89,12 @@ CANDIDATES = """
 SELECT CAST(conv_id AS STRING) AS doc_id, text, CASE turn % 5 WHEN 0 THEN 'The' WHEN 1 THEN 'der' WHEN 2 THEN 'nobody' WHEN 3 THEN 'a' ELSE 'von' END AS source,
        CASE conv_id % 4 WHEN 0 THEN 'und' WHEN 1 THEN 'la' WHEN 2 THEN 'in' ELSE '???' END AS target,
        CASE conv_id % 7 WHEN 0 THEN 'negative' WHEN 1 THEN 'mixed' ELSE 'positive' END AS polarity, 'Hosted' AS raw_verb, CASE turn % 6 WHEN 5 THEN 'analyst' ELSE role END AS speaker,
-       CASE conv_id % 11 WHEN 3 THEN 'future' WHEN 4 THEN NULL ELSE 'asserted' END AS modality, CASE conv_id % 13 WHEN 5 THEN ' ' WHEN 6 THEN 'not in there at all' ELSE substr(text, 3, 20) END AS quote_span, true AS is_object, text AS raw
+       CASE conv_id % 11 WHEN 3 THEN 'future' WHEN 4 THEN NULL ELSE 'asserted' END AS modality, CASE conv_id % 13 WHEN 5 THEN ' ' WHEN 6 THEN 'not in there at all' ELSE substr(text, 3, 20) END AS quote_span, conv_id % 17 <> 3 AS is_object, text AS raw
 FROM {conversations}
 """
 RESOLVE = "CASE lower({0}) WHEN 'the' THEN 'The' WHEN 'der' THEN 'The' WHEN 'la' THEN 'The' WHEN 'of' THEN 'Of' WHEN 'von' THEN 'Of' WHEN 'and' THEN 'And' WHEN 'und' THEN 'And' WHEN 'to' THEN 'To' WHEN 'in' THEN 'In' END"
 CANON = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
-GATED = f"WITH c AS ({CANDIDATES.format(conversations='conversations')}), r AS (SELECT *, {RESOLVE.format('source')} AS s, {RESOLVE.format('target')} AS t FROM c), g AS (SELECT *, CASE WHEN s IS NULL THEN 'G1' WHEN t IS NULL THEN 'G2' WHEN s = t THEN 'G3' WHEN polarity NOT IN ('positive', 'negative', 'neutral') THEN 'G4' WHEN modality IN ('negated', 'hypothetical', 'future') THEN 'G5' WHEN trim(quote_span) = '' THEN 'G6' WHEN NOT contains({CANON.format('text')}, {CANON.format('quote_span')}) THEN 'G7' WHEN speaker IN ('analyst', 'journalist', 'unknown') THEN 'G8' END AS gate FROM r)"
+GATED = f"WITH c AS ({CANDIDATES.format(conversations='conversations')}), r AS (SELECT *, {RESOLVE.format('source')} AS s, {RESOLVE.format('target')} AS t FROM c), g AS (SELECT *, CASE WHEN NOT is_object THEN 'G0' WHEN s IS NULL THEN 'G1' WHEN t IS NULL THEN 'G2' WHEN s = t THEN 'G3' WHEN polarity NOT IN ('positive', 'negative', 'neutral') THEN 'G4' WHEN modality IN ('negated', 'hypothetical', 'future') THEN 'G5' WHEN trim(quote_span) = '' THEN 'G6' WHEN NOT contains({CANON.format('text')}, {CANON.format('quote_span')}) THEN 'G7' WHEN speaker IN ('analyst', 'journalist', 'unknown') THEN 'G8' END AS gate FROM r)"
 
 
 def _gated(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +112,7 @@ def kept_edges(spark, d):
     return e.groupBy("source", "target", "polarity", "valence", "raw_verb").agg(F.count("*").alias("n"))
 
 
-@query(f"{GATED}, l AS (SELECT CASE gate WHEN 'G1' THEN 'unresolved source' WHEN 'G2' THEN 'unresolved target' WHEN 'G3' THEN 'self-loop' WHEN 'G4' THEN 'bad polarity' WHEN 'G5' THEN 'non-event modality' WHEN 'G6' THEN 'empty quote_span' WHEN 'G7' THEN 'quote_span not in text' WHEN 'G8' THEN 'commentary speaker' END AS label FROM g WHERE gate IS NOT NULL) SELECT label, count(*) AS n FROM l GROUP BY label")
+@query(f"{GATED}, l AS (SELECT CASE gate WHEN 'G0' THEN 'not an object' WHEN 'G1' THEN 'unresolved source' WHEN 'G2' THEN 'unresolved target' WHEN 'G3' THEN 'self-loop' WHEN 'G4' THEN 'bad polarity' WHEN 'G5' THEN 'non-event modality' WHEN 'G6' THEN 'empty quote_span' WHEN 'G7' THEN 'quote_span not in text' WHEN 'G8' THEN 'commentary speaker' END AS label FROM g WHERE gate IS NOT NULL) SELECT label, count(*) AS n FROM l GROUP BY label")
 def drop_tally(spark, d):
     return gates.tally(gates.dropped(_gated(spark, d)))
 
@@ -124,14 +124,24 @@ def dedupe_by_key(spark, d):
     return last.select("k", F.col("seq").alias("last_seq"), F.col("price").alias("last_price")).join(first.select("k", F.col("seq").alias("first_seq")), "k")
 
 
-@query("SELECT CAST(greatest(m, DATE '2025-10-06') AS DATE) AS month_start, CAST(least(last_day(m), DATE '2026-06-15') AS DATE) AS month_end FROM (SELECT CAST(unnest(generate_series(DATE '2025-10-01', DATE '2026-06-15', INTERVAL 1 MONTH)) AS DATE) AS m)")
+def _order_dates(spark: SparkSession, d: str) -> tuple[str, str]:
+    r = X.table(spark, d, "orders").agg(F.min("o_orderdate").cast("date").cast("string").alias("first"), F.max("o_orderdate").cast("date").cast("string").alias("last")).first()
+    return r.first, r.last
+
+
+ORDER_DATES = "b AS (SELECT CAST(min(o_orderdate) AS DATE) AS first, CAST(max(o_orderdate) AS DATE) AS last FROM orders)"
+
+
+@query(f"WITH {ORDER_DATES}, m AS (SELECT first, last, CAST(unnest(generate_series(date_trunc('month', first), last, INTERVAL 1 MONTH)) AS DATE) AS m FROM b) SELECT CAST(greatest(m, first) AS DATE) AS month_start, CAST(least(last_day(m), last) AS DATE) AS month_end FROM m")
 def month_windows(spark, d):
-    return A.month_windows(spark, "2025-10-06", "2026-06-15")
+    """The months of the orders' dates, the first and last cut to them."""
+    return A.month_windows(spark, *_order_dates(spark, d))
 
 
-@query("SELECT CAST(unnest(generate_series(DATE '2026-02-20', DATE '2026-03-05', INTERVAL 1 DAY)) AS DATE) AS day")
+@query(f"WITH {ORDER_DATES} SELECT CAST(unnest(generate_series(first, last, INTERVAL 1 DAY)) AS DATE) AS day FROM b")
 def day_range(spark, d):
-    return A.days(spark, "2026-02-20", "2026-03-05")
+    """Every day of the orders' dates."""
+    return A.days(spark, *_order_dates(spark, d))
 
 
 @query("SELECT c_custkey AS url FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
@@ -176,9 +186,9 @@ def stratified_sample(spark, d):
     return V.stratified(e, stratum, {"p": 90, "n": 40}, SAMPLE_COLS).select("stratum", "outlet", "doc_id", "source", "target", "ref")
 
 
-@query(f"WITH e AS (SELECT DISTINCT doc_id, source, target FROM ({X.EDGES_SQL}) WHERE polarity = 'positive' AND phase = 'post' AND source_bloc = 'ASIA'), t AS (SELECT *, md5('0|' || doc_id || '|' || source || '|' || target) AS h FROM e) SELECT 'E' || lpad(CAST(row_number() OVER (ORDER BY h, doc_id, source, target) AS VARCHAR), 3, '0') AS id, doc_id, source, target FROM (SELECT * FROM t ORDER BY h, doc_id, source, target LIMIT 200)")
+@query(f"WITH e AS (SELECT DISTINCT doc_id, source, target FROM ({X.EDGES_SQL})), t AS (SELECT *, md5('0|' || doc_id || '|' || source || '|' || target) AS h FROM e) SELECT 'E' || lpad(CAST(row_number() OVER (ORDER BY h, doc_id, source, target) AS VARCHAR), 3, '0') AS id, doc_id, source, target FROM (SELECT * FROM t ORDER BY h, doc_id, source, target LIMIT 200)")
 def numbered_sheet(spark, d):
-    e = X.edges(spark, d).where("polarity = 'positive' AND phase = 'post' AND source_bloc = 'ASIA'").select("doc_id", "source", "target").distinct()
+    e = X.edges(spark, d).select("doc_id", "source", "target").distinct()
     return V.numbered(V.sample(e, 200, "doc_id", "source", "target"), ("doc_id", "source", "target")).select("id", "doc_id", "source", "target")
 
 

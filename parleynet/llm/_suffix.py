@@ -37,9 +37,9 @@ class Sequence:
     def __init__(self, ids: np.ndarray, first: np.ndarray):
         self.n_texts, self.first = len(first) - 1, first
         self.size = len(ids) + self.n_texts
-        self.ids = ids
-        self.texts = np.repeat(np.arange(self.n_texts, dtype=np.int64), np.diff(first))
-        self.at = (np.arange(len(ids)) + self.texts).astype(np.int32)
+        self.ids = ids.astype(np.int32, copy=False)
+        self.texts = np.repeat(np.arange(self.n_texts, dtype=np.int32), np.diff(first))
+        self.at = np.arange(len(ids), dtype=np.int32) + self.texts
         self.ends = (first[1:] + np.arange(self.n_texts)).astype(np.int32)
         self.span = int(ids.max()) + 2 if len(ids) else 2
 
@@ -60,7 +60,9 @@ class Sequence:
         n = len(self.ids)
         if not n:
             return rank, repeated, 1
-        own = self.texts * self.span + (self.span - 1 - self.ids if backwards else self.ids)
+        own = self.texts.astype(np.int64)
+        own *= self.span
+        own += self.span - 1 - self.ids if backwards else self.ids
         order = np.argsort(own, kind="stable").astype(np.int32)
         new = np.empty(n, dtype=bool)
         new[0] = True
@@ -110,9 +112,12 @@ class Sequence:
         return out
 
     def _sums(self) -> tuple[np.ndarray, np.ndarray]:
-        values = np.empty(self.size, dtype=np.uint64)
-        values[self.at] = (self.texts * self.span + self.ids + 1).astype(np.uint64)
-        values[self.ends] = (np.arange(self.n_texts) * self.span).astype(np.uint64)
+        # Symbols first, made sums in place block by block.
+        sums = np.zeros(self.size + 1, dtype=np.uint64)
+        for low in range(0, len(self.ids), BLOCK):
+            part = slice(low, low + BLOCK)
+            sums[self.at[part] + 1] = (self.texts[part].astype(np.int64) * self.span + self.ids[part] + 1).astype(np.uint64)
+        sums[self.ends + 1] = (np.arange(self.n_texts, dtype=np.int64) * self.span).astype(np.uint64)
         powers = np.empty(self.size + 1, dtype=np.uint64)
         powers[0], have = 1, 1
         scale = BASE
@@ -120,10 +125,10 @@ class Sequence:
             more = min(have, len(powers) - have)
             powers[have : have + more] = times(powers[:more], np.full(more, scale, dtype=np.uint64))
             scale, have = scale * scale % PRIME, 2 * have
-        sums = np.zeros(self.size + 1, dtype=np.uint64)
         carry = 0
         for low in range(0, self.size, BLOCK):
-            term = times(reduced(T.mix(values[low : low + BLOCK]) >> U64(3)), powers[low : low + len(values[low : low + BLOCK])])
+            symbols = sums[low + 1 : low + 1 + BLOCK]
+            term = times(reduced(T.mix(symbols) >> U64(3)), powers[low : low + len(symbols)])
             high, rest = np.cumsum(term >> U64(32)), np.cumsum(term & _LOW32)
             part = times(reduced(high), np.full(len(high), 1 << 32, dtype=np.uint64))
             sums[low + 1 : low + 1 + len(term)] = reduced(reduced(part + reduced(rest)) + U64(carry))

@@ -89,10 +89,9 @@ def numbered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     np.add.at(edge, start, 1)
     np.add.at(edge, end, -1)
     inside = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
-    offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
-    ranges = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
-    coded = ranges.dictionary_encode()
-    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    offsets = np.concatenate([[0], np.cumsum(length)])
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary
 
 
 def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -91,7 +91,7 @@ def measures(column: pa.Array, repeat_words: int) -> dict[str, np.ndarray]:
     low, high = low[full], high[full]
     of = np.searchsorted(at, low, side="right") - 1
     lines, strings = T.numbered(data, low, high)
-    _, kept = np.unique(of * (len(strings) + 1) + lines, return_index=True)
+    _, kept = np.unique(of.astype(np.int64) * (len(strings) + 1) + lines, return_index=True)
     n = len(at) - 1
     filled = np.flatnonzero(np.diff(first))
     longest = np.zeros(n, dtype=np.int64)

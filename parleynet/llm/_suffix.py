@@ -12,25 +12,9 @@ import numpy as np
 from . import _text as T
 
 U64 = np.uint64
-PRIME = (1 << 61) - 1
-_P, _LOW32, _LOW29 = U64(PRIME), U64(0xFFFFFFFF), U64((1 << 29) - 1)
-#: Base of the prefix sums, drawn once.
-BASE = int(np.random.default_rng(20240311).integers(1 << 40, PRIME - 1))
 BLOCK = 1 << 15
 
 
-def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a * b modulo 2^61 - 1, of numbers below it."""
-    ah, al, bh, bl = a >> U64(32), a & _LOW32, b >> U64(32), b & _LOW32
-    middle, low = ah * bl + al * bh, al * bl
-    return reduced(((ah * bh) << U64(3)) + (middle >> U64(29)) + ((middle & _LOW29) << U64(32)) + (low >> U64(61)) + (low & _P))
-
-
-def reduced(x: np.ndarray) -> np.ndarray:
-    x = (x & _P) + (x >> U64(61))
-    return np.where(x >= _P, x - _P, x)
-
-
 class Sequence:
     """Symbols of texts' words: ids (equal for equal words, from 0 on) and each text's first word number, with the total."""
 
@@ -105,8 +89,8 @@ class Sequence:
                 u, v = x + found, y + found
                 fits = np.flatnonzero(v + span <= self.size)
                 u, v = u[fits], v[fits]
-                left = times(reduced(sums[u + span] + _P - sums[u]), shift[fits])
-                found[fits[left == reduced(sums[v + span] + _P - sums[v])]] += span
+                left = T.times(T.reduced(sums[u + span] + U64(T.PRIME) - sums[u]), shift[fits])
+                found[fits[left == T.reduced(sums[v + span] + U64(T.PRIME) - sums[v])]] += span
                 span //= 2
             out[low : low + BLOCK] = found
         return out
@@ -118,20 +102,12 @@ class Sequence:
             part = slice(low, low + BLOCK)
             sums[self.at[part] + 1] = (self.texts[part].astype(np.int64) * self.span + self.ids[part] + 1).astype(np.uint64)
         sums[self.ends + 1] = (np.arange(self.n_texts, dtype=np.int64) * self.span).astype(np.uint64)
-        powers = np.empty(self.size + 1, dtype=np.uint64)
-        powers[0], have = 1, 1
-        scale = BASE
-        while have < len(powers):
-            more = min(have, len(powers) - have)
-            powers[have : have + more] = times(powers[:more], np.full(more, scale, dtype=np.uint64))
-            scale, have = scale * scale % PRIME, 2 * have
+        powers = T.powers_of(T.BASE, self.size + 1)
         carry = 0
         for low in range(0, self.size, BLOCK):
             symbols = sums[low + 1 : low + 1 + BLOCK]
-            term = times(reduced(T.mix(symbols) >> U64(3)), powers[low : low + len(symbols)])
-            high, rest = np.cumsum(term >> U64(32)), np.cumsum(term & _LOW32)
-            part = times(reduced(high), np.full(len(high), 1 << 32, dtype=np.uint64))
-            sums[low + 1 : low + 1 + len(term)] = reduced(reduced(part + reduced(rest)) + U64(carry))
+            term = T.times(T.reduced(T.mix(symbols) >> U64(3)), powers[low : low + len(symbols)])
+            sums[low + 1 : low + 1 + len(term)] = T.running_sums(term, carry)
             carry = int(sums[low + len(term)])
         return sums, powers
 

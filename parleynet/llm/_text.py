@@ -2,8 +2,9 @@
 
 Every kernel takes the flat UTF-8 buffer of an Arrow string column and works on
 all documents of a batch at once: words and shingles come from numpy passes over bytes,
-never from a Python loop over words. Equal words are found by their bytes, and a word's
-hash is a keyed digest of its bytes, taken once for each distinct word of a slice. A word is a run of bytes
+never from a Python loop over words. A word's hash is a polynomial of its bytes modulo
+2^61 - 1 with a drawn base; where words must be told apart exactly, they are numbered by
+their bytes. A word is a run of bytes
 other than space and ``\\t \\n \\v \\f \\r`` (all ASCII, so no multi-byte character is
 ever cut). Work is done on slices of at most ``SLICE_BYTES`` of text, so that one very long
 document costs a few bytes of memory per byte of text and no more.
@@ -11,7 +12,6 @@ document costs a few bytes of memory per byte of text and no more.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +22,6 @@ SLICE_BYTES = 1 << 20
 
 U64 = np.uint64
 _rng = np.random.default_rng(20240229)
-HASH_KEY = _rng.bytes(32)
 POSITION_CODES = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * U64(2) + U64(1)
 
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -94,11 +93,79 @@ def numbered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     return coded.indices.to_numpy(), coded.dictionary
 
 
+PRIME = (1 << 61) - 1
+_P, _LOW32, _LOW29 = U64(PRIME), U64(0xFFFFFFFF), U64((1 << 29) - 1)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2^61 - 1, of numbers below it."""
+    ah, al, bh, bl = a >> U64(32), a & _LOW32, b >> U64(32), b & _LOW32
+    middle, low = ah * bl + al * bh, al * bl
+    return reduced(((ah * bh) << U64(3)) + (middle >> U64(29)) + ((middle & _LOW29) << U64(32)) + (low >> U64(61)) + (low & _P))
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> U64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def running_sums(terms: np.ndarray, before: int = 0) -> np.ndarray:
+    """Sums modulo 2^61 - 1 of the terms up to each, beginning with `before`; at most 2^32 terms."""
+    high, low = np.cumsum(terms >> U64(32)), np.cumsum(terms & _LOW32)
+    return reduced(reduced(times(reduced(high), _SHIFT) + reduced(low)) + U64(before))
+
+
+def powers_of(base: int, n: int) -> np.ndarray:
+    """The first n powers of the base modulo 2^61 - 1."""
+    out = np.ones(n, dtype=np.uint64)
+    have, scale = 1, base
+    while have < n:
+        more = min(have, n - have)
+        for low in range(0, more, 1 << 15):
+            part = slice(low, min(low + (1 << 15), more))
+            out[have + part.start : have + part.stop] = times(out[part], np.full(1, scale, dtype=np.uint64))
+        have, scale = 2 * have, scale * scale % PRIME
+    return out
+
+
+_SHIFT = np.full(1, 1 << 32, dtype=np.uint64)
+#: Drawn once: the hashes' base and a code for each byte.
+BASE = int(_rng.integers(1 << 40, PRIME - 1))
+BYTE_CODES = _rng.integers(1, PRIME, 256, dtype=np.uint64)
+BLOCK_BYTES = 1 << 15
+_POWERS, _INVERSES = powers_of(BASE, BLOCK_BYTES + 1), powers_of(pow(BASE, -1, PRIME), BLOCK_BYTES + 1)
+
+
 def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit keyed hashes of the byte ranges (ascending, not overlapping), taken once for each distinct string."""
-    numbers, strings = numbered(data, start, end)
-    digests = b"".join(hashlib.blake2b(x, digest_size=8, key=HASH_KEY).digest() for x in strings.to_pylist())
-    return np.frombuffer(digests, dtype=np.uint64)[numbers]
+    """64-bit hashes of the byte ranges (ascending, not overlapping): polynomials of their bytes' codes modulo 2^61 - 1.
+
+    Ranges of a block come from its prefix sums; a range longer than a block is summed block
+    by block. Powers of two as moduli won't do: for them some strings collide at any base.
+    """
+    out = np.empty(len(start), dtype=np.uint64)
+    i = 0
+    while i < len(start):
+        j = int(np.searchsorted(end, start[i] + BLOCK_BYTES, side="right"))
+        if j <= i:
+            out[i] = _long_hash(data[start[i] : end[i]])
+            i += 1
+            continue
+        low, high = int(start[i]), int(end[j - 1])
+        sums = np.zeros(high - low + 1, dtype=np.uint64)
+        sums[1:] = running_sums(times(BYTE_CODES[data[low:high]], _POWERS[: high - low]))
+        a, b = start[i:j] - low, end[i:j] - low
+        out[i:j] = times(reduced(sums[b] + _P - sums[a]), _INVERSES[a])
+        i = j
+    return mix(out ^ mix((end - start).astype(np.uint64)))
+
+
+def _long_hash(data: np.ndarray) -> np.uint64:
+    total, scale, step = 0, 1, pow(BASE, BLOCK_BYTES, PRIME)
+    for low in range(0, len(data), BLOCK_BYTES):
+        part = data[low : low + BLOCK_BYTES]
+        total += int(running_sums(times(BYTE_CODES[part], _POWERS[: len(part)]))[-1]) * scale
+        scale = scale * step % PRIME
+    return U64(total % PRIME)
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from parleynet.llm import _suffix as S, periodic_runs as P
+from parleynet.llm import _suffix as S, _text as T, periodic_runs as P
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -93,8 +93,8 @@ def test_suffix_orders_and_extensions(texts, backwards):
 
 def test_multiplication_modulo_the_prime():
     r = np.random.default_rng(2)
-    a, b = (np.concatenate([[0, 1, S.PRIME - 1], r.integers(0, S.PRIME, 500)]).astype(np.uint64) for _ in range(2))
-    assert S.times(a, b).tolist() == [int(x) * int(y) % S.PRIME for x, y in zip(a, b)]
+    a, b = (np.concatenate([[0, 1, T.PRIME - 1], r.integers(0, T.PRIME, 500)]).astype(np.uint64) for _ in range(2))
+    assert T.times(a, b).tolist() == [int(x) * int(y) % T.PRIME for x, y in zip(a, b)]
 
 
 def test_query_equals_plain_search(spark):

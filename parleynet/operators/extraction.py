@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import Axis
-from ..functions.text import build_prompt, chunk_paragraphs, day, parse_candidates
+from ..functions.text import build_prompt, canon_text, chunk_paragraphs, day, parse_candidates
 from .gates import call_provider, gated, kept, phase_of
 from .validation import sample
 from .vocabulary import Vocabulary, mentioned, on_axis
@@ -23,8 +23,10 @@ def chunked(articles: DataFrame, axis: Axis, vocabulary: Vocabulary, n: int = 0,
 
 def candidates(answered: DataFrame, boundary: str) -> DataFrame:
     """One row for each candidate of answered chunks(doc_id, date, outlet, text, raw_response), ready for the gates."""
-    rows = answered.withColumn("phase", phase_of(F.col("date"), boundary)).withColumn("c", F.explode(parse_candidates(F.col("raw_response"))))
-    return rows.select("doc_id", "phase", "outlet", "text", "c.*")
+    # A chunk's text is made canonical once, not once for each of its candidates.
+    rows = answered.withColumn("phase", phase_of(F.col("date"), boundary)).withColumn("text_canon", canon_text(F.col("text")))
+    rows = rows.withColumn("c", F.explode(parse_candidates(F.col("raw_response"))))
+    return rows.select("doc_id", "phase", "outlet", "text", "text_canon", "c.*")
 
 
 def extract(chunks: DataFrame, vocabulary: Vocabulary, boundary: str, template: str, provider: Callable[[list[str]], list[str]]) -> DataFrame:

@@ -31,6 +31,8 @@ def gated(candidates: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     df = candidates.withColumnsRenamed({"source": "said_source", "target": "said_target"})
     df = resolve(resolve(df, "said_source", vocabulary, "source"), "said_target", vocabulary, "target")
     quote = strip(F.coalesce("quote_span", F.lit("")))
+    # Candidates of extraction carry their chunk's canonical text.
+    text = F.col("text_canon") if "text_canon" in candidates.columns else canon_text(F.col("text"))
     said = lambda c: F.coalesce(F.col(c), F.lit("None"))
     rules: list[tuple[str, Column, Column]] = [
         ("G0", ~F.col("is_object"), F.lit("not an object")),
@@ -40,7 +42,7 @@ def gated(candidates: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         ("G4", ~F.coalesce(F.col("polarity").isin(*config.VALENCE), F.lit(False)), F.concat(F.lit("bad polarity: "), said("polarity"))),
         ("G5", F.coalesce(F.col("modality").isin(*config.NON_EVENTS), F.lit(False)), F.concat(F.lit("non-event modality: "), said("modality"))),
         ("G6", quote == "", F.lit("empty quote_span")),
-        ("G7", ~F.contains(canon_text(F.col("text")), canon_text(quote)), F.lit("quote_span not in text (hallucination gate)")),
+        ("G7", ~F.contains(text, canon_text(quote)), F.lit("quote_span not in text (hallucination gate)")),
         ("G8", F.coalesce(F.col("speaker").isin(*config.COMMENTATORS), F.lit(False)), F.concat(F.lit("commentary speaker: "), said("speaker"))),
     ]
     gate, reason = F.lit(None).cast("string"), F.lit(None).cast("string")

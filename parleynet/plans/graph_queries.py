@@ -177,8 +177,10 @@ def pairwise_brokerage(spark, d):
 @query()
 def results_table(spark, d):
     """Per outlet and phase: the focus actor's flow scores and ranks, liaison and influence share."""
-    a, e, o = X.axis(spark, d), X.edges(spark, d), X.actors(spark, d)
-    signed = N.signed_network(e)
+    a, o = X.axis(spark, d), X.actors(spark, d)
+    # The joins behind edges are made once, and so is the network behind four of the measures.
+    e = X.written(X.edges(spark, d).select("outlet", "phase", "source", "target", "polarity", "valence", "raw_verb"))
+    signed = X.written(N.signed_network(e))
     out = N.positive_counts(e)
     for name, view in (("flat", N.project(signed, "coop")), ("substance", N.substance_view(e)), ("brokering", N.project(signed, "broker"))):
         scores = N.ranked(M.flow_brokerage(view, a.order), "score", o).where(F.col("actor") == a.focus)
@@ -198,7 +200,7 @@ def bootstrap_interval(spark, d):
 @query()
 def phase_comparison(spark, d):
     """Per outlet and phase: sizes, the focus actor's share of paths on the dyad, liaison, centralities and constraint."""
-    a, view = X.axis(spark, d), coop(spark, d)
+    a, view = X.axis(spark, d), X.written(coop(spark, d))
     key = ["outlet", "phase"]
     at = lambda df: df.where(F.col("actor") == a.focus).drop("actor")
     out = view.groupBy(*key).agg(F.count("*").alias("n_edges"))

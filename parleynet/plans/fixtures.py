@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import Axis
 from ..operators.vocabulary import Vocabulary
+from ..sources.shared import shared_folder, written  # noqa: F401
 
 BOUNDARY = "1998-06-01"
 COLOURS = {"ASIA": "#e2864a", "EUROPE": "#9b59b6"}
@@ -57,22 +56,6 @@ def axis(spark: SparkSession, sf_dir: str) -> Axis:
 WORDS = Vocabulary(("The", "Of", "And", "To", "In"), {"The": "a", "Of": "a", "And": "b", "To": "b", "In": "c"}, {"The": ["the", "der", "la"], "Of": ["of", "von"], "And": ["and", "und", "et"], "To": ["to", "zu"], "In": ["in"]}, {"a": "an article"})
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder inside the cluster's shared one; a local one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
-    base = base or tempfile.mkdtemp(prefix="streams-")
-    return f"{base}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows of df, worked out once and read back from the shared folder, for plans that read them several times."""
-    folder = shared_folder(df.sparkSession)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 class Recorded:
     """Pages that Spark has written to a shared folder, one folder for each of `keys`, answering as a site would."""
 

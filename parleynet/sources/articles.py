@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import schemas
 from ..functions.text import utc_timestamp
+from .shared import written
 
 
 def read_articles_csv(spark: SparkSession, *paths: str, schema: str = schemas.ARTICLE) -> DataFrame:
@@ -20,10 +21,11 @@ def with_article_row(articles: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """articles with `article_row` 0, 1, … in an explicit order.
 
     Rows are numbered by sorted partition and place inside it: a range sort and a small
-    table of partition sizes, no window over all rows.
+    table of partition sizes, no window over all rows. The sorted rows are written once, as
+    a second reading may get other partitions, with which the sizes would not agree.
     """
     ranked = articles.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
-    ranked = ranked.withColumn("_at", F.monotonically_increasing_id())
+    ranked = written(ranked.withColumn("_at", F.monotonically_increasing_id()))
     ranked = ranked.withColumn("_part", F.shiftright("_at", 33)).withColumn("_in", F.col("_at").bitwiseAND((1 << 33) - 1))
     from_ = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = ranked.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(from_), F.lit(0)).alias("_before"))

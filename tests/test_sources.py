@@ -151,3 +151,10 @@ def test_entry_file(spark):
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) >= 60
     assert entry.entry(spark).count() > 0
+
+
+def test_numbers_agree_where_partitions_of_the_rows_and_of_their_sizes_differ(spark):
+    wide = F.concat(*(F.sha2(F.concat("k", F.lit(f"/{i}")), 512) for i in range(4)))
+    rows = spark.range(20000).withColumnRenamed("id", "k").repartition(3).withColumn("text", wide)
+    got = A.with_article_row(rows, ("k",)).collect()
+    assert len(got) == 20000 and all(r.k == r.article_row for r in got)

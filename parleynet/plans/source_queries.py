@@ -124,9 +124,12 @@ def streamed_pages(spark, d):
 
 @query("SELECT doc_id, coalesce(text, '') AS text, CASE WHEN doc_id % 3 = 2 THEN 2 ELSE 3 END AS version FROM documents WHERE doc_id % 3 > 0 UNION ALL SELECT -1, 'files 2 progress 3', 3")
 def committed_records(spark, d):
-    """Records of three jobs on a store: the second replaces the first's, the third adds to it; a job that fails between them leaves nothing."""
+    """Records of three jobs on a store: the second replaces the first's, the third adds to it; a job that fails between them leaves nothing.
+
+    A job's files, one a task, count as one in the row about the store.
+    """
     path = f"{shared_folder(spark)}/store"
-    rows = docs(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") % 3).alias("k")).coalesce(1)
+    rows = docs(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") % 3).alias("k"))
     store.write_store(rows.where("k < 2").select("doc_id", "text", F.lit(1).alias("version")), path, {"job": 1})
     store.write_store(rows.where("k = 2").select("doc_id", "text", F.lit(2).alias("version")), path, {"job": 2}, fresh=True)
     try:
@@ -136,8 +139,7 @@ def committed_records(spark, d):
             raise
     store.write_store(rows.where("k = 1").select("doc_id", "text", F.lit(3).alias("version")), path, {"job": 3})
     store.vacuum(path)
-    state = store.manifest(path)
-    about = spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit(f"files {len(state['files'])} progress {state['progress']['job']}").alias("text"), F.lit(3).alias("version"))
+    about = spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit(f"files {len(store.jobs(path))} progress {store.progress(path)['job']}").alias("text"), F.lit(3).alias("version"))
     return store.read_store(spark, path, "doc_id long, text string, version int").unionByName(about)
 
 

@@ -46,10 +46,12 @@ class Written(WriterCommitMessage):
 class Writer(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool, progress: dict | None):
         self.path, self.overwrite, self.progress = path, overwrite, progress
+        # One writer is sent to all tasks, so their files bear the job's name.
+        self.job = uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = _place(self.path)
-        name, rows = f"{DATA}/{uuid.uuid4().hex}.jsonl", 0
+        name, rows = f"{DATA}/{self.job}-{uuid.uuid4().hex}.jsonl", 0
         fs.create_dir(f"{root}/{DATA}", recursive=True)
         try:
             with fs.open_output_stream(f"{root}/{name}") as out:
@@ -116,6 +118,11 @@ def progress(path: str) -> dict:
     return manifest(path)["progress"]
 
 
+def jobs(path: str) -> list[str]:
+    """The jobs whose files the newest manifest names, in the order of their commits; a job has as many files as it had tasks with rows."""
+    return list(dict.fromkeys(f.rsplit("/", 1)[-1].split("-")[0] for f in manifest(path)["files"]))
+
+
 def vacuum(path: str) -> int:
     """Removes files that the newest manifest doesn't name; not while a job writes."""
     fs, root = _place(path)

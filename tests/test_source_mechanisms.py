@@ -11,6 +11,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from parleynet.plans import source_queries
 from parleynet.sources import articles as A, rest, search, store
 from parleynet.streaming import attempts as AT, incremental as S
 
@@ -187,3 +188,10 @@ def test_attempts_count_across_batches_and_restarts(spark, tmp_path):
             assert any(k == x.key and not ok and pd.Timestamp(at) == failed for k, ok, at in rows)
             assert x.key not in over or over[x.key][2] > failed
     assert any(x.status == "due" for x in got)
+
+
+def test_records_of_a_job_are_written_by_many_tasks(spark, tmp_path):
+    spark.range(4000).selectExpr("id AS doc_id", "'text ' || id AS text").repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
+    got = source_queries.committed_records(spark, str(tmp_path))
+    files = {r.file for r in got.where("doc_id >= 0").select(F.input_file_name().alias("file")).distinct().collect()}
+    assert len(files) > 2 and got.count() == 2667 and got.where("doc_id = -1").first().text == "files 2 progress 3"

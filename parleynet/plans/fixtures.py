@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import re
 
+import pyarrow.dataset as ds
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Axis
 from ..operators.vocabulary import Vocabulary
 from ..sources.shared import shared_folder, written  # noqa: F401
 
 BOUNDARY = "1998-06-01"
+#: Bytes of a row group of recorded pages.
+GROUP = 1 << 20
 COLOURS = {"ASIA": "#e2864a", "EUROPE": "#9b59b6"}
 
 EDGES = """
@@ -57,30 +60,41 @@ WORDS = Vocabulary(("The", "Of", "And", "To", "In"), {"The": "a", "Of": "a", "An
 
 
 class Recorded:
-    """Pages that Spark has written to a shared folder, one folder for each of `keys`, answering as a site would."""
+    """Pages that Spark has written to a shared folder, a folder for each value of the first key, answering as a site would.
+
+    Rows are sorted by page in files of small row groups, so that one page is found by the
+    files' own bounds, however many pages there are.
+    """
 
     def __init__(self, folder: str, *keys: str):
         self.folder, self.keys = folder, keys
+        self._open: dict = {}
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_open": {}}
 
     @classmethod
-    def record(cls, pages: DataFrame, folder: str, *keys: str) -> Recorded:
-        """pages(*keys, value): a text for each page, or its lines."""
-        pages.repartition(*keys).select(*keys, "value").write.partitionBy(*keys).text(folder)
-        return cls(folder, *keys)
-
-    def _at(self, *values) -> tuple[pafs.FileSystem, str]:
-        place = "/".join([self.folder, *(f"{k}={v}" for k, v in zip(self.keys, values))])
-        return pafs.FileSystem.from_uri(place if re.match("[a-z0-9]+:", place) else f"file://{place}")
-
-    def page(self, *values) -> str | None:
-        fs, path = self._at(*values)
-        if fs.get_file_info(path).type != pafs.FileType.Directory:
-            return None
-        files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(path)) if f.base_name.startswith("part-"))
-        return "".join(fs.open_input_stream(f).read().decode() for f in files)
-
-    def count(self, *values) -> int:
-        fs, path = self._at(*values)
-        if fs.get_file_info(path).type != pafs.FileType.Directory:
-            return 0
-        return sum(f.base_name.startswith(f"{self.keys[len(values)]}=") for f in fs.get_file_info(pafs.FileSelector(path)))
+    def record(cls, pages: DataFrame, folder: str, site: str, page: str) -> Recorded:
+        """pages(site, page, value): a text for each page, or its lines. How many pages each site has is written beside them."""
+        rows = pages.select(F.col(site).cast("string").alias(site), F.col(page).cast("long").alias(page), "value").where(f"`{site}` IS NOT NULL AND `{page}` IS NOT NULL")
+        rows.repartitionByRange(site, page).sortWithinPartitions(site, page).write.partitionBy(site).option("parquet.block.size", GROUP).parquet(f"{folder}/pages")
+        rows.groupBy(site).agg(F.count_distinct(page).alias("n")).coalesce(1).write.parquet(f"{folder}/counts")
+        return cls(folder, site, page)
+
+    def _at(self, place: str):
+        """The files of a folder, opened once; None where there is none."""
+        if place not in self._open:
+            path = f"{self.folder}/{place}"
+            fs, root = pafs.FileSystem.from_uri(path if re.match("[a-z0-9]+:", path) else f"file://{path}")
+            found = fs.get_file_info(root).type == pafs.FileType.Directory
+            self._open[place] = ds.dataset(root, filesystem=fs, format="parquet", exclude_invalid_files=False) if found else None
+        return self._open[place]
+
+    def page(self, site, page) -> str | None:
+        data = self._at(f"pages/{self.keys[0]}={site}")
+        rows = [] if data is None else data.to_table(columns=["value"], filter=ds.field(self.keys[1]) == int(page), use_threads=False).column(0).to_pylist()
+        return "".join(f"{x or ''}\n" for x in rows) if rows else None
+
+    def count(self, site) -> int:
+        counts = self._at("counts").to_table(filter=ds.field(self.keys[0]) == str(site)).column("n").to_pylist()
+        return counts[0] if counts else 0

@@ -11,7 +11,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from parleynet.plans import source_queries
+from parleynet.plans import fixtures, source_queries
 from parleynet.sources import articles as A, rest, search, store
 from parleynet.streaming import attempts as AT, incremental as S
 
@@ -195,3 +195,11 @@ def test_records_of_a_job_are_written_by_many_tasks(spark, tmp_path):
     got = source_queries.committed_records(spark, str(tmp_path))
     files = {r.file for r in got.where("doc_id >= 0").select(F.input_file_name().alias("file")).distinct().collect()}
     assert len(files) > 2 and got.count() == 2667 and got.where("doc_id = -1").first().text == "files 2 progress 3"
+
+
+def test_recorded_pages_take_few_files_however_many_pages(spark, tmp_path):
+    pages = spark.range(900).selectExpr("id % 3 AS site", "id div 6 + 1 AS page", "IF(id = 7, NULL, 'é line ' || id) AS value")
+    site = fixtures.Recorded.record(pages, str(tmp_path / "site"), "site", "page")
+    assert sum(len(files) for _, _, files in os.walk(tmp_path / "site")) < 150
+    assert sorted((site.page(1, "2") or "").splitlines()) == ["", "é line 10"] and sorted(site.page("2", 150).splitlines()) == ["é line 896", "é line 899"]
+    assert site.page(1, 151) is None and site.page(5, 1) is None and site.count("0") == 150 and site.count(9) == 0

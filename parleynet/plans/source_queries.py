@@ -113,7 +113,9 @@ def pushed_articles(spark, d):
 def streamed_pages(spark, d):
     """All pages of a paged source, taken as a stream that is stopped after its first batch and goes on from its checkpoint."""
     site, folder = paged_site(spark, d), shared_folder(spark)
-    source = rest.rest_source("recorded_stream", site, MONTHS, A.request_parameters, site.count, batch_pages=max(3, site.count(A.request_parameters(*MONTHS[0][1:])) * 2))
+    here = site.count(A.request_parameters(*MONTHS[0][1:]))
+    # Tasks don't grow with the pages: some sixteen for each month of a batch.
+    source = rest.rest_source("recorded_stream", site, MONTHS, A.request_parameters, site.count, batch_pages=max(3, here * 2), task_pages=max(1, here // 16))
     spark.dataSource.register(source)
     first = spark.readStream.format(source.name()).load().writeStream.format("json").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
     first.trigger(once=True).start().awaitTermination()

@@ -18,9 +18,9 @@ PARAMETERS = {"section": "section", "type": "kind"}
 
 
 class Month(InputPartition):
-    def __init__(self, month: str, start: str, end: str, page: int = 0):
+    def __init__(self, month: str, start: str, end: str, page: int = 0, last: int = 0):
         super().__init__(month)
-        self.start, self.end, self.page = start, end, page
+        self.start, self.end, self.page, self.last = start, end, page, last
 
 
 def _row(month: str, page: int, result: dict) -> tuple:
@@ -81,14 +81,14 @@ class Pushed:
         return all(row[2 if c == "section" else 3] == v for c, v in self.equal.items())
 
 
-def rest_source(name: str, fetch: Callable[[dict], dict], months: list[tuple[str, str, str]], parameters: Callable[..., dict], pages_of: Callable[[dict], int] | None = None, batch_pages: int = 10) -> type[DataSource]:
+def rest_source(name: str, fetch: Callable[[dict], dict], months: list[tuple[str, str, str]], parameters: Callable[..., dict], pages_of: Callable[[dict], int] | None = None, batch_pages: int = 10, task_pages: int = 1) -> type[DataSource]:
     """A data source class whose rows are the results of all pages of all months.
 
     fetch(parameters) returns {"pages": n, "results": [...]}; it carries retries, keys and
     pacing. In batch, months are read independently, so a lost executor repeats its months
     alone, and filters on published, section, type and month become request parameters
     (with spark.sql.python.filterPushdown.enabled; see `read_rest`). As a stream, a batch
-    takes `batch_pages` pages, each in a task of its own, and the offset is the month and
+    takes `batch_pages` pages, `task_pages` that follow one another in a task, and the offset is the month and
     page to go on from, so a run that was stopped reads no page again but those of the batch
     that it was in. pages_of(parameters) tells a month's number of pages for that; it is
     asked once a month and run.
@@ -151,13 +151,14 @@ def rest_source(name: str, fetch: Callable[[dict], dict], months: list[tuple[str
             for w in range(start["window"], min(end["window"], len(months) - 1) + 1):
                 first = start["page"] if w == start["window"] else 1
                 last = end["page"] - 1 if w == end["window"] else self._pages(w)
-                out += [Month(*months[w], page=p) for p in range(first, last + 1)]
+                out += [Month(*months[w], page=p, last=min(p + task_pages - 1, last)) for p in range(first, last + 1, task_pages)]
             return out
 
         def read(self, partition: Month) -> Iterator[tuple]:
-            answer = fetch(parameters(partition.start, partition.end, page=partition.page))
-            for result in answer.get("results", []):
-                yield _row(partition.value, partition.page, result)
+            for page in range(partition.page, partition.last + 1):
+                answer = fetch(parameters(partition.start, partition.end, page=page))
+                for result in answer.get("results", []):
+                    yield _row(partition.value, page, result)
 
     class Rest(DataSource):
         @classmethod

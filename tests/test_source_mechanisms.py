@@ -203,3 +203,10 @@ def test_recorded_pages_take_few_files_however_many_pages(spark, tmp_path):
     assert sum(len(files) for _, _, files in os.walk(tmp_path / "site")) < 150
     assert sorted((site.page(1, "2") or "").splitlines()) == ["", "é line 10"] and sorted(site.page("2", 150).splitlines()) == ["é line 896", "é line 899"]
     assert site.page(1, 151) is None and site.page(5, 1) is None and site.count("0") == 150 and site.count(9) == 0
+
+
+def test_a_task_of_a_stream_reads_pages_that_follow_one_another(spark, tmp_path):
+    source = rest.rest_source("runs_test", Api(tmp_path / "log"), MONTHS, A.request_parameters, pages_of=lambda p: 7, batch_pages=100, task_pages=3)
+    stream = source({}).streamReader(None)
+    tasks = stream.partitions({"window": 0, "page": 2}, {"window": 1, "page": 5})
+    assert [(t.value, t.page, t.last) for t in tasks] == [("2026-01", 2, 4), ("2026-01", 5, 7), ("2026-02", 1, 3), ("2026-02", 4, 4)]

@@ -167,7 +167,7 @@ def attempt_states(spark, d):
     rows = spark.sql(ATTEMPTS, events=X.table(spark, d, "events"))
     AT.use_rocks(spark)
     for part in (f"tried < '{CUT}'", f"tried >= '{CUT}'"):
-        rows.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        rows.where(part).write.mode("append").parquet(f"{folder}/in")
         S.run_available(AT.attempt_changes(S.read_stream(spark, f"{folder}/in", rows.schema).withColumnRenamed("tried", "at")), f"{folder}/out", f"{folder}/state")
     out = spark.read.schema(AT.CHANGES).parquet(f"{folder}/out")
     return out.select("key", "status", "fails", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("tried"))

@@ -210,3 +210,14 @@ def test_a_task_of_a_stream_reads_pages_that_follow_one_another(spark, tmp_path)
     stream = source({}).streamReader(None)
     tasks = stream.partitions({"window": 0, "page": 2}, {"window": 1, "page": 5})
     assert [(t.value, t.page, t.last) for t in tasks] == [("2026-01", 2, 4), ("2026-01", 5, 7), ("2026-02", 1, 3), ("2026-02", 4, 4)]
+
+
+def test_keys_that_share_a_bucket_share_calls_of_the_state_and_nothing_else(spark, tmp_path):
+    AT.use_rocks(spark)
+    start = datetime(2026, 1, 1)
+    rows = [(f"k{i}", i % 5 == 0, start + timedelta(hours=i % 7)) for i in range(200)] + [("z", False, start + timedelta(days=2))]
+    spark.createDataFrame(rows, "key string, ok boolean, at timestamp").write.parquet(str(tmp_path / "in"))
+    changes = AT.attempt_changes(S.read_stream(spark, str(tmp_path / "in"), "key string, ok boolean, at timestamp"), wait="6 hours", buckets=2)
+    S.run_available(changes, str(tmp_path / "out"), str(tmp_path / "state"))
+    got = {(r.key, r.status, r.fails, r.at) for r in spark.read.schema(AT.CHANGES).parquet(str(tmp_path / "out")).collect()}
+    assert got == {(k, "done", 0, at) if ok else (k, "due", 1, at + timedelta(hours=6)) for k, ok, at in rows[:-1]}

@@ -25,7 +25,8 @@ def stratified(edges: DataFrame, stratum: Column, quotas: dict[str, int], cols:
     rows = edges.withColumn("stratum", stratum).withColumn("_h", seeded(seed, *cols)).where(F.col("stratum").isin(*quotas))
     quota = F.create_map(*(F.lit(x) for kv in quotas.items() for x in kv))[F.col("stratum")]
     within = Window.partitionBy("stratum", group).orderBy("_h", *cols)
-    rows = rows.withColumn("_in", F.row_number().over(within)).where(F.col("_in") <= quota)
+    # By a fixed number first, as Spark then cuts each task's rows before they meet in a group.
+    rows = rows.withColumn("_in", F.row_number().over(within)).where(F.col("_in") <= max(quotas.values())).where(F.col("_in") <= quota)
     groups = rows.groupBy("stratum").agg(F.count_distinct(group).alias("_groups"))
     rows = rows.join(F.broadcast(groups), "stratum")
     share = F.greatest(F.lit(1), F.floor(quota / F.col("_groups")))

@@ -42,8 +42,22 @@ def calendar(events: DataFrame, date: str = "event_date") -> DataFrame:
 
 def weekly_arcs(events: DataFrame, extra: tuple[Column, ...] = ()) -> DataFrame:
     """(outlet, week, source, target, coop, conf, neu, broker) of events that have a week."""
+    return _arcs(events, "week", extra)
+
+
+def daily_arcs(events: DataFrame, extra: tuple[Column, ...] = (), date: str = "event_date") -> DataFrame:
+    """The same by day: what weeks, the calendar and frames are made of, bounded by days, outlets and actors squared."""
+    return _arcs(events, date, extra)
+
+
+def weekly_of_days(days: DataFrame, fields: tuple[str, ...] = FIELDS, date: str = "event_date") -> DataFrame:
+    """weekly_arcs() from daily_arcs(); weeks are counted from the first day of all of them."""
+    return with_week(days, date).groupBy("outlet", "week", *ARC).agg(*(F.sum(f).alias(f) for f in fields))
+
+
+def _arcs(events: DataFrame, at: str, extra: tuple[Column, ...]) -> DataFrame:
     coop = F.col("valence") == "coop"
-    return events.groupBy("outlet", "week", *ARC).agg(
+    return events.groupBy("outlet", at, *ARC).agg(
         F.count_if(coop).alias("coop"), F.count_if(F.col("valence") == "conflict").alias("conf"), F.count_if(F.col("valence") == "neutral").alias("neu"), F.count_if(coop & is_brokering(F.col("raw_verb"))).alias("broker"), *extra
     )
 

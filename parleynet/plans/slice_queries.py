@@ -38,9 +38,14 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return T.with_week(X.edges(spark, d))
 
 
-def framed(spark: SparkSession, d: str, mode: str = "window") -> DataFrame:
-    e = events(spark, d)
-    return T.frames(T.weekly_arcs(e), T.calendar(e), mode)
+def days(spark: SparkSession, d: str) -> DataFrame:
+    """The arcs of each day, written once: the joins behind the edges run once, whatever reads them."""
+    return X.written(T.daily_arcs(X.edges(spark, d)))
+
+
+def framed(spark: SparkSession, d: str, mode: str = "window", of: DataFrame | None = None) -> DataFrame:
+    of = days(spark, d) if of is None else of
+    return T.frames(T.weekly_of_days(of), T.calendar(of), mode)
 
 
 def chapters(spark: SparkSession) -> DataFrame:
@@ -184,9 +189,9 @@ def phase_badges(spark, d):
 
 @query(f"{E}, {WEEKLY}, {SPAN}, v AS (SELECT outlet, week, CAST(sum(coop) AS DOUBLE) AS value FROM fr WHERE source = {FOCUS} GROUP BY ALL) SELECT o.outlet, CAST(w AS INTEGER) AS week, coalesce(value, 0) AS value FROM (SELECT DISTINCT outlet FROM e) o CROSS JOIN cal LEFT JOIN v ON v.outlet = o.outlet AND v.week = cal.w")
 def sparkline(spark, d):
-    e = events(spark, d)
-    nodes = T.frames(T.weekly_arcs(e), T.calendar(e)).groupBy("outlet", "week", F.col("source").alias("actor")).agg(F.sum("coop").cast("double").alias("broker_g"))
-    return T.sparkline(nodes, T.calendar(e), X.axis(spark, d).focus)
+    of = days(spark, d)
+    nodes = framed(spark, d, of=of).groupBy("outlet", "week", F.col("source").alias("actor")).agg(F.sum("coop").cast("double").alias("broker_g"))
+    return T.sparkline(nodes, T.calendar(of), X.axis(spark, d).focus)
 
 
 @query("SELECT n_name AS actor, r_name AS bloc, CASE r_name WHEN 'ASIA' THEN '#e2864a' WHEN 'EUROPE' THEN '#9b59b6' ELSE '#8a93a3' END AS colour FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -209,19 +214,19 @@ def node_layout(spark, d):
 FRAME = ("outlet", "mode", "week")
 
 
-def frame_views(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The frames' arcs in window and cumulative mode, with summed substance; and (outlet, mode, week, actor, flat, graded, brokering), their three current flows."""
-    e = events(spark, d)
+def frame_views(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The arcs of days, the frames' arcs in window and cumulative mode, with summed substance; and (outlet, mode, week, actor, flat, graded, brokering), their three current flows."""
     substance = F.sum(F.when((F.col("polarity") == "positive") & (F.col("substance") > 0), F.col("substance")).otherwise(0.0)).alias("substance")
-    weekly = T.weekly_arcs(with_substance(e), (substance,))
-    modes = [T.frames(weekly, T.calendar(e), mode, fields=(*T.FIELDS, "substance")).withColumn("mode", F.lit(mode)) for mode in ("window", "cumulative")]
+    of = X.written(T.daily_arcs(with_substance(X.edges(spark, d)), (substance,)))
+    weekly = T.weekly_of_days(of, (*T.FIELDS, "substance"))
+    modes = [T.frames(weekly, T.calendar(of), mode, fields=(*T.FIELDS, "substance")).withColumn("mode", F.lit(mode)) for mode in ("window", "cumulative")]
     # Sizes, edges and scores all come from these rows.
     arcs = X.written(modes[0].unionByName(modes[1]))
     kinds = F.explode(F.array(*(F.struct(F.lit(name).alias("view"), F.col(field).cast("double").alias("votes")) for name, field in (("flat", "coop"), ("graded", "substance"), ("brokering", "broker")))))
     keys = ("outlet", "mode", "view", "week")
     view = N.project(arcs.select(*FRAME, *T.ARC, kinds.alias("k")).select(*FRAME, *T.ARC, "k.*"), "votes", keys)
     scores = M.flow_series(view, X.axis(spark, d).order, keys)
-    return arcs, scores.groupBy(*FRAME, "actor").agg(*(F.max(F.when(F.col("view") == name, F.col("score"))).alias(name) for name in ("flat", "graded", "brokering")))
+    return of, arcs, scores.groupBy(*FRAME, "actor").agg(*(F.max(F.when(F.col("view") == name, F.col("score"))).alias(name) for name in ("flat", "graded", "brokering")))
 
 
 @query()
@@ -242,7 +247,8 @@ def flow_third_parties(spark, d):
 @query()
 def frame_flow(spark, d):
     """Current flow of every frame's cooperation network: each outlet and week, over the trailing 28 days and over all weeks so far."""
-    n = framed(spark, d, "window").withColumn("mode", F.lit("window")).unionByName(framed(spark, d, "cumulative").withColumn("mode", F.lit("cumulative")))
+    of = days(spark, d)
+    n = framed(spark, d, "window", of).withColumn("mode", F.lit("window")).unionByName(framed(spark, d, "cumulative", of).withColumn("mode", F.lit("cumulative")))
     return M.flow_series(N.project(n, "coop", FRAME), X.axis(spark, d).order, FRAME)
 
 
@@ -253,16 +259,15 @@ def _frame_nodes(arcs: DataFrame, scores: DataFrame) -> DataFrame:
 @query()
 def export_frames(spark, d):
     """Every outlet's frames in both modes as JSON, one a week; a frame without votes is there and empty."""
-    arcs, scores = frame_views(spark, d)
-    e = events(spark, d)
-    grid = e.select("outlet").distinct().join(F.broadcast(T.calendar(e)), how="cross").withColumn("mode", F.explode(F.array(F.lit("window"), F.lit("cumulative"))))
+    of, arcs, scores = frame_views(spark, d)
+    grid = of.select("outlet").distinct().join(F.broadcast(T.calendar(of)), how="cross").withColumn("mode", F.explode(F.array(F.lit("window"), F.lit("cumulative"))))
     return T.export_frames(_frame_nodes(arcs, scores), T.frame_edges(arcs, FRAME), FRAME, X.axis(spark, d).focus, grid)
 
 
 @query()
 def frame_extremes(spark, d):
     """(max_size, max_score): the largest size (both ends, 1 at least) and broker score (0.001 at least) of any node of any frame."""
-    return T.extremes(_frame_nodes(*frame_views(spark, d)))
+    return T.extremes(_frame_nodes(*frame_views(spark, d)[1:]))
 
 
 PIECES = f"""WITH {E.removeprefix('WITH ')}, {WEEKLY}, {SPAN}, ch(id, start, fin) AS (VALUES {CHAPTER_VALUES}),
@@ -299,20 +304,20 @@ def display_pieces(spark, d):
     return A.with_article_row(lines, ("file", "line")).select(F.col("article_row").alias("piece_no"), "value")
 
 
-def _window_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """(outlet, week, actor, size, broker, broker_g, broker_real, rank) of the trailing frames, by current flow."""
-    nodes = _frame_nodes(*frame_views(spark, d))
-    return nodes.where("mode = 'window'").drop("mode")
+def _window_nodes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The arcs of days, and (outlet, week, actor, size, broker, broker_g, broker_real, rank) of the trailing frames, by current flow."""
+    of, arcs, scores = frame_views(spark, d)
+    return of, _frame_nodes(arcs, scores).where("mode = 'window'").drop("mode")
 
 
 @query()
 def flow_board(spark, d):
     """Third parties of each weekly frame by the flow that substance carries."""
-    return T.board(_window_nodes(spark, d), X.axis(spark, d).principals)
+    return T.board(_window_nodes(spark, d)[1], X.axis(spark, d).principals)
 
 
 @query()
 def flow_sparkline(spark, d):
     """The focus actor's substance flow in each outlet's weeks, 0 where it has none."""
-    e = events(spark, d)
-    return T.sparkline(_window_nodes(spark, d), T.calendar(e), X.axis(spark, d).focus)
+    of, nodes = _window_nodes(spark, d)
+    return T.sparkline(nodes, T.calendar(of), X.axis(spark, d).focus)

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from parleynet.operators import validation as V
 from parleynet.operators import network as N, timeline as T
 
 START = dt.date(2025, 10, 6)
@@ -116,3 +117,17 @@ def test_empty_events(spark):
     e = T.with_week(spark.createDataFrame([], SCHEMA))
     assert T.frame_edges(T.frames(T.weekly_arcs(e), T.calendar(e))).count() == 0
     assert N.signed_network(e, ("outlet",)).count() == 0
+
+
+def test_weeks_of_daily_arcs_equal_weeks_of_events(spark):
+    rows = [("O", f"2026-01-{1 + i % 20:02d}", "ab"[i % 2], "cd"[i % 3 % 2], ("coop", "conflict", "neutral")[i % 3], ("hosted", "said")[i % 2]) for i in range(90)]
+    e = spark.createDataFrame(rows, "outlet string, event_date string, source string, target string, valence string, raw_verb string").withColumn("event_date", F.col("event_date").cast("date"))
+    days = T.daily_arcs(e)
+    assert days.count() < 90 and sorted(map(tuple, T.weekly_of_days(days).collect())) == sorted(map(tuple, T.weekly_arcs(T.with_week(e)).collect()))
+
+
+def test_a_stratum_is_cut_before_its_rows_meet(spark):
+    e = spark.range(1000).selectExpr("id AS doc_id", "'O' AS outlet", "IF(id % 2 = 0, 'p', 'n') AS polarity")
+    got = V.stratified(e, F.col("polarity"), {"p": 9, "n": 4}, ("doc_id",))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 13 and plan.index("WindowGroupLimit") < plan.rindex("WindowGroupLimit") and "Partial" in plan

@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.shared import written
 from . import kernels
 from .network import KEYS
 
@@ -159,7 +160,7 @@ def bootstrap(edges: DataFrame, statistic: Callable[[pd.DataFrame], float], n: i
     edges(keys, doc_id, source, target, weight). A document's multiplicity in a resample
     is drawn from a Poisson law of mean 1 by a hash of document, resample and seed, the
     usual distributed form of drawing with replacement: documents are never gathered, and
-    a task adds up its documents' draws, so that it sends on a row for each arc and resample
+    a task adds up its documents' draws, so that it sends on a row for each arc
     it met, however many documents it read. BLOCK resamples of a key, arcs each, are one
     group of the statistic. It gets a frame (source, target, strength, distance); a resample
     without an arc of positive strength counts with the statistic of the empty frame.
@@ -168,23 +169,29 @@ def bootstrap(edges: DataFrame, statistic: Callable[[pd.DataFrame], float], n: i
     arc = [*keys, "source", "target"]
     rows = per_doc.select(*arc, "w", F.xxhash64(*keys, "doc_id", F.lit(seed)).alias("document"))
     parts = rows.mapInArrow(_drawn(len(arc), n), ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in arc) + ", drawn array<double>")
-    return _interval(edges, parts, statistic, n, keys)
+    return _interval(edges.select(*keys), parts, statistic, n, keys)
 
 
-def leaf_draws(key: tuple, sizes: list[int], leaf: int, n: int, seed: int) -> np.ndarray:
+def leaf_draws(key: tuple, sizes: list[int], leaf: int, n: int, seed: int, met: dict | None = None) -> np.ndarray:
     """How many documents each of n resamples draws from a leaf of the key's tree of documents.
 
     sizes: documents of the nodes from the root down to the leaf. A node's draws are split
     between its halves by a binomial law, from a generator of the node's own, so that all
     leaves below it see the same split and each resample has as many draws as there are documents.
+    met: the nodes above the leaf before, kept between calls, as leaves that follow one another share most of them.
     """
     depth = len(sizes) - 1
     draws = np.full(n, sizes[0], dtype=np.int64)
     for level in range(depth):
         node = leaf >> (depth - level)
         bit = (leaf >> (depth - level - 1)) & 1
-        left = sizes[level + 1] if not bit else sizes[level] - sizes[level + 1]
-        taken = _generator(key, level, node, seed).binomial(draws, left / sizes[level])
+        if met is None or level not in met or met[level][0] != (key, node):
+            left = sizes[level + 1] if not bit else sizes[level] - sizes[level + 1]
+            taken = _generator(key, level, node, seed).binomial(draws, left / sizes[level])
+            if met is not None:
+                met[level] = (key, node), taken
+        else:
+            taken = met[level][1]
         draws = draws - taken if bit else taken
     return draws
 
@@ -193,52 +200,94 @@ def _generator(*of) -> np.random.Generator:
     return np.random.default_rng(int.from_bytes(hashlib.blake2b(repr(of).encode(), digest_size=16).digest(), "little"))
 
 
-def leaf_multiplicities(key: tuple, sizes: list[int], leaf: int, n: int, seed: int) -> np.ndarray:
+def leaf_multiplicities(key: tuple, sizes: list[int], leaf: int, n: int, seed: int, met: dict | None = None) -> np.ndarray:
     """Row i, column r: how often resample r draws the leaf's document i; a draw takes each of them with the same chance."""
-    draws, k = leaf_draws(key, sizes, leaf, n, seed), sizes[-1]
+    draws, k = leaf_draws(key, sizes, leaf, n, seed, met), sizes[-1]
     which = _generator(key, "leaf", leaf, seed).integers(0, k, int(draws.sum()))
-    return np.bincount(which * n + np.repeat(np.arange(n), draws), minlength=k * n).reshape(k, n)
+    which *= n
+    which += np.repeat(np.arange(n), draws)
+    return np.bincount(which, minlength=k * n).reshape(k, n)
 
 
 def _leaf_sums(width: int, n: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From rows (key of `width` columns, leaf, doc, sizes, source, target, w), a leaf's together, to (key, source, target, sums of w over each resample), added up over a task's leaves."""
+    """From rows (key of `width` columns, leaf, doc, sizes, source, target, w) to (key, source, target, sums of w over each resample), added up over a task's leaves.
+
+    A leaf's rows are together: first the one with its sizes, then its documents in order,
+    each a row without a weight and then its arcs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
-        held: list[dict] = []
+        held: list[pa.RecordBatch] = []
+        met: dict = {}
+        names: list[str] = []
         types: list[pa.DataType] = []
 
-        def add(rows: list[dict]) -> None:
-            key = tuple(list(rows[0].values())[:width])
-            number = {d: i for i, d in enumerate(sorted({r["doc"] for r in rows}))}
-            times = leaf_multiplicities(key, rows[0]["sizes"], rows[0]["leaf"], n, seed)
-            for r in rows:
-                if r["w"] is not None:
-                    arc = (*key, r["source"], r["target"])
-                    part = times[number[r["doc"]]] * r["w"]
-                    sums[arc] = sums[arc] + part if arc in sums else part
-
-        def out() -> pa.RecordBatch:
-            columns = [pa.array(c, type=t) for c, t in zip(zip(*sums), types)]
-            batch = pa.RecordBatch.from_arrays([*columns, pa.array([x.astype(np.float64) for x in sums.values()], type=pa.list_(pa.float64()))], [*names, "drawn"])
-            sums.clear()
-            return batch
+        def add() -> None:
+            rows = pa.Table.from_batches(held)
+            *key, leaf, _, sizes, _, _, _ = rows.slice(0, 1).to_pylist()[0].values()
+            is_arc = rows.column(width + 5).slice(1).combine_chunks().is_valid()
+            if is_arc.true_count:
+                found = rows.slice(1).filter(is_arc).combine_chunks()
+                # Arcs of the leaf by number; nulls are a name as others.
+                ends = [found.column(width + i).combine_chunks().dictionary_encode(null_encoding="encode") for i in (3, 4)]
+                source, target = (e.dictionary.to_pylist() for e in ends)
+                codes = ends[0].indices.to_numpy().astype(np.int64) * len(target) + ends[1].indices.to_numpy()
+                order = np.argsort(codes, kind="stable")
+                known, firsts = np.unique(codes[order], return_index=True)
+                is_arc = is_arc.to_numpy(zero_copy_only=False)
+                doc = (np.cumsum(~is_arc) - 1)[is_arc]
+                weighed = leaf_multiplicities(tuple(key), sizes, leaf, n, seed, met)[doc[order]]
+                weights = found.column(width + 5).to_numpy()[order]
+                weighed = weighed if (weights == 1).all() else weighed * weights[:, None]
+                for code, added in zip(known.tolist(), np.add.reduceat(weighed, firsts, axis=0)):
+                    arc = (*key, source[code // len(target)], target[code % len(target)])
+                    sums[arc] = sums[arc] + added if arc in sums else added.copy()
+            held.clear()
 
-        names: list[str] = []
         for batch in batches:
-            names = [*batch.schema.names[:width], "source", "target"]
-            types = [*batch.schema.types[:width], pa.string(), pa.string()]
-            for r in batch.to_pylist():
-                if held and list(r.values())[: width + 1] != list(held[0].values())[: width + 1]:
-                    add(held)
-                    held = []
+            names, types = [*batch.schema.names[:width], "source", "target"], [*batch.schema.types[:width], pa.string(), pa.string()]
+            cuts = [0, *np.flatnonzero(batch.column(width + 2).is_valid().to_numpy(zero_copy_only=False)).tolist(), batch.num_rows]
+            for i, (low, high) in enumerate(zip(cuts[:-1], cuts[1:])):
+                if i and held:
+                    add()
                     if len(sums) >= HELD:
-                        yield out()
-                held.append(r)
+                        yield _sums_batch(sums, names, types)
+                        sums.clear()
+                if high > low:
+                    held.append(batch.slice(low, high - low))
         if held:
-            add(held)
+            add()
         if sums:
-            yield out()
+            yield _sums_batch(sums, names, types)
+
+    return run
+
+
+def _sums_batch(sums: dict[tuple, np.ndarray], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    columns = [pa.array(c, type=t) for c, t in zip(zip(*sums), types)]
+    drawn = np.stack(list(sums.values())).astype(np.float64, copy=False)
+    starts = pa.array(np.arange(len(drawn) + 1, dtype=np.int32) * drawn.shape[1], type=pa.int32())
+    return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(starts, pa.array(drawn.ravel()))], [*names, "drawn"])
+
+
+def _added_up(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows (arc of `width` columns, drawn), an arc's together, to one row an arc with the sum of its arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        names, types = None, None
+        for batch in batches:
+            names, types = batch.schema.names[:width], batch.schema.types[:width]
+            arcs, drawn = zip(*(batch.column(i).to_pylist() for i in range(width))), batch.column(width)
+            rows = drawn.flatten().to_numpy().reshape(batch.num_rows, -1)
+            for arc, row in zip(arcs, rows):
+                if arc not in sums and len(sums) >= HELD:
+                    yield _sums_batch(sums, names, types)
+                    sums = {}
+                sums[arc] = sums[arc] + row if arc in sums else row.copy()
+        if sums:
+            yield _sums_batch(sums, names, types)
 
     return run
 
@@ -255,43 +304,55 @@ def exact_bootstrap(edges: DataFrame, statistic: Callable[[pd.DataFrame], float]
 
     The documents of a key are the leaves' contents of a binary tree by their hash, some
     leaf_docs a leaf; a resample's draws are split down the tree. A task works on whole
-    leaves and adds up their draws, and what it needs of the tree is the sizes of the nodes
-    above a leaf. Documents without a positive weight are drawn too and add nothing.
+    leaves that follow one another, so that it meets the arcs of few keys, and adds up
+    their draws; what it needs of the tree is the sizes of the nodes above a leaf.
+    Documents without a positive weight are drawn too and add nothing.
     """
-    docs = edges.groupBy(*keys, F.col("doc_id").cast("string").alias("doc"), "source", "target").agg(F.sum(F.abs("weight")).alias("w"))
-    docs = docs.withColumn("w", F.when(F.col("w") > 0, F.col("w").cast("double"))).withColumn("hash", F.xxhash64(*keys, "doc", F.lit(seed)))
+    rows = edges.select(*keys, F.col("doc_id").cast("string").alias("doc"), "source", "target", F.abs("weight").cast("double").alias("w")).repartition(*keys, "doc")
+    # Once for the document itself, and once for an arc that weighs something.
+    rows = rows.withColumn("is_arc", F.explode(F.when(F.col("w") > 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    ends = [F.when(F.col("is_arc"), F.col(c)).alias(c) for c in ("source", "target")]
+    # Read several times below, so the edges and their documents are worked out once.
+    docs = written(rows.groupBy(*keys, "doc", "is_arc", *ends).agg(F.sum(F.when(F.col("is_arc"), F.col("w"))).alias("w")))
     # One number: the most documents of any key.
-    most = docs.groupBy(*keys).agg(F.count_distinct("doc").alias("n")).agg(F.max("n")).first()[0] or 0
+    most = docs.where("NOT is_arc").groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     depth = max(0, math.ceil(math.log2(max(most, 1) / leaf_docs)))
-    docs = docs.withColumn("leaf", F.shiftrightunsigned("hash", 64 - depth) if depth else F.lit(0).cast("long"))
-    leaves = docs.groupBy(*keys, "leaf").agg(F.count_distinct("doc").alias("n"))
+    docs = docs.withColumn("leaf", F.shiftrightunsigned(F.xxhash64(*keys, "doc", F.lit(seed)), 64 - depth) if depth else F.lit(0).cast("long"))
+    leaves = docs.where("NOT is_arc").groupBy(*keys, "leaf").agg(F.count("*").alias("n"))
     above = leaves.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumn("node", F.expr(f"shiftrightunsigned(leaf, {depth} - level)"))
     nodes = above.groupBy(*keys, "level", "node").agg(F.sum("n").alias("size"))
     paths = _joined(above, nodes, (*keys, "level", "node")).groupBy(*keys, "leaf").agg(F.sort_array(F.collect_list(F.struct("level", "size"))).alias("p"))
-    paths = paths.select(*keys, "leaf", F.transform("p", lambda x: x["size"]).alias("sizes"))
-    rows = _joined(docs, paths, (*keys, "leaf")).select(*keys, "leaf", "doc", "sizes", "source", "target", "w")
-    rows = rows.repartition(*keys, "leaf").sortWithinPartitions(*keys, "leaf", "doc")
-    arc = [*keys, "source", "target"]
-    parts = rows.mapInArrow(_leaf_sums(len(keys), n, seed), ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in arc) + ", drawn array<double>")
-    return _interval(edges, parts, statistic, n, keys)
+    paths = written(paths.select(*keys, "leaf", F.transform("p", lambda x: x["size"]).alias("sizes")))
+    rows = docs.select(*keys, "leaf", "doc", F.lit(None).cast("array<bigint>").alias("sizes"), "source", "target", "w").unionByName(paths, allowMissingColumns=True)
+    rows = rows.repartitionByRange(*keys, "leaf").sortWithinPartitions(*keys, "leaf", F.col("sizes").isNull(), "doc", F.col("w").isNotNull())
+    parts = rows.mapInArrow(_leaf_sums(len(keys), n, seed), _schema(edges, (*keys, "source", "target"), "drawn array<double>"))
+    return _interval(docs.where("NOT is_arc").select(*keys), parts, statistic, n, keys)
+
 
+def _interval(keyed: DataFrame, parts: DataFrame, statistic: Callable[[pd.DataFrame], float], n: int, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, mean, low, high) of the statistic for every key of keyed, from parts(keys, source, target, drawn), partial sums of each resample.
 
-def _interval(edges: DataFrame, parts: DataFrame, statistic: Callable[[pd.DataFrame], float], n: int, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, mean, low, high) of the statistic from parts(keys, source, target, drawn), partial sums of each resample."""
+    Parts are added up as arrays: there is one for each task and arc, and taken apart they
+    would be as many rows again as there are resamples.
+    """
     empty = float(statistic(pd.DataFrame({"source": pd.Series(dtype=str), "target": pd.Series(dtype=str), "strength": pd.Series(dtype=float), "distance": pd.Series(dtype=float)})))
     arc = [*keys, "source", "target"]
-    sums = parts.select(*arc, F.posexplode("drawn").alias("resample", "strength")).where("strength > 0")
-    arcs = sums.groupBy(*arc, "resample").agg(F.sum("strength").alias("strength"))
+    together = parts.repartition(*arc).sortWithinPartitions(*arc)
+    arcs = together.mapInArrow(_added_up(len(arc)), _schema(parts, tuple(arc), "drawn array<double>"))
     width = len(keys)
 
     def block(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(distance=1.0 / frame["strength"]).sort_values(["resample", "source", "target"])
-        rows = [(*key[:width], int(r), float(statistic(f[["source", "target", "strength", "distance"]]))) for r, f in frame.groupby("resample", sort=False)]
+        frame, rows = frame.sort_values(["source", "target"]), []
+        for i, strength in enumerate(np.stack(frame["drawn"].to_list()).T):
+            f = frame[["source", "target"]].assign(strength=strength)[strength > 0]
+            if len(f):
+                rows.append((*key[:width], int(key[width]) * BLOCK + i, float(statistic(f.assign(distance=1.0 / f["strength"])))))
         return pd.DataFrame(rows, columns=[*keys, "resample", "value"])
 
-    blocks = arcs.withColumn("block", F.floor(F.col("resample") / BLOCK))
-    values = blocks.groupBy(*keys, "block").applyInPandas(block, _schema(edges, keys, "resample int, value double"))
-    grid = edges.select(*keys).distinct().withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    slices = F.transform(F.sequence(F.lit(0), F.lit(n - 1), F.lit(BLOCK)), lambda i: F.slice("drawn", i + 1, F.lit(BLOCK)))
+    blocks = arcs.select(*arc, F.posexplode(slices).alias("block", "drawn"))
+    values = blocks.groupBy(*keys, "block").applyInPandas(block, _schema(parts, keys, "resample int, value double"))
+    grid = keyed.distinct().withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     met = [grid[k].eqNullSafe(values[k]) for k in (*keys, "resample")]
     values = grid.join(values, met, "left").select(*(grid[k] for k in keys), F.coalesce(values["value"], F.lit(empty)).alias("value"))
     bounds = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))

@@ -112,6 +112,33 @@ def test_interval_equals_that_of_plain_resampling(spark, leaf_docs):
     assert np.abs(np.array([got["mean"], got.low, got.high]) - want).max() < 1.6
 
 
+def test_edges_of_resamples_are_worked_out_once(spark):
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    e = spark.createDataFrame([("o", "pq"[i % 2], f"{i // 3}", "A", "B", float(i % 4)) for i in range(90)], EDGES).mapInArrow(counted, EDGES)
+    assert M.exact_bootstrap(e, lambda f: float(len(f)), n=10, leaf_docs=4).count() == 2 and rows.value == 90
+
+
+def test_parts_of_tasks_are_added_up_as_arrays(monkeypatch):
+    monkeypatch.setattr(M, "HELD", 2)
+    schema = pa.schema([("outlet", pa.string()), ("source", pa.string()), ("drawn", pa.list_(pa.float64()))])
+    parts = [(None, "A", [1.0, 2.0]), (None, "A", [3.0, 4.0]), ("o", None, [5.0, 6.0]), ("o", "A", [0.0, 1.0]), ("o", "A", [0.5, 0.0]), ("o", "B", [7.0, 7.0])]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in parts[k : k + 4]], schema=schema) for k in (0, 4)]
+    got = [tuple(r.values()) for b in M._added_up(2)(iter(batches)) for r in b.to_pylist()]
+    assert got == [(None, "A", [4.0, 6.0]), ("o", None, [5.0, 6.0]), ("o", "A", [0.5, 1.0]), ("o", "B", [7.0, 7.0])]
+
+
+def test_leaves_that_follow_one_another_share_their_splits():
+    sizes, met = [80, 40, 20, 10], {}
+    for key, leaf in (("o", 0), ("o", 1), ("o", 2), ("o", 7), ("p", 7), ("p", 0), (None, 0)):
+        assert (M.leaf_draws((key,), sizes, leaf, 30, 5, met) == M.leaf_draws((key,), sizes, leaf, 30, 5)).all()
+
+
 def by_definition(w):
     """Current-flow betweenness of the largest component: half the currents at a node over all pairs that it doesn't end."""
     nodes = K.largest_component(w)

@@ -94,14 +94,14 @@ CUE_TAGGER = TG.Tagger(tuple(dict.fromkeys(cue for cues in CUES.values() for cue
 def mine_phrases(docs: DataFrame, id_col: str, seeds: dict[str, list[str]], text: str = "text", keep: int = 80, tagger: TG.Tagger = CUE_TAGGER) -> DataFrame:
     """(relation_bucket, verb_phrase, count): verb phrases of sentences that name two actors or more, the most frequent of each bucket.
 
-    docs has one row for each id; null texts are left out, as are rows with a null id.
+    docs has one row for each id; null texts are left out, as are rows with a null id. Texts are
+    dealt out by id and tagged once; a sentence's actors and verbs are met where it was tagged.
     """
-    spans = TG.tagged(docs.where(F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(id_col, text), tagger, text).drop(text)
-    # Names are few beside texts: each distinct one is matched with the seeds once.
-    names = spans.where((F.col("kind") == TG.NAME) & F.col("label").isin(*TG.LABELS))
-    actors = names.select("span").distinct().select("span", canon_for(F.col("span"), seeds).alias("actor")).where("actor IS NOT NULL")
-    two = names.join(actors, "span").groupBy(id_col, "sentence").agg(F.min("actor").alias("one"), F.max("actor").alias("other")).where("one < other")
-    found = spans.where(F.col("kind") == TG.VERB).join(two, [id_col, "sentence"], "left_semi").groupBy(F.col("span").alias("verb_phrase")).agg(F.count("*").alias("count"))
+    texts = docs.where(F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(id_col, text).repartition(id_col)
+    sentences = TG.tagged_sentences(texts, tagger, text)
+    names = F.filter("names", lambda x: x["label"].isin(*TG.LABELS))
+    actors = F.array_distinct(F.array_compact(F.transform(names, lambda x: canon_for(x["span"], seeds))))
+    found = sentences.select(F.when(F.size(actors) > 1, F.col("verbs")).alias("verbs")).select(F.explode("verbs").alias("verb_phrase")).groupBy("verb_phrase").agg(F.count("*").alias("count"))
     found = found.withColumn("relation_bucket", bucket(F.col("verb_phrase")))
     rank = F.row_number().over(Window.partitionBy("relation_bucket").orderBy(F.desc("count"), "verb_phrase"))
     return found.withColumn("_k", rank).where(F.col("_k") <= keep).select("relation_bucket", "verb_phrase", "count")

@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.verbs import inflected
 
 SPANS = "kind string, sentence int, start int, end int, span string, label string"
+#: A sentence's labelled names and verb phrases.
+SENTENCES = "sentence int, names array<struct<span string, label string>>, verbs array<string>"
 NAME, VERB = "name", "verb"
 #: The labels of names that count as actors.
 LABELS = ("GPE", "ORG", "PERSON", "NORP")
@@ -109,6 +112,25 @@ def tagged(docs: DataFrame, tagger: Tagger, text: str = "text") -> DataFrame:
     return docs.lateralJoin(spans(F.col(text).outer()))
 
 
+def tagged_sentences(docs: DataFrame, tagger: Tagger, text: str = "text") -> DataFrame:
+    """The rows of docs, each with its SENTENCES that hold two names or more and a verb; a sentence's spans stay together, so that nothing has to bring them together."""
+
+    class Sentences:
+        def eval(self, value: str):
+            for number, found in groupby(tagger.spans(value), key=lambda s: s[1]):
+                names, verbs = [], []
+                for kind, *_, span, label in found:
+                    if kind == NAME:
+                        names.append((span, label))
+                    else:
+                        verbs.append(span)
+                if verbs and len(names) > 1:
+                    yield number, names, verbs
+
+    sentences = F.udtf(Sentences, returnType=SENTENCES)
+    return docs.lateralJoin(sentences(F.col(text).outer()))
+
+
 def discovered(spans: DataFrame, keep: int | None = 200) -> DataFrame:
     """(surface, label, count): names by how often they occur, the most frequent label of each; ties go to the first label by name."""
     names = spans.where((F.col("kind") == NAME) & F.col("label").isin(*LABELS)).groupBy(F.col("span").alias("surface"), "label").agg(F.count("*").alias("n"))

@@ -72,6 +72,26 @@ def test_mined_phrases_equal_plain_counts(spark):
         assert (("CONSULT", "call on") in got) == (keep == 80)
 
 
+def test_texts_are_tagged_once(spark):
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    texts = ["Khan called on Polo. Polo met nobody.", "Polo met Khan in Venice.", "none"] * 4
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).mapInArrow(counted, "doc_id long, text string")
+    assert {r.verb_phrase: r["count"] for r in recon.mine_phrases(docs, "doc_id", SEEDS, tagger=TAGGER).collect()} == {"call on": 4, "meet in": 4}
+    assert rows.value == len(texts)
+
+
+def test_sentences_hold_their_names_and_verbs(spark):
+    docs = spark.createDataFrame([(1, "Polo met Khan. Venice slept. Khan met nobody. The UN called on Mr Polo."), (2, None), (3, "")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.sentence, [tuple(x) for x in r.names], r.verbs) for r in TG.tagged_sentences(docs, TAGGER).collect())
+    assert got == [(1, 0, [("Polo", "GPE"), ("Khan", "GPE")], ["meet"]), (1, 3, [("The UN", "PERSON"), ("Mr Polo", "PERSON")], ["call on"])]
+
+
 def test_cue_verbs_are_known_in_all_forms():
     assert recon.CUE_TAGGER.forms["called"] == "call" and recon.CUE_TAGGER.forms["urges"] == "urge"
     assert [s[4] for s in recon.CUE_TAGGER.spans("Khan condemned Polo and called on Venice") if s[0] == TG.VERB] == ["condemn", "call on"]

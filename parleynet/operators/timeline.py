@@ -28,9 +28,9 @@ def date_range(events: DataFrame, date: str = "event_date") -> DataFrame:
     return ends.withColumn("weeks", F.floor(F.datediff("last", "first") / 7).cast("int") + 1)
 
 
-def with_week(events: DataFrame, date: str = "event_date") -> DataFrame:
-    """events with `week`, counted from the first day of all of them."""
-    first = events.agg(F.min(date).alias("_first"))
+def with_week(events: DataFrame, date: str = "event_date", of: DataFrame | None = None) -> DataFrame:
+    """events with `week`, counted from the first day of all of them, or of the rows that they are a part of."""
+    first = (events if of is None else of).agg(F.min(date).alias("_first"))
     return events.join(F.broadcast(first), how="cross").withColumn("week", F.floor(F.datediff(date, "_first") / 7).cast("int")).drop("_first")
 
 

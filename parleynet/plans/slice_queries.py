@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import config
 from ..functions.verbs import with_substance
 from ..operators import measures as M, network as N, timeline as T
-from ..sources import articles as A, payload as P
+from ..sources import payload as P
 from . import fixtures as X
 
 QUERIES: dict = {}
@@ -285,23 +285,22 @@ SELECT CAST(piece_no AS BIGINT) AS piece_no, value FROM p"""
 @query(PIECES)
 def display_pieces(spark, d):
     """The payload of a display, read back from its files: chapters, events and weekly frames in one assignment of ordered pieces."""
-    e = X.written(events(spark, d))
+    votes = ("coop", "conf", "neu")
+    of = X.written(T.daily_arcs(X.edges(spark, d)).select("outlet", "event_date", *T.ARC, *votes))
     json = lambda *fields: F.to_json(F.struct(*fields))
-    first = T.date_range(e).select(json(F.col("first").cast("string").alias("first"), "weeks", F.lit(X.axis(spark, d).focus).alias("focus")).alias("piece"))
-    told = T.in_chapters(e.withColumn("date", F.col("event_date").cast("string")), chapters(spark)).groupBy("id", "start", "end").agg(F.count("*").alias("events"))
-    told = chapters(spark).join(told.select("id", "events"), "id", "left").select("id", json("id", "start", "end", F.coalesce("events", F.lit(0)).alias("events")).alias("piece"))
+    first = T.date_range(of).select(json(F.col("first").cast("string").alias("first"), "weeks", F.lit(X.axis(spark, d).focus).alias("focus")).alias("piece"))
+    told = T.in_chapters(of.withColumn("date", F.col("event_date").cast("string")), chapters(spark)).groupBy("id").agg(F.sum(F.col("coop") + F.col("conf") + F.col("neu")).alias("events"))
+    told = chapters(spark).join(told, "id", "left").select("id", json("id", "start", "end", F.coalesce("events", F.lit(0)).alias("events")).alias("piece"))
     keys = ("event_date", "source", "target", "doc_id", "ref")
-    seen = e.where("polarity <> 'neutral'").select(*keys, json(F.col("event_date").cast("string").alias("date"), "week", "outlet", "source", "target", "valence", "quote").alias("piece"))
-    edges = T.frame_edges(T.frames(T.weekly_arcs(e), T.calendar(e)))
+    # Written, so that the shuffles of the joins are gone when the rows are sorted.
+    seen = X.written(X.edges(spark, d).where("polarity <> 'neutral'").select(*keys, "outlet", "valence", "quote"))
+    event = json(F.col("event_date").cast("string").alias("date"), "week", "outlet", "source", "target", "valence", "quote")
+    edges = T.frame_edges(T.frames(T.weekly_of_days(of, votes), T.calendar(of), fields=votes))
     arc = F.struct(F.col("source").alias("s"), F.col("target").alias("t"), "coop", "conf", "neu")
     frames = edges.groupBy("outlet", "week").agg(F.to_json(F.sort_array(F.collect_list(arc))).alias("arcs"))
     frames = frames.select("outlet", "week", F.concat(F.lit('"'), "outlet", F.lit("|window|"), "week", F.lit('":'), "arcs").alias("piece"))
-    sections = [P.Section("meta", "value", first), P.Section("chapters", "list", told, ("id",)), P.Section("events", "list", seen, keys), P.Section("frames", "fields", frames, ("outlet", "week"))]
-    folder = X.shared_folder(spark)
-    P.write_payload(P.payload_pieces(spark, "VIZ_DATA", sections), folder)
-    # A line's place in the payload: its file's, then its own.
-    lines = spark.read.text(folder).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"))
-    return A.with_article_row(lines, ("file", "line")).select(F.col("article_row").alias("piece_no"), "value")
+    sections = [P.Section("meta", "value", first), P.Section("chapters", "list", told, ("id",)), P.Section("events", "list", T.with_week(seen, of=of), keys, event), P.Section("frames", "fields", frames, ("outlet", "week"))]
+    return P.payload_pieces(spark, "VIZ_DATA", sections)
 
 
 def _window_nodes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
